@@ -8,7 +8,7 @@ from flowloom.catalog import fixtures as fx
 from flowloom.catalog import tables_sql as q
 from flowloom.catalog.book import register
 from flowloom.functions.alerts import advice, description, severity
-from flowloom.operators import correlate
+from flowloom.operators import correlate, workflow
 from flowloom.registry import ADVICE, CRITICAL_PREFIX, OTHER_ADVICE, TITLES
 
 
@@ -154,3 +154,115 @@ def system_audit(spark, d):
         field("after", "severity").alias("after_band"),
         field("after", "risk_score").cast("int").alias("risk_score"),
     )
+
+
+REPLAYED = """steps as (
+  select *, row_number() over (partition by alert_id order by seq) as n from actions
+), replayed as (
+  with recursive walk as (
+    select alert_id, 0::bigint as n, 'NEW' as after, 'NEW' as before, 0::bigint as seq from (select distinct alert_id from steps)
+    union all
+    select s.alert_id, s.n, case
+      when s.action = 'acknowledge' and w.after <> 'NEW' then w.after
+      when w.after = 'NEW' and s.status in ('INVESTIGATING', 'FALSE_POSITIVE') then s.status
+      when w.after = 'INVESTIGATING' and s.status in ('CONTAINED', 'RESOLVED', 'FALSE_POSITIVE') then s.status
+      when w.after = 'CONTAINED' and s.status in ('INVESTIGATING', 'RESOLVED') then s.status
+      when w.after in ('RESOLVED', 'FALSE_POSITIVE') and s.status = 'INVESTIGATING' then s.status
+      else w.after end, w.after, s.seq
+    from walk w join steps s on s.alert_id = w.alert_id and s.n = w.n + 1
+  )
+  select s.*, w.before, w.after, w.before <> w.after as applied from walk w join steps s on s.seq = w.seq and w.n > 0
+)"""
+
+
+def replayed(spark, d):
+    return workflow.replay(fx.actions(spark, d))
+
+
+@register(
+    q.query([q.ACTIONS, REPLAYED], "select seq, alert_id, action, status, before, after, applied from replayed")
+)
+def workflow_replay(spark, d):
+    return replayed(spark, d).select("seq", "alert_id", "action", "status", "before", "after", "applied")
+
+
+@register(
+    q.query(
+        [q.ACTIONS, REPLAYED],
+        """select alert_id, coalesce(arg_max(after, seq) filter (applied), 'NEW') as status,
+  coalesce(arg_min(user_id, seq) filter (applied), -1) as acknowledged_by_id, min(ts) filter (applied) as acknowledged_at,
+  case when arg_max(after, seq) filter (applied) in ('RESOLVED', 'FALSE_POSITIVE') then max(ts) filter (applied) end as resolved_at,
+  count(*) filter (applied) as applied, count(*) filter (not applied) as rejected
+from replayed group by 1""",
+    )
+)
+def workflow_state(spark, d):
+    found = workflow.current_state(replayed(spark, d))
+    return found.withColumn("acknowledged_by_id", F.coalesce("acknowledged_by_id", F.lit(-1)))
+
+
+@register(
+    q.query(
+        [q.ACTIONS, REPLAYED],
+        """select seq, ts, user_id as actor_id, case when action = 'acknowledge' then 'alert.acknowledged' else 'alert.status_changed' end as action,
+  cast(alert_id as varchar) as entity_id, '{"status":"' || before || '"}' as before,
+  '{"status":"' || after || '","note":false}' as after from replayed where applied""",
+    )
+)
+def workflow_audit(spark, d):
+    return workflow.audit_rows(replayed(spark, d)).drop("entity_type")
+
+
+@register(
+    q.query([q.ACTIONS, REPLAYED], "select seq, alert_id, before, status, action from replayed where not applied")
+)
+def workflow_refused(spark, d):
+    return workflow.refused(replayed(spark, d))
+
+
+REQUESTS = """requests as (
+  select event_id as seq, alert_id, case when event_id % 11 <> 0 then event_id % 150 end as user_id from assigned
+), decided as (
+  select r.*, r.user_id is null or coalesce(u.is_active and u.role <> 'viewer', false) as accepted
+  from requests r left join users u on u.id = r.user_id
+)"""
+
+
+def decided(spark, d):
+    i = F.col("event_id")
+    requests = fx.assigned(spark, d).select(i.alias("seq"), "alert_id", F.when(i % 11 != 0, i % 150).alias("user_id"))
+    return workflow.assignments(requests, fx.users(spark, d))
+
+
+@register(
+    q.query(
+        [q.DET, q.ASSIGNED, q.USERS, REQUESTS],
+        "select seq, alert_id, coalesce(user_id, -1) as user_id, accepted from decided",
+    )
+)
+def assignment_decisions(spark, d):
+    return decided(spark, d).withColumn("user_id", F.coalesce("user_id", F.lit(-1))).select(
+        "seq", "alert_id", "user_id", "accepted"
+    )
+
+
+@register(
+    q.query(
+        [q.DET, q.ASSIGNED, q.USERS, REQUESTS],
+        """select alert_id, arg_max(coalesce(user_id, -1), seq) as assigned_to_id from decided where accepted group by 1""",
+    )
+)
+def current_assignee(spark, d):
+    found = workflow.current_assignee(decided(spark, d))
+    return found.withColumn("assigned_to_id", F.coalesce("assigned_to_id", F.lit(-1)))
+
+
+@register(
+    q.query(
+        [q.DET, q.ASSIGNED, q.NOTES],
+        """select author_id as actor_id, 'alert.note_added' as action, 'alert' as entity_type, cast(alert_id as varchar) as entity_id,
+  '{"note_id":' || cast(id as varchar) || '}' as after from notes where length(trim(body)) between 1 and 5000""",
+    )
+)
+def note_audit(spark, d):
+    return workflow.note_audit(workflow.add_notes(fx.notes(spark, d)))

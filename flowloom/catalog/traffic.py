@@ -1 +1,413 @@
-"""Later."""
+"""Queries over packets, connection records, risk signals and cross-flow features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowloom.catalog import fixtures as fx
+from flowloom.catalog import tables_sql as q
+from flowloom.catalog.book import register
+from flowloom.operators import logins, packets, records, risk
+from flowloom.registry import PORT_SERVICES, SERVICE_CODES
+
+TRAILING = """counted as (
+  select p.*, count(*) over (partition by src order by ts range between interval 2 second preceding and current row)
+    - count(*) over (partition by src, ts) + row_number() over (partition by src, ts order by event_id) as count
+  from packets p
+)"""
+
+
+@register(q.query([q.PACKETS, TRAILING], "select event_id, src, count from counted"))
+def source_trailing_count(spark, d):
+    return packets.trailing_count(fx.packets(spark, d)).select("event_id", "src", "count")
+
+
+@register(
+    q.query(
+        [q.PACKETS, TRAILING.replace("interval 2 second", "interval 12 hour")],
+        "select event_id, src, count from counted",
+    )
+)
+def source_trailing_count_half_day(spark, d):
+    """The same operator with a window wide enough to hold many packets."""
+    return packets.trailing_count(fx.packets(spark, d), 43200).select("event_id", "src", "count")
+
+
+CODES = "case case when ip_protocol in (6, 17) then dst_port else 0 end " + " ".join(
+    f"when {port} then {SERVICE_CODES[name]}" for port, name in PORT_SERVICES.items()
+)
+
+CODED = f"""coded as (
+  select *, case when ip_protocol = 1 then 0 when ip_protocol = 17 then 2 else 1 end as protocol_type,
+    {CODES} else 47 end as service,
+    case when ip_protocol = 6 then case when tcp_flags & 4 <> 0 then 2 when tcp_flags & 20 <> 0 then 4
+        when tcp_flags & 2 <> 0 then 5 else 9 end
+      when ip_protocol = 1 then case when icmp_type = 0 then 9 else 5 end else 9 end as flag
+  from counted
+)"""
+
+
+@register(
+    q.query(
+        [q.PACKETS, TRAILING, CODED],
+        """select event_id, ts, src, 0 as duration, protocol_type, service, flag, length as src_bytes, 0 as dst_bytes,
+  0 as wrong_fragment, 0 as hot, 0 as logged_in, 0 as num_compromised, count, count as srv_count,
+  case when flag = 5 then 1.0::double else 0 end as serror_rate,
+  case when flag = 5 then 1.0::double else 0 end as srv_serror_rate, 0.0::double as rerror_rate from coded""",
+    )
+)
+def packet_features(spark, d):
+    return packets.packet_features(fx.packets(spark, d))
+
+
+SCORE = "least(value / 200, 1.0::double)"
+
+
+def scored_packets(spark, d):
+    return fx.packets(spark, d).withColumn("score", F.least(F.col("value") / 200, F.lit(1.0)))
+
+
+@register(
+    q.query(
+        [q.PACKETS],
+        f"""select event_id, ts, src as source, case ip_protocol when 6 then 'tcp' when 17 then 'udp' when 1 then 'icmp'
+  else 'unknown' end as protocol, round({SCORE}, 6) as confidence, 'ATTACK' as label from packets where {SCORE} >= 0.5""",
+    )
+)
+def packet_alerts(spark, d):
+    return packets.packet_alerts(scored_packets(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+@register(
+    q.query(
+        [q.PACKETS],
+        f"select event_id, ts, src as source from packets where {SCORE} >= 0.5 order by ts desc, event_id desc limit 100",
+    )
+)
+def newest_packet_alerts(spark, d):
+    alerts = packets.packet_alerts(scored_packets(spark, d))
+    return packets.newest_alerts(alerts).select("event_id", "ts", "source")
+
+
+@register(
+    q.query(
+        [q.PACKETS],
+        f"""select count(*) as packets, count(case when {SCORE} >= 0.5 then 1 end) as attacks,
+  count(case when {SCORE} < 0.5 then 1 end) as normal,
+  round(count(case when {SCORE} >= 0.5 then 1 end) / greatest(count(*), 1)::double * 100, 6) as attack_percent from packets""",
+    )
+)
+def traffic_totals(spark, d):
+    found = packets.traffic_totals(scored_packets(spark, d))
+    return found.withColumn("attack_percent", F.round("attack_percent", 6))
+
+
+CONN = """conn as (select src_ip, src_port, dst_ip, dst_port, protocol, event_id, ts, tcp_flags, length from (
+  select event_id, ts, cast(k % 32 as integer) as tcp_flags, 40 + cast(floor(value * 10) as bigint) as length,
+    case when event_id % 3 = 0 then b else a end as src_ip, case when event_id % 3 = 0 then 443 else 40000 + user_id % 3 end as src_port,
+    case when event_id % 3 = 0 then a else b end as dst_ip, case when event_id % 3 = 0 then 40000 + user_id % 3 else 443 end as dst_port,
+    6 as protocol
+  from (select *, '198.51.100.' || cast(user_id % 254 + 1 as varchar) as a, '203.0.113.' || cast(user_id % 8 + 1 as varchar) as b from ev)
+)), keyed as (
+  select *, epoch_us(ts) as us, least(src_ip || ':' || src_port, dst_ip || ':' || dst_port) as e1,
+    greatest(src_ip || ':' || src_port, dst_ip || ':' || dst_port) as e2 from conn
+), gaps as (
+  select *, max(us) over (partition by e1, e2 order by event_id rows between unbounded preceding and 1 preceding) as last_us,
+    max(us) over (partition by e1, e2, src_ip order by event_id rows between unbounded preceding and 1 preceding) as last_side
+  from keyed
+), opened as (
+  select *, max(case when last_us is null or us > last_us + 21600000000 then event_id end)
+    over (partition by e1, e2 order by event_id) as flow_id from gaps
+), flowed as (
+  select o.*, f.us as first_us, f.src_ip = o.src_ip as fwd, cast(floor((o.us - f.us) / 86400000000.0::double) as bigint) as part
+  from opened o join keyed f on f.event_id = o.flow_id
+), measured as (
+  select *, case when last_us >= first_us then (us - last_us) / 1000000.0::double end as gap,
+    case when last_side >= first_us then (us - last_side) / 1000000.0::double end as side_gap from flowed
+)"""
+
+
+def conversations(spark, d):
+    a = F.concat(F.lit("198.51.100."), (F.col("user_id") % 254 + 1).cast("string"))
+    b = F.concat(F.lit("203.0.113."), (F.col("user_id") % 8 + 1).cast("string"))
+    back, port = F.col("event_id") % 3 == 0, (40000 + F.col("user_id") % 3).cast("int")
+    return fx.events(spark, d).select(
+        "event_id",
+        "ts",
+        F.when(back, b).otherwise(a).alias("src_ip"),
+        F.when(back, 443).otherwise(port).alias("src_port"),
+        F.when(back, a).otherwise(b).alias("dst_ip"),
+        F.when(back, port).otherwise(443).alias("dst_port"),
+        F.lit(6).alias("protocol"),
+        (F.col("k") % 32).cast("int").alias("tcp_flags"),
+        (F.lit(40) + F.floor(F.col("value") * 10)).cast("long").alias("length"),
+    )
+
+
+COUNTED = ["fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "syn_flag_count", "ack_flag_count"]
+STATS = [
+    "flow_duration_s", "fwd_pkt_len_max", "fwd_pkt_len_mean", "bwd_pkt_len_min", "flow_iat_mean", "flow_iat_max",
+    "flow_iat_min", "fwd_iat_total", "bwd_iat_mean", "pkt_len_mean",
+]
+
+
+@register(
+    q.query(
+        [CONN],
+        """select flow_id, part, count(case when fwd then 1 end) as fwd_packets, count(case when not fwd then 1 end) as bwd_packets,
+  cast(coalesce(sum(case when fwd then length end), 0) as bigint) as fwd_bytes,
+  cast(coalesce(sum(case when not fwd then length end), 0) as bigint) as bwd_bytes,
+  count(case when tcp_flags & 2 <> 0 then 1 end) as syn_flag_count, count(case when tcp_flags & 16 <> 0 then 1 end) as ack_flag_count,
+  round((max(us) - min(us)) / 1000000.0::double, 9) as flow_duration_s,
+  round(coalesce(max(case when fwd then length end), 0)::double, 9) as fwd_pkt_len_max,
+  round(coalesce(avg(case when fwd then length end), 0), 9) as fwd_pkt_len_mean,
+  round(coalesce(min(case when not fwd then length end), 0)::double, 9) as bwd_pkt_len_min,
+  round(coalesce(avg(gap), 0), 9) as flow_iat_mean, round(coalesce(max(gap), 0), 9) as flow_iat_max,
+  round(coalesce(min(gap), 0), 9) as flow_iat_min,
+  round(coalesce(sum(case when fwd then side_gap end), 0), 9) as fwd_iat_total,
+  round(coalesce(avg(case when not fwd then side_gap end), 0), 9) as bwd_iat_mean, round(avg(length), 9) as pkt_len_mean
+from measured group by flow_id, part""",
+    )
+)
+def built_flows(spark, d):
+    found = packets.build_flows(conversations(spark, d), 21600, 86400)
+    return found.select("flow_id", "part", *COUNTED, *[F.round(c, 9).alias(c) for c in STATS])
+
+
+def connections(spark, d):
+    """Connection records with all columns; many rows repeat."""
+    k = F.col("k")
+    named = {
+        "protocol_type": F.element_at(F.array(F.lit("tcp"), F.lit("udp"), F.lit("icmp")), (k % 3 + 1).cast("int")),
+        "service": F.concat(F.lit("s"), (k % 4).cast("string")),
+        "flag": F.element_at(F.array(F.lit("SF"), F.lit("S0")), (k % 2 + 1).cast("int")),
+        "attack": F.when(F.col("event_type") == "click", "normal").otherwise(F.col("event_type")),
+        "src_bytes": F.floor(F.col("value") / 40) * 40,
+    }
+    columns = [
+        named.get(c, k * (i + 1) % 5).alias(c) for i, c in enumerate(records_columns())
+    ]
+    return fx.events(spark, d).select(*columns)
+
+
+def records_columns():
+    from flowloom.registry import CONNECTION_COLUMNS
+
+    return CONNECTION_COLUMNS
+
+
+_NAMED = {
+    "protocol_type": "case k % 3 when 0 then 'tcp' when 1 then 'udp' else 'icmp' end",
+    "service": "'s' || cast(k % 4 as varchar)",
+    "flag": "case k % 2 when 0 then 'SF' else 'S0' end",
+    "attack": "case when event_type = 'click' then 'normal' else event_type end",
+    "src_bytes": "cast(floor(value / 40) as bigint) * 40",
+}
+RECORDS = "records as (select " + ", ".join(
+    f"{_NAMED.get(c, f'k * {i + 1} % 5')} as {c}" for i, c in enumerate(records_columns())
+) + " from ev)"
+
+
+@register(
+    q.query(
+        [RECORDS],
+        "select * exclude (attack), case when attack = 'normal' then 'normal' else 'attack' end as attack from (select distinct * from records)",
+    )
+)
+def connection_clean(spark, d):
+    return records.clean_records(connections(spark, d))
+
+
+@register(
+    q.query(
+        [RECORDS],
+        """select service, flag, attack, (dense_rank() over (order by service) - 1)::double as service_code,
+  (dense_rank() over (order by flag) - 1)::double as flag_code, (dense_rank() over (order by attack) - 1)::double as attack_code
+from records group by 1, 2, 3""",
+    )
+)
+def connection_codes(spark, d):
+    rows = connections(spark, d)
+    both = rows.withColumns({f"{c}_code": F.col(c) for c in ["service", "flag", "attack"]})
+    coded, _ = records.encode_records(both, ["service_code", "flag_code", "attack_code"])
+    return coded.select("service", "flag", "attack", "service_code", "flag_code", "attack_code").distinct()
+
+
+MI = ["src_bytes", "duration", "protocol_type", "service", "flag", "count"]
+
+
+def information(spark, d):
+    features = packets.packet_features(fx.packets(spark, d))
+    kinds = fx.events(spark, d).select("event_id", (F.col("event_type") == "error").alias("attack"))
+    return records.mutual_information(features.join(kinds, "event_id"), MI, "attack")
+
+
+def _bin(f: str) -> str:
+    return f"""case when max({f}) over () > min({f}) over () then
+    least(floor(({f} - min({f}) over ()) / (max({f}) over () - min({f}) over ())::double * 10), 9) else 0 end"""
+
+
+INFORMATION = f"""labelled as (
+  select src_bytes, duration, protocol_type, service, flag, count, event_type = 'error' as attack from
+    (select event_id, length as src_bytes, 0 as duration, protocol_type, service, flag, count from coded)
+    join ev using (event_id)
+), cells as (
+  {" union all ".join(f"select '{f}' as feature, {_bin(f)} as bin, attack from labelled" for f in MI)}
+), joint as (
+  select feature, bin, attack, count(*)::double as n from cells group by all
+), terms as (
+  select *, sum(n) over (partition by feature, bin) as n_bin, sum(n) over (partition by feature, attack) as n_label,
+    sum(n) over (partition by feature) as n_all from joint
+), information as (
+  select feature, greatest(sum(n / n_all * ln(n * n_all / (n_bin * n_label))), 0) as score from terms group by 1
+)"""
+
+
+@register(
+    q.query(
+        [q.PACKETS, TRAILING, CODED, INFORMATION],
+        "select feature, round(score, 6) as score from information",
+    )
+)
+def mutual_information(spark, d):
+    return information(spark, d).withColumn("score", F.round("score", 6))
+
+
+@register(
+    q.query(
+        [q.PACKETS, TRAILING, CODED, INFORMATION],
+        "select feature from information order by score desc, feature limit 3",
+    )
+)
+def best_features(spark, d):
+    return records.best_features(information(spark, d), 3).select("feature")
+
+
+@register(
+    q.query(
+        [
+            q.AUDIT,
+            """failed as (select ts, actor, ip from audit where action = 'auth.login_failed'
+), scoped as (select ts, 'user' as scope, actor as key from failed union all select ts, 'ip', ip from failed)""",
+        ],
+        """select time_bucket(interval 1 day, ts, timestamp '2000-01-01') as window_start, scope, key, count(*) as failures,
+  count(*) >= case scope when 'user' then 3 else 4 end as reached from scoped group by 1, 2, 3""",
+    )
+)
+def failed_login_windows(spark, d):
+    return logins.failed_logins(fx.audit(spark, d), 1440, {"user": 3, "ip": 4})
+
+
+@register(
+    q.query(
+        [q.DET],
+        """select time_bucket(interval 1 hour, ts, timestamp '2000-01-01') as window_start, dst_ip, count(*) as flows,
+  round(count(*) / 3600.0::double, 9) as flows_per_s, count(distinct src_ip) as unique_sources from det group by 1, 2""",
+    )
+)
+def destination_features(spark, d):
+    found = risk.destination_features(fx.network_events(spark, d))
+    return found.withColumn("flows_per_s", F.round("flows_per_s", 9))
+
+
+@register(
+    q.query(
+        [q.DET],
+        """select time_bucket(interval 1 hour, ts, timestamp '2000-01-01') as window_start, src_ip, count(*) as flows,
+  count(distinct dst_ip) as unique_hosts, count(distinct dst_port) as unique_ports from det group by 1, 2""",
+    )
+)
+def source_features(spark, d):
+    return risk.source_features(fx.network_events(spark, d))
+
+
+def _sql_anomaly(c: str) -> str:
+    mean = f"list_sum(list_transform(h_{c}, lambda x, i: x * pow(0.7, len(h_{c}) - i))) / list_sum(list_transform(h_{c}, lambda x, i: pow(0.7, len(h_{c}) - i)))"
+    return mean
+
+
+ANOMALY = f"""buckets as (
+  select dst_ip, time_bucket(interval 1 hour, ts, timestamp '2000-01-01') as bucket, count(*)::double as flows,
+    sum(packet_count)::double as packets, sum(byte_count)::double as bytes from det group by 1, 2
+), past as (
+  select *, {", ".join(f"list({c}) over w as h_{c}" for c in risk.RATES)} from buckets
+  window w as (partition by dst_ip order by bucket rows between 24 preceding and 1 preceding)
+), mids as (
+  select *, {", ".join(f"list_median(h_{c}) as mid_{c}, {_sql_anomaly(c)} as mean_{c}" for c in risk.RATES)} from past
+), zs as (
+  select *, {", ".join(f"greatest(({c} - mean_{c}) / greatest(1.4826 * list_median(list_transform(h_{c}, lambda x: abs(x - mid_{c}))), 0.05 * mean_{c}, 1.0), 0) as z_{c}" for c in risk.RATES)} from mids
+), anomaly as (
+  select dst_ip, bucket, flows, packets, bytes, greatest({", ".join(f"case when len(h_{c}) > 0 then 100 * z_{c} / (z_{c} + 3) else 0 end" for c in risk.RATES)}) as traffic_anomaly from zs
+)"""
+ANOMALY = ANOMALY.replace("list_median", "list_aggregate_median")
+for _c in risk.RATES:
+    ANOMALY = ANOMALY.replace(f"list_aggregate_median(h_{_c})", f"list_aggregate(h_{_c}, 'median')")
+    ANOMALY = ANOMALY.replace(
+        f"list_aggregate_median(list_transform(h_{_c}, lambda x: abs(x - mid_{_c})))",
+        f"list_aggregate(list_transform(h_{_c}, lambda x: abs(x - mid_{_c})), 'median')",
+    )
+
+
+@register(
+    q.query([q.DET, ANOMALY], "select dst_ip, bucket, round(traffic_anomaly, 4) as traffic_anomaly from anomaly")
+)
+def traffic_anomaly(spark, d):
+    found = risk.traffic_anomaly(fx.network_events(spark, d))
+    return found.select("dst_ip", "bucket", F.round("traffic_anomaly", 4).alias("traffic_anomaly"))
+
+
+REPUTATION = """prior as (
+  select d.event_id,
+    (select count(*) from rolled r where r.source_ip = d.src_ip and r.alert_id < d.event_id) as prior_source,
+    (select count(*) from rolled r where regexp_replace(r.source_ip, '[.][0-9]+$', '') = regexp_replace(d.src_ip, '[.][0-9]+$', '')
+      and r.alert_id < d.event_id) as prior_subnet
+  from det d
+)"""
+
+
+@register(
+    q.query([*q.ALERTS, REPUTATION], "select event_id, prior_source, prior_subnet from prior")
+)
+def source_reputation(spark, d):
+    found = risk.source_reputation(fx.detections(spark, d), fx.alerts(spark, d))
+    return found.select("event_id", "prior_source", "prior_subnet")
+
+
+@register(
+    q.query(
+        [*q.ALERTS, REPUTATION, ANOMALY],
+        """select event_id, case when label = 'benign' then 0 else cast(round_even(
+    0 + 0.4::double * (confidence * 100) + 0.25::double * traffic_anomaly
+    + 0.25::double * (case label when 'ddos' then 90.0::double when 'botnet' then 80.0 when 'bruteforce' then 65.0 when 'portscan' then 50.0 else 0 end
+      * (0.5::double + 0.5::double * least(log10(packet_count + 1) / 5, 1.0)))
+    + 0.1::double * least(100.0::double, 20.0::double * prior_source + 0.1::double * prior_subnet), 0) as integer) end as risk
+from det join prior using (event_id)
+join anomaly a on a.dst_ip = det.dst_ip and a.bucket = time_bucket(interval 1 hour, ts, timestamp '2000-01-01')""",
+    )
+)
+def risk_score(spark, d):
+    return risk.score_detections(fx.detections(spark, d), fx.alerts(spark, d)).select("event_id", "risk")
+
+
+RULES = {"email": ("HIGH", 86400), "chat": ("MEDIUM", 21600)}
+
+
+@register(
+    q.query(
+        [
+            q.DET,
+            q.ASSIGNED,
+            """fits as (
+  select 'email' as channel, alert_id, time_bucket(interval 1 day, ts, timestamp '2000-01-01') as period, event_id, risk_score
+  from assigned where risk_score > 60
+  union all
+  select 'chat', alert_id, time_bucket(interval 6 hour, ts, timestamp '2000-01-01'), event_id, risk_score
+  from assigned where risk_score > 30
+)""",
+        ],
+        """select channel, alert_id, period, min(event_id) as event_id, arg_min(risk_score, event_id) as risk_score,
+  count(*) - 1 as held_back from fits group by 1, 2, 3""",
+    )
+)
+def notifications(spark, d):
+    return risk.notifications(fx.assigned(spark, d), RULES)
