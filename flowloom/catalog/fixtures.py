@@ -11,6 +11,7 @@ from flowloom.functions.flows import lookup
 from flowloom.operators.correlate import assign_alerts, rollup
 from flowloom.registry import FEATURES, STATUSES
 from flowloom.session import configure
+from flowloom.sources import detections as contract
 
 CLASS_OF = {"click": "benign", "view": "portscan", "signup": "bruteforce", "purchase": "botnet", "error": "ddos"}
 AUDIT_ACTION = {
@@ -26,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _with_k(events_table: DataFrame) -> DataFrame:
+    return events_table.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").withColumn("k", k)
+    return _with_k(table(spark, sf_dir, "events"))
 
 
 def _ip(prefix: str, number: Column) -> Column:
@@ -44,7 +48,11 @@ def target_ip() -> Column:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = events(spark, sf_dir), F.col("k")
+    return _detections(table(spark, sf_dir, "events"))
+
+
+def _detections(events_table: DataFrame) -> DataFrame:
+    e, k = _with_k(events_table), F.col("k")
     packets = F.floor(F.col("value") * 100)
     duration = (k % 20) / F.lit(10.0)
     kind = F.col("event_type")
@@ -73,6 +81,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a streaming source."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def network_events(spark, sf_dir) -> DataFrame:
     return detections(spark, sf_dir).select(
         "event_id", "stream_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
@@ -230,3 +244,34 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("  note "), i.cast("string")).alias("body"),
         F.col("ts").alias("created_at"),
     )
+
+
+def envelopes(events_table: DataFrame) -> DataFrame:
+    """Detections as JSON text with faults: missing label, risk 150, cut text, extra field, doubles."""
+    d, i = _detections(events_table), F.col("event_id")
+    empty = F.create_map().cast("map<string,double>")
+    ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    fields = {name: F.col(name) for name in contract.FIELDS if name in d.columns}
+    fields |= {
+        "ts": ts,
+        "features": empty,
+        "class_probs": F.create_map("label", "confidence"),
+        "risk_components": F.create_map(F.lit("ml_confidence"), F.col("confidence") * 100),
+        "explanation": F.array(
+            F.struct(
+                F.lit("packets_per_sec").alias("feature"),
+                F.col("packets_per_sec").alias("value"),
+                F.lit(0.5).alias("contribution"),
+                F.lit(60.0).alias("weight"),
+            )
+        ),
+        "source": F.lit("sim"),
+        "label": F.when(i % 97 != 0, F.col("label")),
+        "risk_score": F.when(i % 101 == 0, 150).otherwise(F.col("risk_score")),
+        "operator": F.when(i % 107 == 0, "x"),
+    }
+    text = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    cut = F.when(i % 103 == 0, F.substring(text, 1, 20)).otherwise(text)
+    line = d.select(i.alias("seq"), "stream_id", cut.alias("data"))
+    twice = F.when(F.col("seq") % 89 == 0, 2).otherwise(1)
+    return line.select("*", F.explode(F.array_repeat(F.lit(0), twice)).alias("_")).drop("_")
