@@ -18,13 +18,13 @@ from flowloom.operators import evaluate, records
 from flowloom.operators.split import stratified_sample
 from flowloom.plans import bundle, explain, models, scoring
 from flowloom.registry import CLASSES
-from flowloom.session import scratch_path
+from flowloom.session import cut_lineage, scratch_path
 
 
 def prepared(spark, d):
-    """Split flows, capped training rows: read by every fold and model, so kept."""
-    flows = divided(spark, d).persist()
-    return flows, models.training_rows(flows, 150_000, 42).persist()
+    """Split flows and capped training rows: read by every fold and model, so written once."""
+    flows = cut_lineage(divided(spark, d))
+    return flows, cut_lineage(models.training_rows(flows, 150_000, 42))
 
 
 def _metrics(spark, d, name, **params):

@@ -112,12 +112,13 @@ def tree_contributions(spark: SparkSession, model: PipelineModel, class_id: Colu
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def attribute(x: pd.Series, c: pd.Series) -> pd.Series:
-        result = pd.Series([None] * len(x), index=x.index, dtype="object")
-        rows = x.notna() & c.notna()
-        if rows.any():
-            values = path_attributions(leaves.value, np.stack(x[rows].to_numpy()), c[rows].to_numpy(dtype=int))
-            result[rows] = list(values)
-        return result
+        result = [None] * len(x)
+        rows = np.flatnonzero((x.notna() & c.notna()).to_numpy())
+        if len(rows):
+            flows, towards = np.stack(x.iloc[rows].to_numpy()), c.iloc[rows].to_numpy(dtype=int)
+            for i, values in zip(rows, path_attributions(leaves.value, flows, towards)):
+                result[i] = values
+        return pd.Series(result, dtype="object")
 
     return attribute(F.when(wanted, vector_to_array("features")), F.when(wanted, class_id))
 

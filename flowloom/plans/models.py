@@ -26,6 +26,7 @@ from flowloom.operators import evaluate
 from flowloom.operators.split import cap_per_class
 from flowloom.plans.training import class_weights
 from flowloom.registry import CLASSES, CONNECTION_FEATURES, FEATURE_NAMES
+from flowloom.session import cut_lineage
 
 
 def preprocessing(features: list[str] = FEATURE_NAMES, out: str = "features") -> list:
@@ -43,8 +44,9 @@ def logistic_regression(rows: int, seed: int, features=FEATURE_NAMES, iterations
     """Multinomial, balanced, scaled. A penalty of 1 / rows on the mean loss is a unit penalty on the sum."""
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     model = LogisticRegression(
-        family="multinomial", maxIter=iterations, regParam=1.0 / max(rows, 1), standardization=False, **COLUMNS
-    )
+        family="multinomial", maxIter=iterations, tol=1e-4, regParam=1.0 / max(rows, 1), standardization=False,
+        **COLUMNS,
+    )
     return Pipeline(stages=[*preprocessing(features, "raw_features"), scaler, model])
 
 
@@ -128,8 +130,8 @@ def compare(
 ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Cross-validate, fit and evaluate each candidate. One row of results each, and the models."""
     params = params or {name: {} for name in CANDIDATES}
-    train = training_rows(divided, cap, seed).persist()
-    sample = weighted(cap_per_class(train.drop("weight"), cv_cap, "capture_order", seed)).persist()
+    train = cut_lineage(training_rows(divided, cap, seed))
+    sample = cut_lineage(weighted(cap_per_class(train.drop("weight"), cv_cap, "capture_order", seed)))
     test = divided.filter(~F.col("is_train"))
     rows, models = [], {}
     for name, given in params.items():

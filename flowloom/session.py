@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,6 +40,11 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return configure(spark)
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="flowloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's spark.checkpoint.dir.
 
@@ -50,11 +56,18 @@ def shared_dir(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="flowloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder: what follows survives lost executors without
+    recomputing it, and iterative jobs do not ship its whole history with every task."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
