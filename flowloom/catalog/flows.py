@@ -12,6 +12,7 @@ from flowloom.operators import clean as cleaning
 from flowloom.operators import split as splitting
 from flowloom.plans import training
 from flowloom.registry import CLASSES, FEATURE_NAMES
+from flowloom.session import cut_lineage
 
 
 def cleaned(spark, d):
@@ -19,7 +20,9 @@ def cleaned(spark, d):
 
 
 def divided(spark, d):
-    return splitting.temporal_split(cleaned(spark, d))
+    """The split reads the cleaned flows three times (block totals, positions, group sizes), so they
+    are written once instead of being deduplicated three times."""
+    return splitting.temporal_split(cut_lineage(cleaned(spark, d)))
 
 
 ROUNDED = ", ".join(f"round({n}, 6) as {n}" for n in FEATURE_NAMES)

@@ -52,13 +52,13 @@ def boosted_trees_metrics(spark, d):
 @register()
 def cross_validation(spark, d):
     _, train = prepared(spark, d)
-    return models.cross_validate("logistic_regression", train)
+    return models.cross_validate("random_forest", train, trees=10, depth=8)
 
 
 @register()
 def model_comparison(spark, d):
     flows, _ = prepared(spark, d)
-    params = {"logistic_regression": {}, "random_forest": {"trees": 10, "depth": 8}}
+    params = {"logistic_regression": {"iterations": 50}, "random_forest": {"trees": 10, "depth": 8}}
     return models.compare(flows, cv_cap=20_000, params=params)[0]
 
 

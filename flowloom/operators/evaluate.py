@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.scan import Measure, running, value_blocks
+from flowloom.session import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -76,7 +77,11 @@ def score_counts(scored: DataFrame) -> DataFrame:
 
 
 def ranked_scores(counts: DataFrame, blocks: int = 256) -> DataFrame:
-    """Adds, per row, positives and negatives with a lower score, and the class totals."""
+    """Adds, per row, positives and negatives with a lower score, and the class totals.
+
+    The counts are read four times, so they are written once; they are far smaller than the flows.
+    """
+    counts = cut_lineage(counts)
     cut = value_blocks(counts, "score", "_block", blocks)
     placed = running(
         cut,

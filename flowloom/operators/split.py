@@ -17,7 +17,7 @@ def temporal_split(
     The first 70 % of each (file, label) group in capture order train; folds are consecutive fifths
     of the training part. One benign group can be most of the data, so positions are counted in
     blocks: `block` names an order column that already is one (a file split offset), else blocks of
-    2**20 capture numbers are used.
+    2**20 capture numbers are used. `cleaned` is read three times: pass a written or checkpointed table.
     """
     blocked = cleaned if block else cleaned.withColumn("_block", id_block(F.col(order[0])))
     block = block or "_block"
