@@ -16,6 +16,7 @@ from flowloom.functions.flows import (
     label_class,
     label_text,
 )
+from flowloom.operators.scan import beside
 from flowloom.registry import CLASSES, FEATURE_NAMES, LABELS, RARE_LABELS
 
 
@@ -93,4 +94,4 @@ def cleaning_report(raw: DataFrame, order: list[str] = ["capture_order"]) -> Dat
         F.coalesce(F.sum(F.when(classes > 1, classes)), F.lit(0)).alias("dropped_conflicting_labels"),
         F.count_if(classes == 1).alias("rows_kept"),
     )
-    return loaded.join(grouped)  # one row beside one row
+    return beside(loaded, grouped)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.scan import Measure, running, value_blocks
+from flowloom.operators.scan import Measure, beside, running, value_blocks
 from flowloom.session import cut_lineage
 
 
@@ -64,7 +64,7 @@ def overall(confused: DataFrame, benign: int = 0) -> DataFrame:
         ratio(part(attack & flagged), part(attack)).alias("attack_detection_rate"),
         ratio(part(~attack & flagged), part(~attack)).alias("false_positive_rate"),
     )
-    return rates.join(averages)
+    return beside(rates, averages)
 
 
 def score_counts(scored: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def binary_report(binary: DataFrame, blocks: int = 256) -> DataFrame:
     attack = per_class(confused).filter("class_id = 1").select("precision", "recall", "f1")
     rates = overall(confused).select("accuracy", "false_positive_rate")
     auc = ranking_metrics(binary, blocks).filter("class_id = 1").select(F.col("roc_auc").alias("auc"))
-    return rates.join(attack).join(auc)
+    return beside(rates, attack, auc)
 
 
 def fold_scores(scored: DataFrame, classes: int) -> DataFrame:

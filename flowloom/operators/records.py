@@ -33,14 +33,16 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     One pass finds the ranges, a second counts (feature, bin, label); everything after that works
     on the contingency table, whose size depends on features, bins and labels only.
     """
-    ends = df.agg(*[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f"_{f}") for f in features])
+    ends = df.agg(*[F.struct(F.min(f), F.max(f)).alias(f) for f in features]).first()
 
     def binned(f):
-        lo, hi = F.col(f"_{f}.lo"), F.col(f"_{f}.hi")
-        place = F.floor((F.col(f) - lo) / (hi - lo).cast("double") * bins)
-        return F.when(hi > lo, F.least(place, F.lit(bins - 1).cast("long"))).otherwise(0)
+        lo, hi = ends[f]  # two numbers per feature reach the driver
+        if lo is None or lo == hi:
+            return F.lit(0).cast("long")
+        place = F.floor((F.col(f) - lo) / float(hi - lo) * bins)
+        return F.least(place, F.lit(bins - 1).cast("long"))
 
-    wide = df.select(F.col(label).alias("label"), *features).join(ends)  # beside a single row
+    wide = df.select(F.col(label).alias("label"), *features)
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), binned(f).alias("bin")) for f in features])
     cells = wide.select("label", F.inline(pairs)).groupBy("feature", "bin", "label").agg(
         F.count("*").alias("n")

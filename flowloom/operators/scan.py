@@ -87,6 +87,14 @@ def running(
     return joined.select(*out)
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row tables with different columns as a single row, without a join."""
+    stacked = rows[0]
+    for row in rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def value_blocks(df: DataFrame, column: str, out: str, blocks: int = 256) -> DataFrame:
     """Cut a double column into blocks at its quantiles.
 

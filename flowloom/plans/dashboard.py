@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.alerts import severity
+from flowloom.operators.scan import beside
 from flowloom.registry import (
     BENIGN,
     BUCKETS,
@@ -113,7 +114,7 @@ def summary(
         ],
         risk.alias("risk_score"),
     )
-    return traffic.join(state.withColumn("severity", severity(F.col("risk_score"))))
+    return beside(traffic, state.withColumn("severity", severity(F.col("risk_score"))))
 
 
 def attack_statistics(events: DataFrame, predictions: DataFrame, bucket: str = "1h") -> DataFrame:

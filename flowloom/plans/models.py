@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.flows import class_index
 from flowloom.operators import evaluate
+from flowloom.operators.scan import beside
 from flowloom.operators.split import cap_per_class
 from flowloom.plans.training import class_weights
 from flowloom.registry import CLASSES, CONNECTION_FEATURES, FEATURE_NAMES
@@ -122,7 +123,7 @@ def test_metrics(model: PipelineModel, test: DataFrame, blocks: int = 256) -> Da
     ranked = evaluate.ranking_metrics(rows, blocks).agg(
         F.avg("roc_auc").alias("roc_auc_ovr_macro"), F.avg("average_precision").alias("pr_auc_macro")
     )
-    return evaluate.overall(evaluate.confusion(rows, len(CLASSES))).join(ranked)
+    return beside(evaluate.overall(evaluate.confusion(rows, len(CLASSES))), ranked)
 
 
 def compare(
@@ -140,7 +141,7 @@ def compare(
         cv = summary.select(
             F.lit(name).alias("candidate"), F.col("mean").alias("cv_macro_f1_mean"), F.col("std").alias("cv_macro_f1_std")
         )
-        rows.append(cv.join(test_metrics(models[name], test)))
+        rows.append(beside(cv, test_metrics(models[name], test)))
     return reduce(DataFrame.unionByName, rows), models
 
 

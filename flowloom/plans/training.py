@@ -17,10 +17,10 @@ def class_counts(divided: DataFrame) -> DataFrame:
 def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
     counts = train.groupBy(label).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("_rows"), F.count("*").alias("_classes"))
-    return counts.join(whole).select(
-        label, "n", (F.col("_rows") / (F.col("_classes") * F.col("n"))).alias("weight")
-    )
+    whole = counts.agg(  # a row per class
+        F.collect_list(F.struct(label, "n")).alias("c"), F.sum("n").alias("rows"), F.count("*").alias("classes")
+    ).select(F.inline("c"), "rows", "classes")
+    return whole.select(label, "n", (F.col("rows") / (F.col("classes") * F.col("n"))).alias("weight"))
 
 
 def column_statistics(df: DataFrame, names: list[str]) -> DataFrame:
