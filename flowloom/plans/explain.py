@@ -6,6 +6,8 @@ Tree models: exact Shapley values of the path-dependent game, in Arrow batches n
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -30,8 +32,11 @@ def linear_contributions(model: PipelineModel, background: DataFrame, class_id:
     return F.zip_with(distance, F.get(table, class_id), lambda x, c: x * c)
 
 
-def tree_nodes(spark: SparkSession, forest) -> pd.DataFrame:
-    """Node table of a fitted forest: (tree, node, feature, threshold, left, right, cover, value)."""
+MAX_NODES = 500_000  # nodes of trees sent to the executors together
+
+
+def tree_nodes(spark: SparkSession, forest) -> DataFrame:
+    """Node table of a fitted forest: (tree, node, feature, threshold, left, right, stats)."""
     path = scratch_path(spark, "forest")
     forest.write().save(path)
     n = spark.read.parquet(f"{path}/data")
@@ -46,15 +51,27 @@ def tree_nodes(spark: SparkSession, forest) -> pd.DataFrame:
         F.col(f"{node}.leftChild").alias("left"),
         F.col(f"{node}.rightChild").alias("right"),
         F.col(f"{node}.impurityStats").alias("stats"),
-    ).toPandas()
+    )
 
 
-def leaves_of(nodes: pd.DataFrame) -> list[tuple]:
+def tree_groups(nodes: DataFrame, limit: int) -> list[list[int]]:
+    """Trees packed into groups of at most `limit` nodes; a larger tree is a group of its own."""
+    groups, size = [], limit
+    for row in nodes.groupBy("tree").count().orderBy("tree").collect():  # a row per tree
+        if size + row["count"] > limit:
+            groups.append([])
+            size = 0
+        groups[-1].append(row["tree"])
+        size += row["count"]
+    return groups
+
+
+def leaves_of(nodes: pd.DataFrame, trees: int) -> list[tuple]:
     """Every leaf as (features on its path, lower and upper bounds, cover shares, class values).
 
-    Bounds and shares of a feature met twice are merged. Values are class shares over all trees.
+    Bounds and shares of a feature met twice are merged. Values are class shares over all `trees`.
     """
-    trees, found = nodes["tree"].nunique(), []
+    found = []
     for _, part in nodes.groupby("tree"):
         at = {int(r.node): r for r in part.itertuples(index=False)}
         cover = {i: float(np.sum(r.stats)) for i, r in at.items()}
@@ -102,14 +119,7 @@ def path_attributions(leaves: list[tuple], x: np.ndarray, class_id: np.ndarray)
     return out
 
 
-def tree_contributions(spark: SparkSession, model: PipelineModel, class_id: Column, wanted: Column) -> Column:
-    """Attributions towards a class where `wanted` holds, null elsewhere.
-
-    The leaves are the model itself, so their size is the model's; rows not wanted cross to Python
-    as nulls only.
-    """
-    leaves = spark.sparkContext.broadcast(leaves_of(tree_nodes(spark, model.stages[-1])))
-
+def _attribution_udf(leaves):
     @F.pandas_udf(ArrayType(DoubleType()))
     def attribute(x: pd.Series, c: pd.Series) -> pd.Series:
         result = [None] * len(x)
@@ -120,7 +130,25 @@ def tree_contributions(spark: SparkSession, model: PipelineModel, class_id: Colu
                 result[i] = values
         return pd.Series(result, dtype="object")
 
-    return attribute(F.when(wanted, vector_to_array("features")), F.when(wanted, class_id))
+    return attribute
+
+
+def tree_contributions(
+    spark: SparkSession, model: PipelineModel, class_id: Column, wanted: Column, limit: int = MAX_NODES
+) -> Column:
+    """Attributions towards a class where `wanted` holds, null elsewhere.
+
+    Attributions of trees add up, so a forest goes out in groups of counted size, each with a column
+    of its own, and the columns are summed. Rows not wanted cross to Python as nulls only.
+    """
+    forest = model.stages[-1]
+    nodes = tree_nodes(spark, forest)
+    flows, towards = F.when(wanted, vector_to_array("features")), F.when(wanted, class_id)
+    parts = []
+    for group in tree_groups(nodes, limit):
+        leaves = leaves_of(nodes.filter(F.col("tree").isin(group)).toPandas(), forest.getNumTrees)
+        parts.append(_attribution_udf(spark.sparkContext.broadcast(leaves))(flows, towards))
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
 
 
 def contributions(model: PipelineModel, background: DataFrame, class_id: Column, wanted: Column) -> Column:

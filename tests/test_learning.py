@@ -118,12 +118,15 @@ def brute_shapley(leaves, x, c):
 
 def test_tree_attributions(spark, prepared):
     model = models.fit("random_forest", prepared[1], trees=2, depth=3)
-    leaves = explain.leaves_of(explain.tree_nodes(spark, model.stages[-1]))
+    leaves = explain.leaves_of(explain.tree_nodes(spark, model.stages[-1]).toPandas(), 2)
     rows = models.score(model, prepared[0].limit(20)).select("features", "proba", "pred").collect()
     x, c = np.stack([r.features.toArray() for r in rows]), np.array([r.pred for r in rows])
     got = explain.path_attributions(leaves, x, c)
     for i in range(4):
         assert got[i] == pytest.approx(brute_shapley(leaves, x[i], c[i]))
+    done = models.score(model, prepared[0].limit(20))
+    apart = explain.tree_contributions(spark, model, F.col("pred"), F.lit(True), limit=1)  # a group per tree
+    assert np.array([r[0] for r in done.select(apart).collect()]) == pytest.approx(got)
     base = sum(np.prod(share) * value for _, _, _, share, value in leaves)
     assert got.sum(axis=1) + base[c] == pytest.approx([r.proba[r.pred] for r in rows])
 
