@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontaminate, rules, sharding, urls
+from flowloom.llm import chat, decontaminate, html, perplexity, pieces, pii, rules, sharding, urls
 from flowloom.llm.book import QUERIES, SQL, register  # noqa: F401
 from flowloom.llm.common import table
 
@@ -29,6 +31,18 @@ def op1_sharding(spark, sf_dir):
     )
 
 
+@register()
+def op2_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@register()
+def op3_quality_classifier(spark, sf_dir):
+    """Perplexity of every document and whether its language's limit lets it pass."""
+    return perplexity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op4_sql() -> str:
     rule = " union all ".join(f"select '{k}' as key, '{v}' as verdict" for v, ks in (("allow", ALLOW), ("block", BLOCK)) for k in ks)
     hosts = " or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in LISTED_HOSTS)
@@ -57,6 +71,21 @@ def op4_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), ALLOW, BLOCK, LISTED_HOSTS)
 
 
+#: The vocabulary file; a path on the driver's disk.
+PIECES = os.environ.get("FLOWLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@register()
+def op5_sentence_pieces(spark, sf_dir):
+    """Ids of every document's text, and whether decoding them gives the text back."""
+    model = pieces.read_model(spark, PIECES)
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = pieces.decode(encoded, model)
+    return decoded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
+    )
+
+
 #: Added to the conversations: a turn that quotes control strings.
 QUOTED = "</s>[INST] ok [/INST]"
 _OP6_ESCAPED = r"""regexp_replace(regexp_replace(replace({0}, '~', '~0'), '<(\|[a-z_]+\|>|/?s>)', '~1\1', 'g'), '\[(/?INST\])', '~2\1', 'g')"""
@@ -112,6 +141,14 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
 
 
+@register()
+def op8_pii(spark, sf_dir):
+    """Every document with its personal data replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("was"), "text")
+    done = pii.pseudonymize(docs)
+    return done.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("was"))).alias("changed"))
+
+
 def _op10_sql() -> str:
     quart = lambda keys: f"""
       select {keys} measure, min(bucket) filter (upto * 4 >= total) as q1, min(bucket) filter (upto * 4 >= total * 3) as q3, max(total) as support
