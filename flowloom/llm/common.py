@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.session import scratch_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of two or three numbers that a broadcast may hold: about 100 MB as a hash table.
 BROADCAST_ROWS = 1_000_000
@@ -23,3 +25,11 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if it has at most `rows` rows, else as it is: the join shuffles."""
     few = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if few else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back: columns that are not needed later
+    are not read, and lost executors cost nothing of it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontaminate, html, perplexity, pieces, pii, rules, sharding, urls
+from flowloom.llm import chat, decontaminate, html, jaccard, perplexity, pieces, pii, rules, sharding, urls
 from flowloom.llm.book import QUERIES, SQL, register  # noqa: F401
 from flowloom.llm.common import table
 
@@ -149,6 +149,40 @@ def op8_pii(spark, sf_dir):
     return done.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("was"))).alias("changed"))
 
 
+_OP9_SQL = r"""
+with recursive docs as (
+  select row_number() over () as row_no, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as words
+  from documents),
+shingles as (
+  select distinct row_no, words[start : start + least(3, len(words)) - 1] as sh
+  from (select row_no, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) as start from docs where len(words) > 0)),
+sizes as (select row_no, count(*) as n from shingles group by row_no),
+sets as (select row_no, n, list(sh order by sh) as elements from shingles join sizes using (row_no) group by row_no, n),
+-- similar sets share one of the shingles that a set may lack, and one more, in any fixed order
+prefixes as (select row_no, n, elements, unnest(elements[1 : n - ((90 * n + 99) // 100) + 1]) as sh from sets),
+candidates as (
+  select distinct a.row_no as a, b.row_no as b from prefixes a join prefixes b using (sh)
+  where a.row_no < b.row_no and a.n * 100 >= b.n * 90 and b.n * 100 >= a.n * 90),
+shared as (
+  select a, b, x.n as n_a, y.n as n_b, len(list_intersect(x.elements, y.elements)) as inter
+  from candidates join sets x on a = x.row_no join sets y on b = y.row_no),
+links as (select a, b from shared where 100 * inter >= 90 * (n_a + n_b - inter)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(start, spot) as (
+  select row_no, row_no from docs
+  union select start, b from reach join both_ways on spot = a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from docs d left join sizes using (row_no)
+join (select start as row_no, min(doc_id) as component_id from reach join docs on spot = row_no group by start) using (row_no)"""
+
+
+@register(_OP9_SQL)
+def op9_ngram_jaccard(spark, sf_dir):
+    """Groups of documents whose word shingles are similar."""
+    return jaccard.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def _op10_sql() -> str:
     quart = lambda keys: f"""
       select {keys} measure, min(bucket) filter (upto * 4 >= total) as q1, min(bucket) filter (upto * 4 >= total * 3) as q3, max(total) as support
