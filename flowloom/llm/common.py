@@ -27,6 +27,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def long_rows(spark: SparkSession) -> None:
+    """Texts are long, so batches for Python get fewer rows than Spark's default of ten thousand,
+    unless the session says otherwise."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: columns that are not needed later
     are not read, and lost executors cost nothing of it."""

@@ -22,11 +22,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import long_rows
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Encoded words a task keeps from batch to batch.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
+#: Characters whose words are sorted and walked together.
+AT_ONCE = 1 << 20
+#: Characters before a place that tell which pieces end there.
+TAIL = 4
 #: A word starts with its run of marks; marks at the end of a text are a word of their own.
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: What an unknown character costs beyond the worst piece of a unigram model.
@@ -110,12 +116,22 @@ class Encoder:
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(model.pieces, model.types)) if t == BYTE}
         self.unknown = next((i for i, t in enumerate(model.types) if t == UNKNOWN), 0)
         self.floor = min((s for s, t in zip(model.scores, model.types) if t == NORMAL), default=0.0) - UNKNOWN_COST
+        self.packed = [struct.pack("i", i) for i in range(len(model.pieces))]
         # place of each piece among the merges: equal scores have equal places
         place = {score: i for i, score in enumerate(sorted({model.scores[i] for i in self.ids.values()}, reverse=True))}
         self.order = {p: place[model.scores[i]] for p, i in self.ids.items() if len(p) > 1}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        # id of a piece (the last entry: none) -> id of the next -> whether both stay
+        self.apart: list[dict[int, bool]] = [{} for _ in range(len(model.pieces) + 1)]
+        self.pairs = 0
+        self.known: dict[str | tuple[str], bytes] = {}
+        # the last TAIL characters of longer pieces -> their lengths, longest first
+        ends: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > TAIL:
+                ends.setdefault(piece[-TAIL:], set()).add(len(piece))
+        self.longer = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
+        self.tails: dict[str, tuple] = {}
 
     def merges(self, text: str) -> list[tuple[str, str]]:
         """The merges of a text in their order: the pair with the best score first, then the leftmost."""
@@ -148,31 +164,46 @@ class Encoder:
         Their merges are undone from the last one on. Whenever the two that then meet could have been
         merged before the merge just undone, they would have been: of equal scores the left goes first.
         """
-        pair = left, right
-        if pair in self.apart:
-            return self.apart[pair]
-        order, undone, apart = self.order, float("inf"), True
+        order, undone = self.order, float("inf")
         while True:
             if order.get(left + right, undone) < undone:
-                apart = False
-                break
+                return False
             first = order[left] if len(left) > 1 else -1
             second = order[right] if len(right) > 1 else -1
             if first < 0 and second < 0:
-                break
+                return True
             if first > second:
                 undone, left = first, self.made_of(left)[1]
             else:
                 undone, right = second + 0.5, self.made_of(right)[0]
-        if len(self.apart) >= 2 * REMEMBERED:
-            self.apart.clear()
-        self.apart[pair] = apart
-        return apart
-
-    def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Every word of a sorted list and its ids; forward scores go on from the common prefix."""
-        step = self._merge_step if self.model.kind == MERGES else self._unigram_step
-        table: list[tuple[float, str]] = [(0.0, "")]
+
+    def ending(self, tail: str) -> tuple[tuple[tuple[int, int], ...], tuple[int, ...]]:
+        """(length, id) of the pieces of two characters and more that merging can give and that end
+        `tail`, the longest first, and the lengths of even longer ones that end with all of it."""
+        found = []
+        for n in range(len(tail), 1, -1):
+            own = self.ids.get(tail[-n:])
+            if own is not None and self.made_of(tail[-n:]):
+                found.append((n, own))
+        return tuple(found), self.longer.get(tail, ())
+
+    def alone(self, char: str) -> tuple[int, bytes]:
+        """Id and packed ids of a character by itself; -1 where it has no piece and is never merged."""
+        own = self.ids.get(char)
+        if own is not None:
+            return own, self.packed[own]
+        if self.bytes:
+            return -1, b"".join(self.packed[self.bytes[b]] for b in char.encode())
+        return -1, self.packed[self.unknown]
+
+    def walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Every word of a sorted list and its packed ids; the table goes on from the common prefix.
+
+        The table has, for each prefix of the current word: the forward score, the id of the last
+        piece (-1: none that merges), and the packed ids of the whole prefix.
+        """
+        fill = self._merge_fill if self.model.kind == MERGES else self._unigram_fill
+        scores, pieces, packed = [0.0], [-1], [b""]
         last = ""
         for word in words:
             shared = 0
@@ -180,43 +211,60 @@ class Encoder:
                 if a != b:
                     break
                 shared += 1
-            del table[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                table.append(step(table, word, end))
-            yield word, self._back(table, word)
+            shared += 1
+            del scores[shared:], pieces[shared:], packed[shared:]
+            fill(word, shared, scores, pieces, packed)
+            yield word, packed[-1]
             last = word
 
-    def _merge_step(self, table, word: str, end: int) -> tuple[float, str]:
-        order = self.order
-        for start in range(max(0, end - self.longest), end - 1):
-            piece = word[start:end]
-            if piece in order and self.made_of(piece):
-                before = table[start][1]
-                if not before or self.stay_apart(before, piece):
-                    return 0.0, piece
-        return 0.0, word[end - 1]
-
-    def _unigram_step(self, table, word: str, end: int) -> tuple[float, str]:
-        best, piece = table[end - 1][0] + self.floor, word[end - 1]
-        for start in range(max(0, end - self.longest), end):
-            if (at := self.ids.get(word[start:end])) is not None and table[start][0] + self.model.scores[at] > best:
-                best, piece = table[start][0] + self.model.scores[at], word[start:end]
-        return best, piece
-
-    def _back(self, table, word: str) -> list[int]:
-        out, end = [], len(word)
-        while end:
-            piece = table[end][1]
-            found = self.ids.get(piece)
-            if found is not None:
-                out.append(found)
-            elif self.bytes:
-                out += [self.bytes[b] for b in reversed(piece.encode())]
+    def _merge_fill(self, word: str, start: int, scores: list, pieces: list, packed: list) -> None:
+        """Merging has one segmentation of each prefix, so scores need no comparing."""
+        codes, tails, apart = self.packed, self.tails, self.apart
+        for end in range(start, len(word) + 1):
+            tail = word[end - TAIL : end] if end > TAIL else word[:end]
+            entry = tails.get(tail)
+            if entry is None:
+                if len(tails) >= REMEMBERED:
+                    tails.clear()
+                tails[tail] = entry = self.ending(tail)
+            found, longer = entry
+            if longer:
+                more = [(n, self.ids.get(word[end - n : end])) for n in longer if n <= end]
+                found = (*((n, own) for n, own in more if own is not None and self.made_of(word[end - n : end])), *found)
+            for n, own in found:
+                before = pieces[end - n]
+                fits = apart[before].get(own)
+                if fits is None:
+                    fits = before < 0 or self.stay_apart(self.model.pieces[before], self.model.pieces[own])
+                    self._remember(before, own, fits)
+                if fits:
+                    pieces.append(own)
+                    packed.append(packed[end - n] + codes[own])
+                    break
             else:
-                out.append(self.unknown)
-            end -= len(piece)
-        out.reverse()
-        return out
+                own, code = self.alone(word[end - 1])
+                pieces.append(own)
+                packed.append(packed[end - 1] + code)
+
+    def _remember(self, before: int, own: int, fits: bool) -> None:
+        if self.pairs >= REMEMBERED:
+            self.pairs = 0
+            for known in self.apart:
+                known.clear()
+        self.pairs += 1
+        self.apart[before][own] = fits
+
+    def _unigram_fill(self, word: str, start: int, scores: list, pieces: list, packed: list) -> None:
+        for end in range(start, len(word) + 1):
+            own, code = self.alone(word[end - 1])
+            best, before = scores[end - 1] + self.floor, end - 1
+            for at in range(max(0, end - self.longest), end):
+                found = self.ids.get(word[at:end])
+                if found is not None and scores[at] + self.model.scores[found] > best:
+                    best, before, own, code = scores[at] + self.model.scores[found], at, found, self.packed[found]
+            scores.append(best)
+            pieces.append(own)
+            packed.append(packed[before] + code)
 
     def marked(self, text: str) -> str:
         if self.model.trim:
@@ -225,12 +273,29 @@ class Encoder:
             text = " " + text
         return text.replace(" ", MARK)
 
+    def split(self, text: str) -> list[str | tuple[str]]:
+        """The words of a text without their first mark; a word that has none is a tuple of its own."""
+        if self.model.add_mark and text and MARK not in text and "  " not in text and text[0] != " " != text[-1]:
+            return text.split(" ")
+        return [w[1:] if w[0] == MARK else (w,) for w in WORD.findall(self.marked(text))]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        split = [None if t is None else WORD.findall(self.marked(t)) for t in texts]
-        new = {w for words in split if words for w in words}
+        """Ids of the texts, some AT_ONCE characters of them at a time."""
+        out, start, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= AT_ONCE or end == len(texts):
+                out += self._encode(texts[start:end])
+                start, size = end, 0
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        split = [None if t is None else self.split(t) for t in texts]
+        words = set().union(*filter(None, split))
         if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in new if w in self.known}
-        self.known.update((w, struct.pack(f"{len(ids)}i", *ids)) for w, ids in self.walk(sorted(new - self.known.keys())))
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        new = {w[0] if isinstance(w, tuple) else MARK + w: w for w in words - self.known.keys()}
+        self.known.update((new[word], code) for word, code in self.walk(sorted(new)))
         look = self.known.__getitem__
         return [None if words is None else np.frombuffer(b"".join(map(look, words)), np.int32) for words in split]
 
@@ -246,7 +311,7 @@ class Decoder:
     def decode(self, ids) -> str | None:
         if ids is None:
             return None
-        text = b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.add_mark and text.startswith(" ") else text
 
 
@@ -270,6 +335,7 @@ def encode(docs: DataFrame, model: Model, column: str = "text", into: str = "ids
     Null texts have null ids, empty texts none. Repeated rows are encoded alike. Texts are encoded
     whole; a batch holds the distinct words of its texts.
     """
+    long_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")
@@ -290,6 +356,6 @@ def decode(docs: DataFrame, model: Model, column: str = "ids", into: str = "deco
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = Decoder(shared.value)
         for ids in batches:
-            yield ids.map(decoder.decode)
+            yield pd.Series([decoder.decode(None if x is None else x.tolist()) for x in ids], dtype=object)
 
     return docs.withColumn(into, text(F.col(column)))
