@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import stored
+from flowloom.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,10 +27,14 @@ def components(links: DataFrame) -> DataFrame:
             roots = step
         else:
             moved = step.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            roots = roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-            roots = stored(roots, "roots")
+            renamed = roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+            renamed = stored(renamed, "roots")
+            discard(roots)
+            roots = renamed
         left = step.select(F.col("node").alias("a"), F.col("root").alias("to_a"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("to_b"))
-        links = links.join(left, "a").join(right, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-        links = stored(links.where("a <> b").distinct(), "links")
-    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        moved = links.join(left, "a").join(right, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        moved = stored(moved.where("a <> b").distinct(), "links")
+        discard(links, least, *([] if roots is step else [step]))
+        links = moved
+    return roots if roots is not None else stored(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import small_side, stored
+from flowloom.llm.common import BROADCAST_ROWS, discard, long_rows, small_side, stored
 from flowloom.llm.components import components
 
 WIDTH = 3
@@ -44,11 +44,10 @@ MAX_SMALL = 60
 #: Counters of the sketch of document frequencies. They decide which shingles count as rare, so they
 #: bear on cost and never on results.
 COUNTERS = 1 << 18
-#: Bits of a bitmap, at least and at most; about two for each shingle.
-MIN_BITS, MAX_BITS = 256, 1 << 16
-#: Classes whose sets are asked for by a list that tasks hold, 8 bytes each; beyond that all sets go
-#: to the join that picks them.
-MAX_ASKED = 4_000_000
+#: Bits of a bitmap, at least and at most; about two for each shingle. Every entry of an inverted list
+#: carries one of at most LIST_BITS, since long documents have many entries; pairs that pass are
+#: compared by their whole bitmaps next, and only then by their sets.
+MIN_BITS, MAX_BITS, LIST_BITS = 256, 1 << 16, 1024
 #: Word hashes and classes a task remembers.
 REMEMBERED = 1_000_000
 NO_ID = (1 << 63) - 1
@@ -132,15 +131,19 @@ def bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def fold(bits: bytes, size: int) -> int:
+    """A bitmap's value with at most `size` bytes."""
+    value, at = int.from_bytes(bits, "little"), len(bits)
+    while at > size:
+        at //= 2
+        value = (value >> 8 * at) ^ (value & (1 << 8 * at) - 1)
+    return value
+
+
 def differing(a: bytes, b: bytes) -> int:
     """A lower bound of the number of elements in one set only. The larger bitmap is folded."""
-    x, y = sorted((a, b), key=len)
-    low, high = int.from_bytes(x, "little"), int.from_bytes(y, "little")
-    size = len(y)
-    while size > len(x):
-        size //= 2
-        high = (high >> 8 * size) ^ (high & (1 << 8 * size) - 1)
-    return (low ^ high).bit_count()
+    size = min(len(a), len(b))
+    return (fold(a, size) ^ fold(b, size)).bit_count()
 
 
 def _counter(elements: np.ndarray) -> np.ndarray:
@@ -178,10 +181,10 @@ def rarest(elements: np.ndarray, count: int, frequency: np.ndarray) -> np.ndarra
 
 
 def describe(docs: DataFrame, width: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, size and class of every row; prefix and bitmap of every class at least once
+    """doc_id, text_hash, size and class of every row; prefix and bitmaps of every class at least once
     (a task leaves them out where it has given them)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
-    schema = "doc_id long, text_hash long, size int, class binary, prefix array<long>, bitmap binary"
+    schema = "doc_id long, text_hash long, size int, class binary, prefix array<long>, bitmap binary, small binary"
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, given, frequency = Shingler(width), set(), shared.value
@@ -191,22 +194,26 @@ def describe(docs: DataFrame, width: int, percent: int, frequency: np.ndarray) -
                 elements = shingler.set_of(text)
                 size = len(elements)
                 if not size:
-                    rows.append((doc_id, text_hash, 0, None, None, None))
+                    rows.append((doc_id, text_hash, 0, None, None, None, None))
                     continue
-                name, prefix, bits = class_of(elements), None, None
+                name, prefix, bits, small = class_of(elements), None, None, None
                 if name not in given:
                     if len(given) >= REMEMBERED:
                         given.clear()
                     given.add(name)
                     prefix = rarest(elements, prefix_length(size, percent), frequency).view(np.int64)
                     bits = bitmap(elements)
-                rows.append((doc_id, text_hash, size, name, prefix, bits))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "size", "class", "prefix", "bitmap"])
+                    length = min(len(bits), LIST_BITS // 8)
+                    small = fold(bits, length).to_bytes(length, "little")
+                rows.append((doc_id, text_hash, size, name, prefix, bits, small))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "size", "class", "prefix", "bitmap", "small"])
+
+    return stored(_keyed(docs).mapInPandas(describe, schema), "sets")
 
-    texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
-    )
-    return stored(texts.mapInPandas(describe, schema), "sets")
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    return docs.select(doc_id, F.xxhash64("text").alias("text_hash"), "text")
 
 
 def boundary(prefixes: DataFrame, lists: DataFrame, percent: int) -> int:
@@ -225,42 +232,35 @@ def boundary(prefixes: DataFrame, lists: DataFrame, percent: int) -> int:
     return at
 
 
-def asked_sets(docs: DataFrame, width: int, small: int, asked: DataFrame) -> DataFrame:
-    """class, size, elements (8 bytes each) of the classes in `asked` (class), and of all sets with at
-    most `small` elements."""
-    spark = docs.sparkSession
-    names = None
-    if asked.count() <= MAX_ASKED:
-        start = asked.select(F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long").alias("start"))
-        names = np.unique(start.toPandas()["start"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(names)
+def asked_sets(docs: DataFrame, rows: DataFrame, width: int, asked: DataFrame) -> DataFrame:
+    """class, size, elements of the classes in `asked` (class).
+
+    One document stands for each class. Where these are few enough to send, other texts are left out
+    before they reach Python; else all sets are made, and the join picks them.
+    """
+    first = F.min(F.struct("doc_id", "text_hash")).alias("x")
+    holders = rows.join(asked, "class").groupBy("class").agg(first).select("x.*")
+    texts = _keyed(docs)
+    if holders.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(holders), ["doc_id", "text_hash"], "left_semi")
 
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, given, names = Shingler(width), set(), shared.value
+        shingler, given = Shingler(width), set()
         for batch in batches:
-            rows = []
+            found = []
             for text in batch["text"]:
                 elements = shingler.set_of(text)
-                if not len(elements):
-                    continue
                 name = class_of(elements)
-                if name in given:
+                if not len(elements) or name in given:
                     continue
-                if len(elements) > small and names is not None:
-                    start = int.from_bytes(name[:7], "big")
-                    at = np.searchsorted(names, start)
-                    if at == len(names) or names[at] != start:
-                        continue
                 if len(given) >= REMEMBERED:
                     given.clear()
                 given.add(name)
-                rows.append((name, len(elements), elements.tobytes()))
-            yield pd.DataFrame(rows, columns=["class", "size", "elements"])
+                found.append((name, len(elements), elements.view(np.int64)))
+            yield pd.DataFrame(found, columns=["class", "size", "elements"])
 
-    sets = docs.select("text").mapInPandas(give, "class binary, size int, elements binary")
-    if names is None:
-        sets = sets.join(asked.withColumn("asked", F.lit(True)), "class", "left").where(F.col("asked") | (F.col("size") <= small))
-    return sets.select("class", "size", "elements").dropDuplicates(["class"])
+    sets = texts.select("text").mapInPandas(give, "class binary, size int, elements array<long>")
+    return sets.join(asked, "class", "left_semi").dropDuplicates(["class"])
 
 
 def light_links(sets: DataFrame, small: int, percent: int) -> DataFrame:
@@ -269,7 +269,7 @@ def light_links(sets: DataFrame, small: int, percent: int) -> DataFrame:
     def list_subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, size, raw in zip(batch["class"], batch["size"], batch["elements"]):
-                elements = np.frombuffer(raw, np.uint64)
+                elements = raw.view(np.uint64)
                 # a subset is named by two sums over its elements, so leaving some out is a subtraction
                 first, second = mix(elements * M1), mix(elements * M2 + U32)
                 all_first, all_second = first.sum(), second.sum()
@@ -300,7 +300,7 @@ def chunks(prefixes: DataFrame, lists: DataFrame, small: int) -> DataFrame:
     """token, n, chunk, sets: the inverted lists of large sets that have at least two, by chunks."""
     posted = prefixes.where(F.col("size") > small).select("class", "size", F.posexplode("prefix").alias("place", "token"))
     shared = posted.join(lists.where("n > 1"), "token")
-    held = shared.join(prefixes.select("class", "bitmap"), "class")
+    held = shared.join(prefixes.select("class", F.col("small").alias("bitmap")), "class")
     chunk = F.pmod(F.xxhash64("token", "class"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
     return held.select("token", "n", chunk, "class", "size", "place", "bitmap")
 
@@ -341,20 +341,28 @@ def compare(pairs_of_chunks: DataFrame, percent: int) -> DataFrame:
     return pairs_of_chunks.select("left", "right").mapInPandas(compare, "a binary, b binary").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar, with their number of shared shingles."""
+def promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that whole bitmaps do not rule out."""
 
     @F.pandas_udf("int")
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        count = [
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            for x, y in zip(a, b)
-        ]
-        return pd.Series(count, dtype="int32")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([differing(x, y) for x, y in zip(a, b)], dtype="int32")
 
+    left = prefixes.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("bitmap").alias("bits_a"))
+    right = prefixes.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("bitmap").alias("bits_b"))
+    joined = pairs.join(left, "a").join(right, "b")
+    sizes = F.col("size_a") + F.col("size_b")
+    # of the sum of both sizes at least 2 * need is shared
+    most = sizes - 2 * F.ceil(sizes * percent / (100 + percent))
+    return joined.where(apart("bits_a", "bits_b") <= most).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar, with their number of shared shingles."""
     left = sets.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("elements").alias("set_a"))
     right = sets.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("elements").alias("set_b"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("shared", shared("set_a", "set_b"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", shared.alias("shared"))
     similar = F.col("shared") * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
     return joined.where(similar).select("a", "b", "shared")
 
@@ -362,11 +370,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, size, class) of all documents, and links (a, b) between classes that
     connect just those that chains of similar pairs connect."""
+    long_rows(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     frequency = frequencies(docs, width)
-    rows = describe(docs, width, percent, frequency)
-    prefixes = rows.where(F.col("prefix").isNotNull()).select("class", "size", "prefix", "bitmap")
+    described = describe(docs, width, percent, frequency)
+    prefixes = described.where(F.col("prefix").isNotNull()).select("class", "size", "prefix", "bitmap", "small")
     prefixes = stored(prefixes.dropDuplicates(["class"]), "prefixes")
+    rows = stored(described.select("doc_id", "text_hash", "size", "class"), "rows")
+    discard(described)
     lists = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     lists = stored(lists.where("n > 1"), "lists")
     small = boundary(prefixes, lists, percent)
@@ -378,20 +389,26 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     single = whole.where(F.col("n") <= CHUNK).select(F.col("sets").alias("left"), F.col("sets").alias("right"))
     first = whole.where((F.col("n") > CHUNK) & (F.col("chunk") == 0)).select("token", F.slice("sets", 1, CENTERS).alias("left"))
     long = whole.where(F.col("n") > CHUNK).select("token", F.col("sets").alias("right"))
-    pairs = stored(compare(single.unionByName(first.join(long, "token").select("left", "right")), percent), "pairs")
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "asked")
-    sets = stored(asked_sets(docs, width, 100 * small // percent, asked), "elements")
+    tried = stored(compare(single.unionByName(first.join(long, "token").select("left", "right")), percent), "tried")
+    pairs = stored(promising(tried, prefixes, percent), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    asked = asked.unionByName(prefixes.where(F.col("size") <= 100 * small // percent).select("class"))
+    asked = stored(asked.distinct(), "asked")
+    sets = stored(asked_sets(docs, rows, width, asked), "elements")
     links = verified(pairs, sets, percent).select("a", "b")
     if small:
         links = links.unionByName(light_links(sets.where(F.col("size") <= 100 * small // percent), small, percent))
     links = stored(links, "links")
+    discard(lists, whole, pairs, asked, sets)
 
     # long lists: what is outside the largest component, with all others
     rest = held.where(F.col("n") > CHUNK)
     if not rest.isEmpty():
-        roots = components(links).select(F.col("node").alias("class"), "root")
+        found_roots = components(links)
+        roots = found_roots.select(F.col("node").alias("class"), "root")
         rest = rest.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         rest = stored(rest, "rooted")
+        discard(found_roots)
         parts = rest.groupBy("token", "root").agg(F.count("*").alias("members"))
         largest = parts.groupBy("token").agg(F.max(F.struct("members", "root")).alias("x"), F.sum("members").alias("all"))
         largest = largest.where(F.col("x.members") < F.col("all")).select("token", F.col("x.root").alias("largest"), F.col("all"), F.col("x.members").alias("in_largest"))
@@ -400,12 +417,17 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
         block = F.pmod(F.xxhash64("class", "token"), outside).alias("block")
         left = gather(open_lists.where(F.col("root") != F.col("largest")), "token", block).select("token", F.col("sets").alias("left"))
         right = gather(open_lists, "token", "chunk").select("token", F.col("sets").alias("right"))
-        more = stored(compare(left.join(right, "token"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = compare(left.join(right, "token"), percent).join(tried, ["a", "b"], "left_anti")
+        more = stored(promising(more, prefixes, percent), "pairs")
         asked = stored(more.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "asked")
         if not asked.isEmpty():
-            sets = stored(asked_sets(docs, width, 0, asked), "elements")
-            links = links.unionByName(verified(more, sets, percent).select("a", "b"))
-    return rows.select("doc_id", "text_hash", "size", "class"), links
+            sets = stored(asked_sets(docs, rows, width, asked), "elements")
+            found = stored(verified(more, sets, percent).select("a", "b"), "links")
+            links = links.unionByName(found)
+            discard(sets)
+        discard(rest, open_lists, more, asked)
+    discard(prefixes, held, tried)
+    return rows, links
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
