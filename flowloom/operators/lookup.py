@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.flows import lookup
-from flowloom.plans.dashboard import typed
+from flowloom.plans.dashboard import between, typed
 from flowloom.registry import MOVES, STATUSES
 
 MAX_PAGE = 200
@@ -46,10 +46,7 @@ def filter_events(
         rows = rows.filter(F.col("label") == label)
     if ip is not None:
         rows = rows.filter((F.col("src_ip") == ip) | (F.col("dst_ip") == ip))
-    if since is not None:
-        rows = rows.filter(F.col("ts") >= typed(rows, "ts", since))
-    if until is not None:
-        rows = rows.filter(F.col("ts") <= typed(rows, "ts", until))
+    rows = between(rows, "ts", since, until)
     if min_risk is not None:
         rows = rows.filter(F.col("risk_score") >= min_risk)
     return rows
@@ -132,11 +129,7 @@ def filter_audit(
     for column, value in equal.items():
         if value is not None:
             audit = audit.filter(F.col(column) == value)
-    if since is not None:
-        audit = audit.filter(F.col("ts") >= typed(audit, "ts", since))
-    if until is not None:
-        audit = audit.filter(F.col("ts") <= typed(audit, "ts", until))
-    return audit
+    return between(audit, "ts", since, until)
 
 
 def newest_audit(audit: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

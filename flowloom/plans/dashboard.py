@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.alerts import severity
@@ -35,8 +35,24 @@ def typed(df: DataFrame, ts: str, moment: datetime) -> Column:
 def since(df: DataFrame, window: str, as_of: datetime, ts: str = "ts") -> DataFrame:
     if window not in WINDOWS:
         raise ValueError(f"window must be one of {list(WINDOWS)}")
-    start = as_of - timedelta(seconds=WINDOWS[window])
-    return df.filter(F.col(ts) >= typed(df, ts, start))
+    return between(df, ts, as_of - timedelta(seconds=WINDOWS[window]))
+
+
+def between(df: DataFrame, ts: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Rows from `start` to `end`. Tables stored by `day` are also filtered by it, so that a scan
+    lists and reads the days in question only."""
+    if start is not None:
+        df = df.filter(F.col(ts) >= typed(df, ts, start))
+        df = df.filter(F.col("day") >= F.lit(start.date())) if "day" in df.columns else df
+    if end is not None:
+        df = df.filter(F.col(ts) <= typed(df, ts, end))
+        df = df.filter(F.col("day") <= F.lit(end.date())) if "day" in df.columns else df
+    return df
+
+
+def recent(predictions: DataFrame, window: str, as_of: datetime) -> DataFrame:
+    """Predictions that can belong to events of the window: stored ones carry their event's time."""
+    return since(predictions, window, as_of) if "ts" in predictions.columns else predictions
 
 
 def joined(events: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -53,7 +69,7 @@ def timeseries(
     span, step = WINDOWS[window], BUCKETS[bucket]
     if span / step > MAX_POINTS:
         raise ValueError(f"bucket {bucket} is too small for window {window}")
-    rows = joined(since(events, window, as_of).select("event_id", "ts"), predictions.select("event_id", "label"))
+    rows = joined(since(events, window, as_of).select("event_id", "ts"), recent(predictions, window, as_of).select("event_id", "label"))
     counts = rows.groupBy(F.window("ts", f"{step} seconds").start.alias("bucket")).agg(
         F.count("*").alias("events"), F.count_if(F.col("label") != BENIGN).alias("attacks")
     )
@@ -72,7 +88,7 @@ def timeseries(
 
 
 def distribution(events: DataFrame, predictions: DataFrame, window: str, as_of: datetime) -> DataFrame:
-    rows = joined(since(events, window, as_of).select("event_id"), predictions.select("event_id", "label"))
+    rows = joined(since(events, window, as_of).select("event_id"), recent(predictions, window, as_of).select("event_id", "label"))
     return rows.groupBy("label").agg(F.count("*").alias("events")).orderBy(F.desc("events"), "label")
 
 
@@ -100,7 +116,7 @@ def summary(
     events: DataFrame, predictions: DataFrame, alerts: DataFrame, window: str, as_of: datetime
 ) -> DataFrame:
     """One row. Only the event counts use the window; alert counts cover every alert."""
-    rows = joined(since(events, window, as_of).select("event_id"), predictions.select("event_id", "label"))
+    rows = joined(since(events, window, as_of).select("event_id"), recent(predictions, window, as_of).select("event_id", "label"))
     traffic = rows.agg(
         F.count("*").alias("events"), F.count_if(F.col("label") != BENIGN).alias("attacks")
     )
@@ -137,3 +153,18 @@ def expired_days(events: DataFrame, keep_days: int, as_of: datetime) -> DataFram
     edge = (as_of - timedelta(days=keep_days)).date()
     day = F.to_date("ts")
     return events.groupBy(day.alias("day")).agg(F.count("*").alias("events")).filter(F.col("day") < F.lit(edge))
+
+
+def drop_expired_days(spark: SparkSession, path: str, keep_days: int, as_of: datetime) -> list[str]:
+    """Delete the day folders of a table stored by day that are older than the retention period.
+
+    Only folder names are looked at; returns the days dropped. Readers see whole days or none.
+    """
+    edge = f"day={(as_of - timedelta(days=keep_days)).date().isoformat()}"
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = sorted(s.getPath().getName() for s in store.listStatus(root) if s.isDirectory())
+    expired = [d for d in days if d.startswith("day=") and d < edge]
+    for day in expired:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(root, day), True)
+    return [d.removeprefix("day=") for d in expired]

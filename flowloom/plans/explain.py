@@ -1,7 +1,9 @@
 """Why a flow was classified as it was: signed attributions per feature.
 
 Linear models: coefficient times distance from the background mean, in plain column expressions.
-Tree models: exact Shapley values of the path-dependent game, in Arrow batches next to the data.
+Tree models: exact Shapley values of the path-dependent game, in Arrow batches next to the data. They
+add up to the class's share of votes in a forest, and to its margin in boosted ensembles, less the
+value an unknown flow would get.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +39,7 @@ MAX_NODES = 500_000  # nodes of trees sent to the executors together
 
 
 def tree_nodes(spark: SparkSession, forest) -> DataFrame:
-    """Node table of a fitted forest: (tree, node, feature, threshold, left, right, stats)."""
+    """Node table of a fitted ensemble: (tree, node, feature, threshold, left, right, stats, prediction)."""
     path = scratch_path(spark, "forest")
     forest.write().save(path)
     n = spark.read.parquet(f"{path}/data")
@@ -51,6 +54,8 @@ def tree_nodes(spark: SparkSession, forest) -> DataFrame:
         F.col(f"{node}.leftChild").alias("left"),
         F.col(f"{node}.rightChild").alias("right"),
         F.col(f"{node}.impurityStats").alias("stats"),
+        F.col(f"{node}.prediction").alias("prediction"),
+        F.col(f"{node}.rawCount").alias("rows"),
     )
 
 
@@ -66,15 +71,16 @@ def tree_groups(nodes: DataFrame, limit: int) -> list[list[int]]:
     return groups
 
 
-def leaves_of(nodes: pd.DataFrame, trees: int) -> list[tuple]:
-    """Every leaf as (features on its path, lower and upper bounds, cover shares, class values).
+def leaves_of(nodes: pd.DataFrame, value, cover_of) -> list[tuple]:
+    """Every leaf as (features on its path, lower and upper bounds, cover shares, value per class).
 
-    Bounds and shares of a feature met twice are merged. Values are class shares over all `trees`.
+    Bounds and shares of a feature met twice are merged. `value` gives a leaf's array of values and
+    `cover_of` the weight of the training rows at a node.
     """
     found = []
     for _, part in nodes.groupby("tree"):
         at = {int(r.node): r for r in part.itertuples(index=False)}
-        cover = {i: float(np.sum(r.stats)) for i, r in at.items()}
+        cover = {i: cover_of(r) for i, r in at.items()}
         stack = [(0, {})]
         while stack:
             i, path = stack.pop()
@@ -82,7 +88,7 @@ def leaves_of(nodes: pd.DataFrame, trees: int) -> list[tuple]:
             if row.left < 0:
                 features = sorted(path)
                 lo, hi, share = np.array([path[f] for f in features]).reshape(-1, 3).T
-                found.append((np.array(features, dtype=int), lo, hi, share, np.asarray(row.stats) / cover[i] / trees))
+                found.append((np.array(features, dtype=int), lo, hi, share, value(row)))
                 continue
             f, cut = int(row.feature), float(row.threshold[0])
             lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
@@ -92,19 +98,48 @@ def leaves_of(nodes: pd.DataFrame, trees: int) -> list[tuple]:
     return found
 
 
-def path_attributions(leaves: list[tuple], x: np.ndarray, class_id: np.ndarray) -> np.ndarray:
-    """Shapley values (rows, features) towards each row's class.
+def ensembles(model, limit: int):
+    """The groups of leaves of a fitted ensemble, a forest or boosted trees per class."""
+    spark = SparkSession.getActiveSession()
+    if isinstance(model, OneVsRestModel):
+        classes = len(model.models)
+        for c, boosted in enumerate(model.models):
+            nodes, weights = tree_nodes(spark, boosted), list(boosted.treeWeights)
+
+            def margin(row, c=c, weights=weights):
+                value = np.zeros(classes)
+                value[c] = weights[int(row.tree)] * row.prediction
+                return value
+
+            for group in tree_groups(nodes, limit):
+                part = nodes.filter(F.col("tree").isin(group)).toPandas()
+                yield leaves_of(part, margin, lambda r: float(r.rows))
+        return
+    nodes = tree_nodes(spark, model)
+
+    def votes(row):
+        stats = np.asarray(row.stats)
+        return stats / stats.sum() / model.getNumTrees
+
+    for group in tree_groups(nodes, limit):
+        part = nodes.filter(F.col("tree").isin(group)).toPandas()
+        yield leaves_of(part, votes, lambda r: float(np.sum(r.stats)))
+
+
+def path_attributions(leaves: list[tuple], x: np.ndarray, class_id: np.ndarray | None = None) -> np.ndarray:
+    """Shapley values (rows, features) towards each row's class, or (rows, classes, features) of all.
 
     In a leaf's game a feature contributes 1 or 0 when known (does the row stay on the path) and the
     cover share when not. Its Shapley value is (known - share) times the integral over t in (0, 1) of
     the product of share * (1 - t) + known * t over the other features: a polynomial, so a Gauss rule
     with enough points gives it exactly.
     """
-    out = np.zeros_like(x)
+    classes = len(leaves[0][4]) if leaves else 0
+    out = np.zeros_like(x) if class_id is not None else np.zeros((len(x), classes, x.shape[1]))
     rules = {}
     for features, lo, hi, share, value in leaves:
         d = len(features)
-        if d == 0:
+        if d == 0 or not value.any():
             continue
         q = d // 2 + 1
         if q not in rules:
@@ -115,7 +150,12 @@ def path_attributions(leaves: list[tuple], x: np.ndarray, class_id: np.ndarray)
         known = ((cells > lo) & (cells <= hi)).astype(float)
         each = share[None, :, None] * (1 - t) + known[:, :, None] * t
         others = (each.prod(axis=1, keepdims=True) / each) @ w
-        out[:, features] += (known - share) * others * value[class_id][:, None]
+        moved = (known - share) * others
+        if class_id is not None:
+            out[:, features] += moved * value[class_id][:, None]
+        else:
+            for c in np.flatnonzero(value):
+                out[:, c, features] += moved * value[c]
     return out
 
 
@@ -133,21 +173,37 @@ def _attribution_udf(leaves):
     return attribute
 
 
-def tree_contributions(
-    spark: SparkSession, model: PipelineModel, class_id: Column, wanted: Column, limit: int = MAX_NODES
-) -> Column:
+def tree_contributions(model: PipelineModel, class_id: Column, wanted: Column, limit: int = MAX_NODES) -> Column:
     """Attributions towards a class where `wanted` holds, null elsewhere.
 
-    Attributions of trees add up, so a forest goes out in groups of counted size, each with a column
-    of its own, and the columns are summed. Rows not wanted cross to Python as nulls only.
+    Attributions of trees add up, so an ensemble goes out in groups of counted size, each with a
+    column of its own, and the columns are summed. Rows not wanted cross to Python as nulls only.
     """
-    forest = model.stages[-1]
-    nodes = tree_nodes(spark, forest)
+    spark = SparkSession.getActiveSession()
     flows, towards = F.when(wanted, vector_to_array("features")), F.when(wanted, class_id)
-    parts = []
-    for group in tree_groups(nodes, limit):
-        leaves = leaves_of(nodes.filter(F.col("tree").isin(group)).toPandas(), forest.getNumTrees)
-        parts.append(_attribution_udf(spark.sparkContext.broadcast(leaves))(flows, towards))
+    groups = ensembles(model.stages[-1], limit)
+    parts = [_attribution_udf(spark.sparkContext.broadcast(leaves))(flows, towards) for leaves in groups]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
+
+
+def _all_classes_udf(leaves):
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def attribute(x: pd.Series) -> pd.Series:
+        flows = np.stack(x.to_numpy())
+        return pd.Series(list(path_attributions(leaves.value, flows).reshape(len(flows), -1)), dtype="object")
+
+    return attribute
+
+
+def all_contributions(model: PipelineModel, background: DataFrame, limit: int = MAX_NODES) -> Column:
+    """Attributions towards every class in one pass: classes times features in one array, class by class."""
+    last = model.stages[-1]
+    if hasattr(last, "coefficientMatrix"):
+        classes = F.array(*[F.lit(c) for c in range(last.numClasses)])
+        return F.flatten(F.transform(classes, lambda c: linear_contributions(model, background, c)))
+    spark = background.sparkSession
+    flows = vector_to_array("features")
+    parts = [_all_classes_udf(spark.sparkContext.broadcast(x))(flows) for x in ensembles(last, limit)]
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
 
 
@@ -155,9 +211,7 @@ def contributions(model: PipelineModel, background: DataFrame, class_id: Column,
     """The attribution column that fits the model's last stage."""
     if hasattr(model.stages[-1], "coefficientMatrix"):
         return F.when(wanted, linear_contributions(model, background, class_id))
-    if hasattr(model.stages[-1], "trees"):
-        return tree_contributions(background.sparkSession, model, class_id, wanted)
-    raise ValueError("explanations exist for linear models and forests")
+    return tree_contributions(model, class_id, wanted)
 
 
 def top_features(parts: Column, names=FEATURE_NAMES, k: int = 5) -> Column:
@@ -184,10 +238,10 @@ def global_importance(
     model: PipelineModel, sample: DataFrame, background: DataFrame, names=FEATURE_NAMES
 ) -> DataFrame:
     """Mean absolute attribution per feature, summed over the classes."""
-    rows = model.transform(sample).withColumn("c", F.explode(F.array(*[F.lit(i) for i in range(len(CLASSES))])))
-    present = rows.filter(F.col("c") < model.stages[-1].numClasses)
-    parts = present.withColumn("parts", contributions(model, background, F.col("c"), F.lit(True)))
-    pairs = parts.select(F.posexplode("parts").alias("i", "part"), (F.col("c") == 0).cast("int").alias("first"))
+    rows = model.transform(sample).withColumn("parts", all_contributions(model, background))
+    pairs = rows.select(F.posexplode("parts").alias("at", "part"))
+    classes = F.max(F.floor(F.col("at") / len(names))) + 1
+    mean = F.sum(F.abs("part")) * classes / F.count("*")
+    sums = pairs.groupBy((F.col("at") % len(names)).cast("int").alias("i")).agg(mean.alias("importance"))
     labels = F.array(*[F.lit(n) for n in names])
-    sums = pairs.groupBy("i").agg((F.sum(F.abs("part")) / F.sum("first")).alias("importance"))
     return sums.select(F.get(labels, F.col("i")).alias("feature"), "importance").orderBy(F.desc("importance"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.operators.correlate import micros
 from flowloom.operators.packets import SECOND, packet_alerts, trailing_count, traffic_totals
+from flowloom.session import path_exists
 
 
 def start_totals(scored: DataFrame, out: str, checkpoint: str, threshold: float = 0.5) -> StreamingQuery:
@@ -32,11 +32,10 @@ def start_trailing_count(packets: DataFrame, out: str, checkpoint: str, seconds:
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("_fresh", F.lit(True))
-        try:
-            tail = spark.read.parquet(f"{out}/tail/batch={batch_id - 1}").withColumn("_fresh", F.lit(False))
+        last = f"{out}/tail/batch={batch_id - 1}"
+        if path_exists(spark, last):  # not in the first micro-batch
+            tail = spark.read.parquet(last).withColumn("_fresh", F.lit(False))
             rows = rows.unionByName(tail.select(rows.columns))
-        except AnalysisException:
-            pass  # the first micro-batch
         rows = rows.persist()
         counted = trailing_count(rows, seconds).filter("_fresh").drop("_fresh")
         counted.write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")

@@ -163,6 +163,34 @@ def test_settings(spark, tmp_path):
             settings.replace_config(spark, path, wrong)
 
 
+def test_stored_settings_that_break_the_contract_are_refused(spark, tmp_path):
+    path = str(tmp_path / "settings")
+    row = spark.createDataFrame([(1, config(alert_min_risk=101), 7)], "version long, value string, updated_by long")
+    row.withColumn("updated_at", F.current_timestamp()).write.parquet(path)
+    with pytest.raises(ValueError, match="invalid stored settings"):
+        settings.read_config(spark, path)
+
+
+def test_arrival_numbers_are_unique_over_partitions(spark):
+    records = spark.createDataFrame([(p, o, bytearray(b"{}")) for p in range(3) for o in range(4)], "partition int, offset long, value binary")
+    rows = ingest.partitioned_envelopes(records).collect()
+    assert len({r.seq for r in rows}) == len({r.stream_id for r in rows}) == 12 and {r.data for r in rows} == {"{}"}
+    assert records.count() == 12 and ingest.partitioned_envelopes(records).columns == ["seq", "stream_id", "data"]
+
+
+def test_bounded_dedupe(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [(1, "a", "x", START), (2, "a", "x", START + timedelta(hours=1)), (3, "b", "x", START)]
+    schema = f"{contract.ENVELOPE}, received timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    stream_rows = spark.readStream.schema(schema).parquet(path)
+    out = ingest.unique_envelopes(stream_rows, "received", "2 hours")
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.stream_id for r in found.collect()) == ["a", "b"] and found.columns == ["seq", "stream_id", "data"]
+
+
 def stream(spark, out, groups, actions=None):
     """Feed groups of envelopes one after the other through both jobs; returns alerts and changes."""
     done = 0

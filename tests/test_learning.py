@@ -67,6 +67,7 @@ def fitted(prepared):
     return {
         "linear": models.fit("logistic_regression", prepared[1], iterations=100),
         "forest": models.fit("random_forest", prepared[1], trees=5, depth=5),
+        "boosted": models.fit("boosted_trees", prepared[1], rounds=2, depth=3),
     }
 
 
@@ -118,19 +119,40 @@ def brute_shapley(leaves, x, c):
 
 def test_tree_attributions(spark, prepared):
     model = models.fit("random_forest", prepared[1], trees=2, depth=3)
-    leaves = explain.leaves_of(explain.tree_nodes(spark, model.stages[-1]).toPandas(), 2)
+    (leaves,) = explain.ensembles(model.stages[-1], explain.MAX_NODES)
     rows = models.score(model, prepared[0].limit(20)).select("features", "proba", "pred").collect()
     x, c = np.stack([r.features.toArray() for r in rows]), np.array([r.pred for r in rows])
     got = explain.path_attributions(leaves, x, c)
     for i in range(4):
         assert got[i] == pytest.approx(brute_shapley(leaves, x[i], c[i]))
     done = models.score(model, prepared[0].limit(20))
-    apart = explain.tree_contributions(spark, model, F.col("pred"), F.lit(True), limit=1)  # a group per tree
+    apart = explain.tree_contributions(model, F.col("pred"), F.lit(True), limit=1)  # a group per tree
     assert np.array([r[0] for r in done.select(apart).collect()]) == pytest.approx(got)
     base = sum(np.prod(share) * value for _, _, _, share, value in leaves)
     assert got.sum(axis=1) + base[c] == pytest.approx([r.proba[r.pred] for r in rows])
 
 
+def test_boosted_attributions_add_up_to_the_margin(prepared, fitted):
+    model = fitted["boosted"]
+    leaves = [leaf for group in explain.ensembles(model.stages[-1], explain.MAX_NODES) for leaf in group]
+    done = models.score(model, prepared[0].limit(20))
+    parts = explain.contributions(model, prepared[1], F.col("pred"), F.lit(True))
+    rows = done.select("features", "rawPrediction", "pred", parts.alias("p")).collect()
+    base = sum(np.prod(share) * value for _, _, _, share, value in leaves)
+    for r in rows:
+        assert sum(r.p) + base[r.pred] == pytest.approx(r.rawPrediction[r.pred])
+
+
+def test_all_classes_in_one_pass(prepared, fitted):
+    for model in (fitted["boosted"], fitted["forest"], fitted["linear"]):
+        done = models.score(model, prepared[0].limit(10))
+        one = explain.contributions(model, prepared[1], F.col("pred"), F.lit(True))
+        every = explain.all_contributions(model, prepared[1])
+        for r in done.select("pred", one.alias("one"), every.alias("every")).collect():
+            at = r.pred * len(FEATURE_NAMES)
+            assert r.every[at : at + len(FEATURE_NAMES)] == pytest.approx(r.one)
+
+
 def test_linear_attributions(prepared, fitted):
     background = prepared[1]
     done = models.score(fitted["linear"], prepared[0].limit(50))
@@ -143,7 +165,7 @@ def test_linear_attributions(prepared, fitted):
         assert sum(r.p) + base[r.pred] == pytest.approx(r.rawPrediction[r.pred])
 
 
-@pytest.mark.parametrize("kind", ["linear", "forest"])
+@pytest.mark.parametrize("kind", ["linear", "forest", "boosted"])
 def test_predictions_and_explanations(prepared, fitted, kind):
     divided, train = prepared
     test = divided.filter("not is_train").drop("label").limit(60)

@@ -3,11 +3,14 @@
 import ipaddress
 import random
 import re
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from flowloom.catalog import QUERIES
 from flowloom.functions.net import canonical_ip, subnet24
+from flowloom.operators import lookup
+from flowloom.plans import dashboard
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,3 +74,28 @@ def test_canonical_ip(spark):
 def test_subnet(spark):
     rows = spark.createDataFrame([("10.1.2.3",), ("2001:db8::1",)], "t string")
     assert [r[0] for r in rows.select(subnet24(F.col("t"))).collect()] == ["10.1.2", "2001:db8::1"]
+
+
+def test_stored_days_are_pruned_and_dropped(spark, tmp_path):
+    rows = spark.range(40).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(F.col("id") * 21600 + 1767225600).alias("ts"),  # four a day from 2026-01-01
+        F.when(F.col("id") % 3 == 0, "ddos").otherwise("benign").alias("label"),
+        F.lit(50).alias("risk_score"),
+    )
+    dated = rows.withColumn("day", F.to_date("ts"))
+    for name in ("events", "predictions"):
+        dated.write.partitionBy("day").parquet(f"{tmp_path}/{name}")
+    events, predictions = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("events", "predictions"))
+    as_of = datetime(2026, 1, 10, 18)
+    found = dashboard.distribution(events, predictions, "24h", as_of)
+    assert plan(found).count("PartitionFilters: [isnotnull(day") == 2
+    assert sum(r.events for r in found.collect()) == 5
+    series = dashboard.timeseries(events, predictions, "24h", "1h", as_of)
+    assert plan(series).count("PartitionFilters: [isnotnull(day") == 2
+    assert sum(r.events for r in series.collect()) == 5
+    page = lookup.filter_events(predictions, since=datetime(2026, 1, 9), until=datetime(2026, 1, 9, 12))
+    assert "PartitionFilters: [isnotnull(day" in plan(page) and page.count() == 3
+    dropped = dashboard.drop_expired_days(spark, f"{tmp_path}/events", 7, as_of)
+    assert dropped == ["2026-01-01", "2026-01-02"]
+    assert spark.read.parquet(f"{tmp_path}/events").count() == 32
