@@ -55,7 +55,7 @@ AROUND = frozenset(
     " share sharing social follow related recommended recommendations trending".split()
 )
 #: Names of wrappers: what else they are called tells of the layout if they hold the content.
-LAYOUT = frozenset("layout wrapper wrap container page site has with no without row grid left right".split())
+LAYOUT = frozenset("layout wrapper wrap container page site has with no without open enabled row grid left right".split())
 CONTENT = frozenset("content article post entry story main".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: A list or block of at least this share of link text, with several links, is a menu.
@@ -89,9 +89,9 @@ def _junk(tag: str, attributes: str) -> int:
             level = 1
         if name in ("class", "id"):
             parts = _parts(value)
-            if parts & COMMENTS:
+            if parts & COMMENTS and not parts & LAYOUT:
                 return 2
-            if parts & AROUND:
+            if parts & (AROUND | COMMENTS):
                 level = 1
     return level
 
