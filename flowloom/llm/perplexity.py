@@ -21,8 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import small_side
-from flowloom.session import cut_lineage
+from flowloom.llm.common import discard, long_rows, small_side, stored
 
 ORDER = 5
 #: What stands before a text, ORDER - 1 times.
@@ -30,7 +29,7 @@ PAD = "\n"
 #: Distinct n-grams that are broadcast: 16 bytes each as arrays, about three times that with an index.
 MAX_GRAMS = 4_000_000
 #: Characters that are counted or scored at once, and n-grams that a task holds back to add them up.
-CHUNK, HELD = 1 << 20, 1 << 20
+CHUNK, HELD = 1 << 20, 1 << 18
 #: The share of trusted documents that are kept, and what is added to that quantile, in nats per character.
 QUANTILE, MARGIN = 0.998, 0.1
 #: Scores are told apart down to this many nats for the quantile.
@@ -39,7 +38,8 @@ STEP = 0.001
 #: characters do not condemn a short one.
 PRIOR = 100
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-TRUSTED, NATS, DIGEST, USUAL, LIMIT = "__trusted", "__nats", "__digest", "__usual", "__limit"
+TRUSTED, NATS, CHARS = "__trusted", "__nats", "__chars"
+DIGEST, USUAL, LIMIT = "__digest", "__usual", "__limit"
 
 
 def fold_of(text: str) -> int:
@@ -57,8 +57,11 @@ def window_hashes(text: str) -> np.ndarray:
     return out
 
 
-def gram_hash(lang: str, gram: str) -> int:
-    return int(window_hashes(gram)[0]) ^ lang_hash(lang)
+def gram_hashes(grams: list[str], langs: list[str]) -> np.ndarray:
+    """`window_hashes` of n-grams one by one, told apart by language."""
+    own = window_hashes("".join(grams))[::ORDER]
+    marks = {lang: np.uint64(lang_hash(lang)) for lang in set(langs)}
+    return own ^ np.fromiter((marks[lang] for lang in langs), np.uint64, len(langs))
 
 
 def lang_hash(lang: str) -> int:
@@ -162,90 +165,102 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, c0, c1 over all documents (with a column TRUSTED)."""
     rows = docs.select("text", _lang().alias("lang"), TRUSTED)
     counted = rows.mapInPandas(_count, "lang string, gram string, c0 long, c1 long")
-    return cut_lineage(counted.groupBy("lang", "gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    return stored(counted.groupBy("lang", "gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "grams")
 
 
 def _discounts(level: DataFrame) -> DataFrame:
-    """The three discounts per model and language, from how many n-grams stand once, twice, ..."""
-    seen = [F.sum((F.col("c") == i).cast("long")).alias(f"t{i}") for i in (1, 2, 3, 4)]
-    counts = level.groupBy("fold", "lang").agg(*seen)
-    y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
+    """The three discounts of both models per language, from how many n-grams stand once, twice, ..."""
+    seen = [F.sum((F.col(f"c{f}") == i).cast("long")).alias(f"t{f}{i}") for f in (0, 1) for i in (1, 2, 3, 4)]
     out = []
-    for i, plain in ((1, 0.5), (2, 1.0), (3, 1.5)):
-        d = i - (i + 1) * y * F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}"))
-        # too few n-grams for the estimate
-        ok = (F.col("t1") > 0) & (F.col(f"t{i}") > 0) & (F.col(f"t{i + 1}") > 0) & (d > 0) & (d < i)
-        out.append(F.when(ok, d).otherwise(F.lit(plain)).alias(f"d{i}"))
-    return counts.select("fold", "lang", *out)
+    for f in (0, 1):
+        t = {i: F.col(f"t{f}{i}") for i in (1, 2, 3, 4)}
+        y = F.try_divide(t[1], t[1] + 2 * t[2])
+        for i, plain in ((1, 0.5), (2, 1.0), (3, 1.5)):
+            d = i - (i + 1) * y * F.try_divide(t[i + 1], t[i])
+            # too few n-grams for the estimate
+            ok = (t[1] > 0) & (t[i] > 0) & (t[i + 1] > 0) & (d > 0) & (d < i)
+            out.append(F.when(ok, d).otherwise(F.lit(plain)).alias(f"d{f}{i}"))
+    return level.groupBy("lang").agg(*seen).select("lang", *out)
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
-    """lang, gram, fold, logp: of each n-gram of the corpus under the model of each fold that has
-    trusted text in its language; logp is of the last character after the ones before."""
-    models = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.col(f"c{i}").alias("c")) for i in (0, 1)]))
-    rows = grams.select("lang", "gram", models.alias("x")).select("lang", "gram", "x.*")
-    levels = {ORDER: rows.where("c > 0")}
-    asked = {ORDER: rows.select("fold", "lang", "gram")}
+    """lang, gram, p0, p1: the probability of an n-gram's last character after the ones before, under
+    either fold's model, for all n-grams of the corpus; null where a model has no text of the language.
+
+    Levels are joined from single characters up. All tables are sharded by language and n-gram, both
+    models side by side.
+    """
+    levels = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
-        shorter = F.expr("substring(gram, 2)").alias("gram")
-        # how many different characters stand before it
-        levels[n] = cut_lineage(levels[n + 1].groupBy("fold", "lang", shorter).agg(F.count("*").alias("c")))
-        asked[n] = asked[n + 1].select("fold", "lang", shorter).distinct()
-    alphabet = asked[1].groupBy("lang").agg((1 / F.countDistinct("gram")).alias("p"))
-    told = asked[1].join(F.broadcast(alphabet), "lang").withColumn("before", F.col("p")).drop("p")
+        # how many different characters stand before it; zeros are kept, since they are asked for
+        seen = [F.sum((F.col(f"c{f}") > 0).cast("long")).alias(f"c{f}") for f in (0, 1)]
+        levels[n] = stored(levels[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(*seen), f"grams-{n}")
+    alphabet = levels[1].groupBy("lang").agg((1 / F.count("*")).alias("p0"), (1 / F.count("*")).alias("p1"))
+    told = alphabet.withColumn("gram", F.lit(""))
     for n in range(1, ORDER + 1):
-        rate = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = levels[n].join(F.broadcast(_discounts(levels[n])), ["fold", "lang"])
-        level = level.select("fold", "lang", "gram", "c", rate.alias("d"))
-        context = F.expr(f"substring(gram, 1, {n - 1})").alias("context")
-        totals = level.groupBy("fold", "lang", context).agg(F.sum("c").alias("total"), F.sum("d").alias("kept_back"))
-        told = told.join(level, ["fold", "lang", "gram"], "left").withColumn("context", context)
-        if n == 1:
-            told = told.join(F.broadcast(totals), ["fold", "lang", "context"])  # languages without a model go
+        level = levels[n].join(F.broadcast(_discounts(levels[n])), "lang")
+        held_back = {}
+        for f in (0, 1):
+            c = F.col(f"c{f}")
+            rate = F.when(c == 1, F.col(f"d{f}1")).when(c == 2, F.col(f"d{f}2")).otherwise(F.col(f"d{f}3"))
+            held_back[f] = F.when(c > 0, rate).otherwise(0.0)
+        level = level.select(
+            "lang",
+            "gram",
+            F.expr(f"substring(gram, 1, {n - 1})").alias("context"),
+            F.expr("substring(gram, 2)").alias("shorter"),
+            *[x for f in (0, 1) for x in (F.col(f"c{f}"), held_back[f].alias(f"d{f}"))],
+        )
+        sums = [F.sum(f"{x}{f}").alias(f"{x}{f}_all") for f in (0, 1) for x in "cd"]
+        totals = level.groupBy("lang", "context").agg(*sums)
+        before = told.select("lang", F.col("gram").alias("shorter"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
+        if n == 1:  # a row per language
+            joined = level.join(F.broadcast(totals), ["lang", "context"]).join(F.broadcast(before), ["lang", "shorter"])
         else:
-            told = told.join(totals, ["fold", "lang", "context"], "left")
-        own = F.coalesce(F.col("c") - F.col("d"), F.lit(0.0)) + F.col("kept_back") * F.col("before")
-        p = F.when(F.col("total").isNull(), F.col("before")).otherwise(own / F.col("total"))
-        told = told.select("fold", "lang", "gram", p.alias("p"))
-        if n < ORDER:
-            shorter = told.withColumnRenamed("gram", "shorter").withColumnRenamed("p", "before")
-            told = asked[n + 1].withColumn("shorter", F.expr("substring(gram, 2)"))
-            told = told.join(shorter, ["fold", "lang", "shorter"]).drop("shorter")
-    return told.select("fold", "lang", "gram", F.log("p").alias("logp"))
+            joined = level.join(totals, ["lang", "context"]).join(before, ["lang", "shorter"])
+        ps = []
+        for f in (0, 1):
+            own = (F.col(f"c{f}") - F.col(f"d{f}") + F.col(f"d{f}_all") * F.col(f"b{f}")) / F.col(f"c{f}_all")
+            backed_off = F.lit(None) if n == 1 else F.col(f"b{f}")  # no text of the language at all
+            ps.append(F.when(F.col(f"c{f}_all") > 0, own).otherwise(backed_off).cast("double").alias(f"p{f}"))
+        shorter, told = told, stored(joined.select("lang", "gram", *ps), f"probabilities-{n}")
+        discard(levels[n], *([shorter] if n > 1 else []))
+    return told
 
 
 def _as_arrays(told: DataFrame) -> list[np.ndarray] | None:
-    """Keys and values of both folds' models in order of keys, or None if there are too many rows."""
+    """Keys in their order and the logs of both folds, or None if there are too many rows."""
     if told.count() > MAX_GRAMS:
         return None
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = np.array([gram_hash(*x) for x in zip(batch["lang"], batch["gram"])], np.uint64)
-            yield pd.DataFrame({"fold": batch["fold"], "key": keys.view(np.int64), "logp": batch["logp"].astype("float32")})
+            keys = gram_hashes(batch["gram"].tolist(), batch["lang"].tolist())
+            logs = {f"l{f}": np.log(batch[f"p{f}"].to_numpy(np.float64)).astype(np.float32) for f in (0, 1)}
+            yield pd.DataFrame({"key": keys.view(np.int64), **logs})
 
-    frame = told.mapInPandas(hashed, "fold int, key long, logp float").toPandas()
-    out = []
-    for fold in (0, 1):
-        part = frame[frame["fold"] == fold].sort_values("key")
-        out += [part["key"].to_numpy(), part["logp"].to_numpy()]
-    return out
+    table = told.mapInPandas(hashed, "key long, l0 float, l1 float").toArrow()
+    keys, *logs = (table.column(c).to_numpy() for c in ("key", "l0", "l1"))
+    order = np.argsort(keys)
+    return [keys[order], *(x[order] for x in logs)]
 
 
 class Scorer:
     """Mean negative log probability per character, by lookups in sorted keys."""
 
     def __init__(self, arrays: list[np.ndarray]):
-        self.models = [(pd.Index(arrays[2 * i]), np.append(arrays[2 * i + 1], np.float32(np.nan))) for i in (0, 1)]
+        self.index = pd.Index(arrays[0])
+        # what is not found is at -1
+        self.logs = [np.append(x, np.float32(np.nan)) for x in arrays[1:]]
 
     def nats(self, text: str | None, lang: str) -> float | None:
         if not text:
             return None
-        index, values = self.models[1 - fold_of(text)]
+        logs = self.logs[1 - fold_of(text)]
         mark, total = np.uint64(lang_hash(lang)), 0.0
         for piece in segments(text):
             keys = (window_hashes(piece) ^ mark).view(np.int64)
-            total -= float(values[index.get_indexer(keys)].sum(dtype=np.float64))
+            total -= float(logs[self.index.get_indexer(keys)].sum(dtype=np.float64))
         return None if np.isnan(total) else total / len(text)
 
 
@@ -276,53 +291,61 @@ def _by_join(docs: DataFrame, told: DataFrame) -> DataFrame:
     digest = F.md5(F.concat_ws("\0", _lang(), F.col("text")))
     texts = docs.where(F.length("text") > 0).select("text", _lang().alias("lang"), digest.alias(DIGEST))
     rows = texts.mapInPandas(explode, f"{DIGEST} string, lang string, fold int, gram string, n long")
-    joined = rows.join(told, ["fold", "lang", "gram"])
-    mean = (-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias(NATS)
+    joined = rows.join(told, ["lang", "gram"])
+    logp = F.log(F.when(F.col("fold") == 0, F.col("p0")).otherwise(F.col("p1")))
+    mean = (-F.sum(F.col("n") * logp) / F.sum("n")).alias(NATS)
     scores = joined.groupBy(DIGEST).agg(mean)
     return docs.withColumn(DIGEST, digest).join(scores, DIGEST, "left").drop(DIGEST)
 
 
 def mixed() -> Column:
     """The score that is judged: a document's nats, mixed with the usual ones of its language."""
-    n = F.length("text")
-    return (F.col(NATS) * n + F.col(USUAL) * PRIOR) / (n + PRIOR)
+    return (F.col(NATS) * F.col(CHARS) + F.col(USUAL) * PRIOR) / (F.col(CHARS) + PRIOR)
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """lang, USUAL, LIMIT of every language with trusted documents: their nats per character, and the
-    smallest mixed score that `quantile` of them reach at most, plus a margin."""
-    trusted = scored.where(F.col(TRUSTED) & F.col(NATS).isNotNull())
-    n = F.length("text")
-    trusted = cut_lineage(trusted.select(_lang().alias("lang"), n.alias("n"), F.col(NATS)))
-    usual = trusted.groupBy("lang").agg((F.sum(F.col(NATS) * F.col("n")) / F.sum("n")).alias(USUAL))
+    """__lang, USUAL, LIMIT of every language with trusted documents: their nats per character, and
+    the smallest mixed score that `quantile` of them reach at most, plus a margin. A language has some
+    thousand different steps at most, however many documents."""
+    trusted = scored.where(F.col(TRUSTED)).select(_lang().alias("lang"), CHARS, NATS)
+    trusted = stored(trusted.where(F.col(NATS).isNotNull()), "trusted")
+    usual = trusted.groupBy("lang").agg((F.sum(F.col(NATS) * F.col(CHARS)) / F.sum(CHARS)).alias(USUAL))
     both = trusted.join(small_side(usual), "lang")
-    score = (F.col(NATS) * F.col("n") + F.col(USUAL) * PRIOR) / (F.col("n") + PRIOR)
-    steps = both.groupBy("lang", F.ceil(score / STEP).alias("step")).agg(F.count("*").alias("n"), F.max(USUAL).alias(USUAL))
+    steps = both.groupBy("lang", F.ceil(mixed() / STEP).alias("step")).agg(F.count("*").alias("n"), F.max(USUAL).alias(USUAL))
     below = Window.partitionBy("lang").orderBy("step")
     total = F.sum("n").over(Window.partitionBy("lang"))
     ranked = steps.withColumn("upto", F.sum("n").over(below)).withColumn("total", total)
     reached = F.when(F.col("upto") >= F.col("total") * quantile, F.col("step"))
-    return ranked.groupBy("lang").agg(F.max(USUAL).alias(USUAL), (F.min(reached) * STEP + margin).alias(LIMIT))
+    found = ranked.groupBy("lang").agg(F.max(USUAL).alias(USUAL), (F.min(reached) * STEP + margin).alias(LIMIT))
+    return small_side(stored(found.withColumnRenamed("lang", "__lang"), "limits"))
 
 
-def score(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """`docs` with TRUSTED, NATS (null without text or model), USUAL and LIMIT (null without trusted
-    documents in the language) added."""
-    marked = flagged(docs, labels)
-    told = cut_lineage(probabilities(count_grams(marked)))
+def trained(marked: DataFrame, max_grams: int = MAX_GRAMS):
+    """A function that adds NATS (null without text or model) and CHARS to documents."""
+    long_rows(marked.sparkSession)
+    told = probabilities(count_grams(marked))
     arrays = _as_arrays(told) if max_grams else None
-    scored = _by_broadcast(marked, arrays) if arrays else _by_join(marked, told)
-    known = small_side(cut_lineage(limits(scored).withColumnRenamed("lang", "__lang")))
+    if arrays:
+        discard(told)
+
+    def scores(docs: DataFrame) -> DataFrame:
+        scored = _by_broadcast(docs, arrays) if arrays else _by_join(docs, told)
+        return scored.withColumn(CHARS, F.coalesce(F.length("text"), F.lit(0)))
+
+    return scores
+
+
+def with_limits(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """USUAL and LIMIT of each row's language added; null without trusted documents in it."""
     return scored.join(known, _lang() == F.col("__lang"), "left").drop("__lang")
 
 
 def rejected() -> Column:
     """Documents without a text are rejected, those that no model can judge are not."""
-    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
-    return empty | F.coalesce(mixed() > F.col(LIMIT), F.lit(False))
+    return (F.col(CHARS) == 0) | F.coalesce(mixed() > F.col(LIMIT), F.lit(False))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     """A row per row of `docs` (doc_id, text, lang): doc_id, lang, nats (per character), perplexity,
     judged (mixed with PRIOR characters of the language's usual perplexity), max_judged, kept.
 
@@ -331,8 +354,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are trained on and judged one by one. An empty table gives an empty result; other
     columns are left out.
     """
-    scored = score(docs.select("doc_id", "text", "lang"), labels)
-    return scored.select(
+    marked = flagged(docs.select("doc_id", "text", "lang"), labels)
+    scored = trained(marked, max_grams)(marked)
+    scored = stored(scored.select("doc_id", "lang", TRUSTED, NATS, CHARS), "scores")
+    return with_limits(scored, limits(scored)).select(
         "doc_id",
         "lang",
         F.col(NATS).alias("nats"),
@@ -344,5 +369,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with all their columns."""
-    return score(docs, labels).where(~rejected()).drop(TRUSTED, NATS, USUAL, LIMIT)
+    """The rows of `docs` that `judge` keeps, with all their columns. Trusted texts are scored twice,
+    for the limits and for the decision, so that no text is shuffled or stored."""
+    marked = flagged(docs, labels)
+    scores = trained(marked)
+    known = limits(scores(marked.where(F.col(TRUSTED))))
+    return with_limits(scores(marked), known).where(~rejected()).drop(TRUSTED, NATS, CHARS, USUAL, LIMIT)
