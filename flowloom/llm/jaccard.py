@@ -49,7 +49,7 @@ COUNTERS = 1 << 18
 #: compared by their whole bitmaps next, and only then by their sets.
 MIN_BITS, MAX_BITS, LIST_BITS = 256, 1 << 16, 1024
 #: Word hashes and classes a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 NO_ID = (1 << 63) - 1
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
