@@ -27,8 +27,9 @@ from flowloom.llm.common import long_rows
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
-#: Encoded words a task keeps from batch to batch.
-REMEMBERED = 300_000
+#: Encoded words, and pairs and ends of pieces, that a worker keeps from batch to batch. It keeps them
+#: after its tasks too, beside what runs next, so they are few: some tens of megabytes together.
+REMEMBERED, REMEMBERED_PAIRS = 100_000, 250_000
 #: Characters whose words are sorted and walked together.
 AT_ONCE = 1 << 20
 #: Characters before a place that tell which pieces end there.
@@ -224,7 +225,7 @@ class Encoder:
             tail = word[end - TAIL : end] if end > TAIL else word[:end]
             entry = tails.get(tail)
             if entry is None:
-                if len(tails) >= REMEMBERED:
+                if len(tails) >= REMEMBERED_PAIRS:
                     tails.clear()
                 tails[tail] = entry = self.ending(tail)
             found, longer = entry
@@ -247,7 +248,7 @@ class Encoder:
                 packed.append(packed[end - 1] + code)
 
     def _remember(self, before: int, own: int, fits: bool) -> None:
-        if self.pairs >= REMEMBERED:
+        if self.pairs >= REMEMBERED_PAIRS:
             self.pairs = 0
             for known in self.apart:
                 known.clear()
