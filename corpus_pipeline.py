@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of similar ones."""
-    return jaccard.keep_one(docs)
+    """One document, the one with the smallest id, of each group of similar ones: four fifths of the
+    shingles of five words, so that copies with a passage added or cut off are found."""
+    return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

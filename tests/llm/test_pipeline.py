@@ -70,6 +70,23 @@ def test_stages_keep_columns_and_stand_odd_rows(spark, odd_docs, no_docs, tmp_pa
         assert set(last.columns) == {*docs.columns, "ids"} and last.count() == docs.count()
 
 
+def similar(a, b):
+    """Whether the sets of five words of two texts have four fifths in common."""
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_copies_with_a_passage_more_or_less_go(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in (60, 100, 200)]
+    copies = [(t + " " + prose(rng, len(t.split()) // 7), t.rsplit(" ", len(t.split()) // 6)[0], t + " " + prose(rng, len(t.split()) // 3)) for t in texts]
+    rows = list(enumerate([*texts, *(t for c in copies for t in c)]))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, t in rows if not any(similar(t, u) for _, u in rows[:i])}
+    assert kept == {0, 1, 2, 5, 8, 11}
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
