@@ -430,6 +430,18 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     return rows, links
 
 
+def named(docs: DataFrame, width: int, percent: int, what: Column) -> DataFrame:
+    """The rows of `join` and, for each, the least `what` of its group in a column `first`."""
+    rows, links = join(docs, width, percent)
+    roots = components(links)
+    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(what).alias("least"))
+    rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    rooted = stored(rooted, "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    firsts = small_side(stored(rooted.join(firsts, "root").select("class", "first"), "named"))
+    return rows.join(firsts, "class", "left")
+
+
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """A row per row of `docs` (doc_id, text): doc_id, text_hash, n_shingles, component_id.
 
@@ -439,14 +451,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     Repeated rows are linked with each other. Rows without an id take the id of their group, if it
     has one. An empty table gives an empty result; other columns are left out.
     """
-    rows, links = join(docs, width, percent)
-    roots = components(links)
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    rooted = stored(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = small_side(stored(rooted.join(ids, "root").select("class", "component_id"), "named"))
-    out = rows.join(named, "class", "left")
+    out = named(docs, width, percent, F.col("doc_id")).withColumnRenamed("first", "component_id")
     real = lambda c: F.when(c != NO_ID, c)
     return out.select(
         real(F.col("doc_id")).alias("doc_id"),
@@ -460,20 +465,20 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     """`docs` with one row of each group, the one with the smallest doc_id; all columns stay.
 
     Rows without shingles stay. Of rows that repeat a kept document one stays; of a group without any
-    id, too.
+    id, too. Groups are told apart by their links, so unlinked texts without an id, or with the same
+    one, all stay.
     """
-    found = stored(groups(docs, width, percent), "groups")
-    same = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    gone = found.where(~same).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    repeated = found.where(same & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.count("*").alias("n"))
-    repeated = stored(repeated.where("n > 1").select(F.col("component_id").alias("__id")), "repeated")
-    key = F.col("doc_id").eqNullSafe(F.col("__id"))
-    kept = docs.join(small_side(stored(gone, "gone")), key & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    row = F.struct("doc_id", "text_hash")
+    found = named(docs, width, percent, row).where(F.col("first").isNotNull())
+    found = stored(found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash"), (row == F.col("first")).alias("first")), "groups")
+    gone = found.where(~F.col("first")).select("__id", "__hash").distinct()
+    repeated = found.where("first").groupBy("__id", "__hash").agg(F.count("*").alias("n"))
+    repeated = stored(repeated.where("n > 1").select("__id", "__hash"), "repeated")
+    key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = docs.join(small_side(stored(gone, "gone")), key, "left_anti")
     if repeated.isEmpty():
         return kept
-    many = kept.join(small_side(repeated), key, "left_semi").where(F.length(F.trim("text")) > 0)
-    once = many.dropDuplicates(["doc_id"])
-    rest = kept.join(small_side(repeated.withColumn("__many", F.lit(True))), key, "left")
-    blank = F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0
-    return rest.where(F.col("__many").isNull() | blank).drop("__id", "__many").unionByName(once)
-
+    repeated = small_side(repeated)
+    once = kept.join(repeated, key, "left_semi").withColumn("__hash", F.xxhash64("text"))
+    once = once.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return kept.join(repeated, key, "left_anti").unionByName(once)

@@ -133,3 +133,13 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     odd = jaccard.keep_one(odd_docs)
     assert odd.columns == odd_docs.columns and odd.count() == jaccard.groups(odd_docs).select("component_id", "doc_id").distinct().count() - 2
     assert jaccard.keep_one(no_docs).count() == 0 and jaccard.groups(no_docs).count() == 0
+
+
+def test_unlinked_texts_without_an_id_or_with_the_same_one_stay(spark):
+    rng = random.Random(31)
+    a, b, c, d, e = (prose(rng, 40) for _ in range(5))
+    rows = [(None, a), (None, a.upper()), (None, b), (None, b), (None, c), (1, d), (1, e), (1, e), (2, d), (2, "of its own"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = [(r.doc_id, (r.text or "").lower()) for r in jaccard.keep_one(docs).collect()]
+    want = [(None, a), (None, b), (None, c), (1, d), (1, e), (2, "of its own"), (None, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
