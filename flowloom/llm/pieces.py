@@ -32,6 +32,8 @@ UNIGRAM, MERGES = 1, 2
 REMEMBERED, REMEMBERED_PAIRS = 100_000, 250_000
 #: Characters whose words are sorted and walked together.
 AT_ONCE = 1 << 20
+#: Characters of the longest words that are kept from batch to batch.
+LONG = 1000
 #: Characters before a place that tell which pieces end there.
 TAIL = 4
 #: A word starts with its run of marks; marks at the end of a text are a word of their own.
@@ -201,10 +203,11 @@ class Encoder:
         """Every word of a sorted list and its packed ids; the table goes on from the common prefix.
 
         The table has, for each prefix of the current word: the forward score, the id of the last
-        piece (-1: none that merges), and the packed ids of the whole prefix.
+        piece (-1: none that merges), and where that piece starts. Ids are read back from the end, so
+        the table grows with the length of a word and no faster.
         """
         fill = self._merge_fill if self.model.kind == MERGES else self._unigram_fill
-        scores, pieces, packed = [0.0], [-1], [b""]
+        scores, pieces, starts = [0.0], [-1], [0]
         last = ""
         for word in words:
             shared = 0
@@ -213,14 +216,22 @@ class Encoder:
                     break
                 shared += 1
             shared += 1
-            del scores[shared:], pieces[shared:], packed[shared:]
-            fill(word, shared, scores, pieces, packed)
-            yield word, packed[-1]
+            del scores[shared:], pieces[shared:], starts[shared:]
+            fill(word, shared, scores, pieces, starts)
+            yield word, self._read_back(word, pieces, starts)
             last = word
 
-    def _merge_fill(self, word: str, start: int, scores: list, pieces: list, packed: list) -> None:
+    def _read_back(self, word: str, pieces: list, starts: list) -> bytes:
+        found, end = [], len(word)
+        while end:
+            own = pieces[end]
+            found.append(self.packed[own] if own >= 0 else self.alone(word[end - 1])[1])
+            end = starts[end]
+        return found[0] if len(found) == 1 else b"".join(reversed(found))
+
+    def _merge_fill(self, word: str, start: int, scores: list, pieces: list, starts: list) -> None:
         """Merging has one segmentation of each prefix, so scores need no comparing."""
-        codes, tails, apart = self.packed, self.tails, self.apart
+        tails, apart = self.tails, self.apart
         for end in range(start, len(word) + 1):
             tail = word[end - TAIL : end] if end > TAIL else word[:end]
             entry = tails.get(tail)
@@ -240,12 +251,11 @@ class Encoder:
                     self._remember(before, own, fits)
                 if fits:
                     pieces.append(own)
-                    packed.append(packed[end - n] + codes[own])
+                    starts.append(end - n)
                     break
             else:
-                own, code = self.alone(word[end - 1])
-                pieces.append(own)
-                packed.append(packed[end - 1] + code)
+                pieces.append(self.ids.get(word[end - 1], -1))
+                starts.append(end - 1)
 
     def _remember(self, before: int, own: int, fits: bool) -> None:
         if self.pairs >= REMEMBERED_PAIRS:
@@ -255,17 +265,17 @@ class Encoder:
         self.pairs += 1
         self.apart[before][own] = fits
 
-    def _unigram_fill(self, word: str, start: int, scores: list, pieces: list, packed: list) -> None:
+    def _unigram_fill(self, word: str, start: int, scores: list, pieces: list, starts: list) -> None:
         for end in range(start, len(word) + 1):
-            own, code = self.alone(word[end - 1])
+            own = self.ids.get(word[end - 1], -1)
             best, before = scores[end - 1] + self.floor, end - 1
             for at in range(max(0, end - self.longest), end):
                 found = self.ids.get(word[at:end])
                 if found is not None and scores[at] + self.model.scores[found] > best:
-                    best, before, own, code = scores[at] + self.model.scores[found], at, found, self.packed[found]
+                    best, before, own = scores[at] + self.model.scores[found], at, found
             scores.append(best)
             pieces.append(own)
-            packed.append(packed[before] + code)
+            starts.append(before)
 
     def marked(self, text: str) -> str:
         if self.model.trim:
@@ -298,7 +308,11 @@ class Encoder:
         new = {w[0] if isinstance(w, tuple) else MARK + w: w for w in words - self.known.keys()}
         self.known.update((new[word], code) for word, code in self.walk(sorted(new)))
         look = self.known.__getitem__
-        return [None if words is None else np.frombuffer(b"".join(map(look, words)), np.int32) for words in split]
+        out = [None if words is None else np.frombuffer(b"".join(map(look, words)), np.int32) for words in split]
+        for word, key in new.items():
+            if len(word) > LONG:
+                del self.known[key]
+        return out
 
 
 class Decoder:

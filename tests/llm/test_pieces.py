@@ -1,6 +1,7 @@
 import os
 import random
 import struct
+import tracemalloc
 
 import pytest
 
@@ -37,6 +38,22 @@ def test_little_memory_gives_the_same(monkeypatch):
     assert [x.tolist() for x in pieces.Encoder(model).encode(texts())] == want
 
 
+@needs_model
+@pytest.mark.parametrize("unit", ["abcdefgh0123+/", "日本語", "tionsing"])
+def test_memory_grows_with_the_length_of_a_word(unit):
+    with open(PATH, "rb") as file:
+        encoder = pieces.Encoder(pieces.Model.read(file.read()))
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice(unit) for _ in range(n))
+    tracemalloc.start()
+    encoder.encode([word(20_000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20 and not any(len(w) > pieces.LONG for w in encoder.known)
+    text = word(500_000) + " and"
+    assert encoder.encode([text])[0].tolist() == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(text)
+
+
 def unigram_model():
     rng = random.Random(8)
     words = {"▁", "a", "b", "c", "▁a", "ab", "bc", "abc", "▁ab", "cab", "bca", "▁cab", "aa", "bb"}
