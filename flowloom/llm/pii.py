@@ -13,7 +13,7 @@ import datetime
 import hashlib
 import re
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -157,6 +157,29 @@ def _iban(shown: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(rest) for c in shown)
 
 
+#: Length of a country's numbers.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _iban_ends(shown: str) -> list[str]:
+    """What a proposed number can be, since capitals and digits after it are proposed with it: the
+    part of its country's length, then all of it, then, where no length is known, parts of whole words."""
+    ends = [m.start() for m in re.finditer(r" |$", shown)]
+    length = IBAN_LENGTHS.get(shown[:2])
+    size = {end: end - shown.count(" ", 0, end) for end in ends}
+    parts = [shown[:end] for end in reversed(ends) if 15 <= size[end] and length in (None, size[end])]
+    return list(dict.fromkeys([*parts, shown]))
+
+
 def _date(shown: str, key: bytes) -> str | None:
     a, mark, b, _, c = re.match(r"(\d+)(\D)(\d+)(\D)(\d+)", shown).groups()
     if len(a) == 4:
@@ -193,7 +216,7 @@ def _secret(shown: str, key: bytes) -> str | None:
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "email": (r"[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}\b", _email),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b", _iban),
-    "secret": (r"\b(?=[a-f]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b", _secret),
+    "secret": (r"\b(?=[a-fA-F]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b", _secret),
     "date": (r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])", _date),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _address),
     "phone": (
@@ -204,6 +227,8 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     "card": (r"(?<![\d.])\d(?:[ -]?\d){12,}(?!\d)", _cards),
 }
+#: What to try of a proposal, and where to look on after one that is refused: at its next word.
+PARTS: dict[str, Callable[[str], list[str]]] = {"iban": _iban_ends}
 MAYBE = re.compile(r"[0-9@]")
 
 
@@ -221,6 +246,23 @@ class Pseudonyms:
             self.known[kind, shown] = make(shown, self.key)
         return self.known[kind, shown]
 
+    def found(self, kind: str, pattern: re.Pattern, make, text: str, start: int, end: int) -> Iterator[tuple[int, str, str]]:
+        """(start, value, pseudonym) of what a kind takes between two places."""
+        if kind not in PARTS:
+            for match in pattern.finditer(text, start, end):
+                new = self.of(kind, make, match[0])
+                if new is not None:
+                    yield match.start(), match[0], new
+            return
+        while match := pattern.search(text, start, end):
+            start = match.start() + 1
+            for shown in PARTS[kind](match[0]):
+                new = self.of(kind, make, shown)
+                if new is not None:
+                    yield match.start(), shown, new
+                    start = match.start() + len(shown)
+                    break
+
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of each finding, in order; earlier kinds go first and later
         ones look only outside of what is taken."""
@@ -230,12 +272,10 @@ class Pseudonyms:
             rest = []
             for start, end in free:
                 at = start
-                for match in pattern.finditer(text, start, end):
-                    new = self.of(kind, make, match[0])
-                    if new is not None:
-                        taken.append((match.start(), match.end(), kind, new))
-                        rest.append((at, match.start()))
-                        at = match.end()
+                for begin, shown, new in self.found(kind, pattern, make, text, start, end):
+                    taken.append((begin, begin + len(shown), kind, new))
+                    rest.append((at, begin))
+                    at = begin + len(shown)
                 rest.append((at, end))
             free = rest
         return sorted(taken)

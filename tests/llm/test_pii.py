@@ -2,6 +2,8 @@ import datetime
 import random
 import re
 
+import pytest
+
 from flowloom.llm import pii
 
 KEEP = [
@@ -80,3 +82,16 @@ def test_rows_and_columns_stay(spark, odd_docs, no_docs):
     rows = pii.findings(docs).collect()
     assert [(r.doc_id, r.kind, r.start, r.length, r.value) for r in rows] == [(1, "ip", 2, 7, "8.8.8.8"), (1, "ip", 12, 7, "8.8.8.8")]
     assert pii.pseudonymize(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("text, value", [
+    ("pay GB82 WEST 1234 5698 7654 32 EUR now", "GB82 WEST 1234 5698 7654 32"),
+    ("DE89370400440532013000 BIC DEUTDEFF", "DE89370400440532013000"),
+    ("AB12 REF GB82WEST12345698765432 THE QUICK", "GB82WEST12345698765432"),
+    ("GB82WEST12345698765432 DE89370400440532013000", "DE89370400440532013000"),
+    ("key CF1D64A9A4CD9723E1F4EAFC27395915E6868FFA.", "CF1D64A9A4CD9723E1F4EAFC27395915E6868FFA"),
+])
+def test_values_beside_capitals_are_found(text, value):
+    found = [text[a:b] for a, b, _, _ in pii.Pseudonyms().spans(text)]
+    out = pii.Pseudonyms().replace(text)
+    assert value in found and value not in out and len(out) == len(text)
