@@ -3,7 +3,9 @@
 The model is interpolated modified Kneser-Ney of order ORDER, one per language, on all documents that
 labels trust. It is cross-fitted: texts fall into two folds by checksum, a model per fold is trained,
 and each text is scored by the model of the other fold, so that no text is judged by itself or by its
-copies. A language's threshold is a quantile of its trusted documents' scores.
+copies. A language's threshold is a quantile of its trusted documents' scores. Repetition is no surprise
+to the model, so a text is judged by its novelty too, the share of its n-grams that are new in their
+block; there the threshold is the opposite quantile.
 
 Counts are tables sharded by n-gram. Every distinct n-gram of the corpus is joined with the counts,
 level by level, so that each has its probability; a document's score is the mean over its n-grams.
@@ -30,16 +32,19 @@ PAD = "\n"
 MAX_GRAMS = 4_000_000
 #: Characters that are counted or scored at once, and n-grams that a task holds back to add them up.
 CHUNK, HELD = 1 << 20, 1 << 18
-#: The share of trusted documents that are kept, and what is added to that quantile, in nats per character.
-QUANTILE, MARGIN = 0.998, 0.1
+#: The share of trusted documents that each limit keeps, and what is added to the upper one, in nats per
+#: character. From 100 documents on, no single one sets a limit.
+QUANTILE, MARGIN = 0.99, 0.1
+#: N-grams in a block that novelty is counted in, and the part of the trusted quantile that suffices.
+BLOCK, SLACK = 256, 0.95
 #: Scores are told apart down to this many nats for the quantile.
 STEP = 0.001
 #: Characters of average trusted text that every document's score is mixed with, so that a few odd
 #: characters do not condemn a short one.
 PRIOR = 100
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-TRUSTED, NATS, CHARS = "__trusted", "__nats", "__chars"
-DIGEST, USUAL, LIMIT = "__digest", "__usual", "__limit"
+TRUSTED, NATS, CHARS, NOVEL = "__trusted", "__nats", "__chars", "__novel"
+DIGEST, USUAL, LIMIT, LEAST = "__digest", "__usual", "__limit", "__least"
 
 
 def fold_of(text: str) -> int:
@@ -75,6 +80,27 @@ def segments(text: str) -> Iterator[str]:
         yield text[start : start + CHUNK + ORDER - 1]
 
 
+def new_in_blocks(hashes: np.ndarray) -> int:
+    """How many windows are the first of their kind in their block of BLOCK."""
+    short = hashes.astype(np.uint32)
+    whole = len(short) // BLOCK * BLOCK
+    blocks = np.sort(short[:whole].reshape(-1, BLOCK), axis=1)
+    repeated = np.count_nonzero(blocks[:, 1:] == blocks[:, :-1])
+    rest = np.sort(short[whole:])
+    return len(short) - repeated - np.count_nonzero(rest[1:] == rest[:-1])
+
+
+def novelty(text: str | None) -> float | None:
+    if not text:
+        return None
+    return mixed_novelty(sum(new_in_blocks(window_hashes(piece)) for piece in segments(text)), len(text))
+
+
+def mixed_novelty(new: int, chars: int) -> float:
+    """The share of new windows, mixed with PRIOR new ones."""
+    return (new + PRIOR) / (chars + PRIOR)
+
+
 def gram_counts(text: str) -> tuple[list[str], np.ndarray]:
     """Distinct windows of a piece of text and how often each stands there."""
     hashes = window_hashes(text)
@@ -246,35 +272,39 @@ def _as_arrays(told: DataFrame) -> list[np.ndarray] | None:
 
 
 class Scorer:
-    """Mean negative log probability per character, by lookups in sorted keys."""
+    """Mean negative log probability per character, by lookups in sorted keys, and novelty."""
 
     def __init__(self, arrays: list[np.ndarray]):
         self.index = pd.Index(arrays[0])
         # what is not found is at -1
         self.logs = [np.append(x, np.float32(np.nan)) for x in arrays[1:]]
 
-    def nats(self, text: str | None, lang: str) -> float | None:
+    def scores(self, text: str | None, lang: str) -> tuple[float | None, float | None]:
         if not text:
-            return None
+            return None, None
         logs = self.logs[1 - fold_of(text)]
-        mark, total = np.uint64(lang_hash(lang)), 0.0
+        mark, total, new = np.uint64(lang_hash(lang)), 0.0, 0
         for piece in segments(text):
-            keys = (window_hashes(piece) ^ mark).view(np.int64)
+            hashes = window_hashes(piece)
+            new += new_in_blocks(hashes)
+            keys = (hashes ^ mark).view(np.int64)
             total -= float(logs[self.index.get_indexer(keys)].sum(dtype=np.float64))
-        return None if np.isnan(total) else total / len(text)
+        return None if np.isnan(total) else total / len(text), mixed_novelty(new, len(text))
 
 
 def _by_broadcast(docs: DataFrame, arrays: list[np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
-    @F.pandas_udf("double")
-    def nats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("nats double, novel double")
+    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         scorer = None
         for texts, langs in batches:
             scorer = scorer or Scorer(shared.value)
-            yield pd.Series([scorer.nats(t, g) for t, g in zip(texts, langs)], dtype="float64")
+            found = [scorer.scores(t, g) for t, g in zip(texts, langs)]
+            yield pd.DataFrame(found, columns=["nats", "novel"], dtype="float64")
 
-    return docs.withColumn(NATS, nats("text", _lang()))
+    scored = docs.withColumn("__scores", scores("text", _lang()))
+    return scored.withColumns({NATS: F.col("__scores.nats"), NOVEL: F.col("__scores.novel")}).drop("__scores")
 
 
 def _by_join(docs: DataFrame, told: DataFrame) -> DataFrame:
@@ -295,7 +325,12 @@ def _by_join(docs: DataFrame, told: DataFrame) -> DataFrame:
     logp = F.log(F.when(F.col("fold") == 0, F.col("p0")).otherwise(F.col("p1")))
     mean = (-F.sum(F.col("n") * logp) / F.sum("n")).alias(NATS)
     scores = joined.groupBy(DIGEST).agg(mean)
-    return docs.withColumn(DIGEST, digest).join(scores, DIGEST, "left").drop(DIGEST)
+
+    @F.pandas_udf("double")
+    def novel(texts: pd.Series) -> pd.Series:
+        return pd.Series([novelty(t) for t in texts], dtype="float64")
+
+    return docs.withColumn(DIGEST, digest).join(scores, DIGEST, "left").drop(DIGEST).withColumn(NOVEL, novel("text"))
 
 
 def mixed() -> Column:
@@ -304,10 +339,11 @@ def mixed() -> Column:
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """__lang, USUAL, LIMIT of every language with trusted documents: their nats per character, and
-    the smallest mixed score that `quantile` of them reach at most, plus a margin. A language has some
-    thousand different steps at most, however many documents."""
-    trusted = scored.where(F.col(TRUSTED)).select(_lang().alias("lang"), CHARS, NATS)
+    """__lang, USUAL, LIMIT, LEAST of every language with trusted documents: their nats per character,
+    the smallest mixed score that `quantile` of them reach at most, plus a margin, and SLACK of the
+    largest novelty that as many reach at least. A language has some thousand different steps at most,
+    however many documents."""
+    trusted = scored.where(F.col(TRUSTED)).select(_lang().alias("lang"), CHARS, NATS, NOVEL)
     trusted = stored(trusted.where(F.col(NATS).isNotNull()), "trusted")
     usual = trusted.groupBy("lang").agg((F.sum(F.col(NATS) * F.col(CHARS)) / F.sum(CHARS)).alias(USUAL))
     both = trusted.join(small_side(usual), "lang")
@@ -317,11 +353,15 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN
     ranked = steps.withColumn("upto", F.sum("n").over(below)).withColumn("total", total)
     reached = F.when(F.col("upto") >= F.col("total") * quantile, F.col("step"))
     found = ranked.groupBy("lang").agg(F.max(USUAL).alias(USUAL), (F.min(reached) * STEP + margin).alias(LIMIT))
-    return small_side(stored(found.withColumnRenamed("lang", "__lang"), "limits"))
+    steps = trusted.groupBy("lang", F.floor(F.col(NOVEL) / STEP).alias("step")).agg(F.count("*").alias("n"))
+    ranked = steps.withColumn("upto", F.sum("n").over(below)).withColumn("total", total)
+    passed = F.when(F.col("upto") > F.col("total") * (1 - quantile), F.col("step"))
+    least = ranked.groupBy("lang").agg((F.min(passed) * STEP * SLACK).alias(LEAST))
+    return small_side(stored(found.join(least, "lang").withColumnRenamed("lang", "__lang"), "limits"))
 
 
 def trained(marked: DataFrame, max_grams: int = MAX_GRAMS):
-    """A function that adds NATS (null without text or model) and CHARS to documents."""
+    """A function that adds NATS (null without text or model), NOVEL and CHARS to documents."""
     long_rows(marked.sparkSession)
     told = probabilities(count_grams(marked))
     arrays = _as_arrays(told) if max_grams else None
@@ -336,18 +376,20 @@ def trained(marked: DataFrame, max_grams: int = MAX_GRAMS):
 
 
 def with_limits(scored: DataFrame, known: DataFrame) -> DataFrame:
-    """USUAL and LIMIT of each row's language added; null without trusted documents in it."""
+    """USUAL, LIMIT and LEAST of each row's language added; null without trusted documents in it."""
     return scored.join(known, _lang() == F.col("__lang"), "left").drop("__lang")
 
 
 def rejected() -> Column:
     """Documents without a text are rejected, those that no model can judge are not."""
-    return (F.col(CHARS) == 0) | F.coalesce(mixed() > F.col(LIMIT), F.lit(False))
+    surprising = F.coalesce(mixed() > F.col(LIMIT), F.lit(False))
+    return (F.col(CHARS) == 0) | surprising | F.coalesce(F.col(NOVEL) < F.col(LEAST), F.lit(False))
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     """A row per row of `docs` (doc_id, text, lang): doc_id, lang, nats (per character), perplexity,
-    judged (mixed with PRIOR characters of the language's usual perplexity), max_judged, kept.
+    judged (mixed with PRIOR characters of the language's usual perplexity), max_judged, kept (within
+    that limit, and not repeating itself more than trusted texts do).
 
     Null and empty texts have no perplexity and are not kept. A language without trusted documents in
     the other fold, or with a null name that is taken as "", has no model: kept, without perplexity.
@@ -356,7 +398,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> Dat
     """
     marked = flagged(docs.select("doc_id", "text", "lang"), labels)
     scored = trained(marked, max_grams)(marked)
-    scored = stored(scored.select("doc_id", "lang", TRUSTED, NATS, CHARS), "scores")
+    scored = stored(scored.select("doc_id", "lang", TRUSTED, NATS, CHARS, NOVEL), "scores")
     return with_limits(scored, limits(scored)).select(
         "doc_id",
         "lang",
@@ -374,4 +416,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = flagged(docs, labels)
     scores = trained(marked)
     known = limits(scores(marked.where(F.col(TRUSTED))))
-    return with_limits(scores(marked), known).where(~rejected()).drop(TRUSTED, NATS, CHARS, USUAL, LIMIT)
+    return with_limits(scores(marked), known).where(~rejected()).drop(TRUSTED, NATS, CHARS, NOVEL, USUAL, LIMIT, LEAST)

@@ -111,6 +111,19 @@ def test_junk_goes_and_good_documents_stay(spark):
     assert {i for i, k in judged.items() if k} == kept
 
 
+@pytest.mark.parametrize("max_grams", [p.MAX_GRAMS, 0])
+def test_repeated_words_go_and_one_odd_trusted_text_sets_no_limit(spark, max_grams):
+    rng = random.Random(14)
+    good = [(i, prose(rng, 60), "en", "s", 0) for i in range(150)]
+    odd = [(500, prose(rng, 60).upper().replace(" ", "%% "), "en", "s", 0)]
+    repeated = [(1000 + i, " ".join([prose(rng, 1)] * 40 + [prose(rng, 1)] * 40), "en", "s", 0) for i in range(10)]
+    junk = [(2000 + i, prose(rng, 60).upper().replace(" ", "%% "), "en", "s", 0) for i in range(10)]
+    docs = spark.createDataFrame(good + odd + repeated + junk, DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(120), 500]], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in p.judge(docs, labels, max_grams).where("kept").collect()}
+    assert len(kept & set(range(150))) >= 145 and not kept & set(range(500, 3000))
+
+
 def test_odd_rows(spark, odd_docs, no_docs, labels):
     kept = p.keep_good(odd_docs, labels)
     assert kept.columns == odd_docs.columns
