@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontaminate, html, jaccard, perplexity, pieces, pii, rules, sharding, urls
+from flowloom.llm import chat, decontaminate, html, jaccard, perplexity, pieces, pii, repair, rules, sharding, urls
 from flowloom.llm.book import QUERIES, SQL, register  # noqa: F401
 from flowloom.llm.common import table
 
@@ -241,3 +241,10 @@ def op10_quality_rules(spark, sf_dir):
     return rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@register()
+def op13_conversation_repair(spark, sf_dir):
+    """Faults of every damaged conversation and its cheapest repair."""
+    left, dropped = repair.damage(table(spark, sf_dir, "conversations"))
+    return repair.digests(repair.repair(left, dropped))
