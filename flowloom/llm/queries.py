@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontaminate, html, jaccard, perplexity, pieces, pii, repair, rules, sharding, urls
+from flowloom.llm import chat, decontaminate, html, jaccard, perplexity, pieces, pii, repair, rules, secrets, sharding, urls
 from flowloom.llm.book import QUERIES, SQL, register  # noqa: F401
 from flowloom.llm.common import table
 
@@ -243,6 +243,39 @@ def op10_quality_rules(spark, sf_dir):
     )
 
 
+def _op11_sql() -> str:
+    def each(place, rule):
+        pattern = "'(?s)(.*?)(" + rule.pattern.replace("'", "''") + "|\\z)'"
+        group = 3 if rule.kind == "assign" else 2
+        part = lambda g: f"unnest(regexp_extract_all(text, {pattern}, {g}))"
+        return f"""
+      select row_no, {place} as place, '{rule.kind}' as kind, {rule.least} as least, unnest(range(len(regexp_extract_all(text, {pattern})))) as i,
+             length({part(1)}) as before, length({part(2)}) as match, length({part(group)}) as size from docs"""
+
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    shown = "string_agg(kind || ':' || span_start || ':' || span_end, ',' order by span_start, place, span_end)"
+    return f"""
+with docs as (select row_number() over () as row_no, doc_id, coalesce(text, '') as text from documents),
+found as ({" union all ".join(each(i, r) for i, r in enumerate(secrets.RULES))}),
+placed as (select *, sum(before + match) over (partition by row_no, place order by i) as span_end from found),
+spans as (
+  select row_no, place, kind, (span_end - match)::bigint as span_start, span_end::bigint as span_end
+  from placed where match > 0 and size >= least),
+per as (
+  select row_no, {", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secrets.BASE)},
+         {shown} filter (kind in ({base})) as base, {shown} as spans from spans group by row_no)
+select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::bigint as n_{r.kind}" for r in secrets.BASE)},
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join per using (row_no)"""
+
+
+@register(_op11_sql())
+def op11_secret_scans(spark, sf_dir):
+    """Secrets in every document, from a ledger that holds each distinct text once."""
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return secrets.digests(secrets.scan_versions(versions, secrets.Ledger(spark)))
+
+
 @register()
 def op13_conversation_repair(spark, sf_dir):
     """Faults of every damaged conversation and its cheapest repair."""
