@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontaminate, html, jaccard, perplexity, pieces, pii, repair, rules, secrets, sharding, urls
+from flowloom.llm import chat, decontaminate, html, jaccard, negatives, perplexity, pieces, pii, repair, rules, secrets, sharding, urls
 from flowloom.llm.book import QUERIES, SQL, register  # noqa: F401
 from flowloom.llm.common import table
 
@@ -276,6 +276,34 @@ def op11_secret_scans(spark, sf_dir):
     return secrets.digests(secrets.scan_versions(versions, secrets.Ledger(spark)))
 
 
+_OP12_SQL = """
+with vectors as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as vec
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+anchors as (select * from vectors where vec_id % 100 = 0),
+scores as (
+  select a.vec_id as anchor_id, a.label as anchor_label, v.vec_id, v.label, list_dot_product(a.vec, v.vec)::bigint as score
+  from anchors a join vectors v on a.vec_id <> v.vec_id),
+positives as (
+  select anchor_id, anchor_label, vec_id as positive_id, score as positive_score from scores where label = anchor_label
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where label <> scores.anchor_label and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10"""
+
+
+@register(_OP12_SQL)
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives for every hundredth vector and its positives."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved))
+
+
 @register()
 def op13_conversation_repair(spark, sf_dir):
     """Faults of every damaged conversation and its cheapest repair."""
