@@ -19,7 +19,7 @@ from flowloom.functions.alerts import (
     severity_name,
     severity_rank,
 )
-from flowloom.operators.scan import Measure, id_block, running
+from flowloom.operators.scan import BLOCK_BITS, Opener, id_block, running_sessions
 from flowloom.registry import MIN_RISK, SEVERITIES, WINDOW_MINUTES
 
 KEY = ["label", "dst_ip"]
@@ -30,20 +30,22 @@ def micros(column):
 
 
 def sessions(
-    df: DataFrame, keys: list[str], gap_seconds: float, order: list[str], ts: str = "ts", levels: int = 1
+    df: DataFrame,
+    keys: list[str],
+    gap_seconds: float,
+    order: list[str],
+    ts: str = "ts",
+    levels: int = 1,
+    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Adds `opener`, the order columns (and time) of the row that opened the row's session.
 
-    `order` starts with an integer arrival number and must be unique in full.
+    `order` starts with an integer arrival number and must be unique in full. `block_bits` says how far
+    apart the numbers of 2**20 rows lie at most: 20 where numbers are dense.
     """
-    gap = int(gap_seconds * 1_000_000)
-    rows = df.withColumn("_block", id_block(F.col(order[0]))).withColumn("_us", micros(ts))
-    seen = running(
-        rows, keys, "_block", order, {"_seen": Measure("max", F.col("_us"), inclusive=False)}, levels
-    )
-    opens = F.col("_seen").isNull() | (F.col("_us") > F.col("_seen") + gap)
-    seen = seen.withColumn("_open", F.when(opens, F.struct(*order, F.col(ts).alias("opened_at"))))
-    found = running(seen, keys, "_block", order, {"opener": Measure("max", F.col("_open"))}, levels)
+    rows = df.withColumn("_block", id_block(F.col(order[0]), block_bits))
+    opener = Opener(int(gap_seconds * 1_000_000), F.struct(*order, F.col(ts).alias("opened_at")))
+    found = running_sessions(rows, keys, "_block", order, micros(ts), {"opener": opener}, levels=levels)
     return found.select(*df.columns, "opener")
 
 
@@ -53,10 +55,11 @@ def assign_alerts(
     min_risk: int = MIN_RISK,
     order: list[str] = ["event_id"],
     levels: int = 1,
+    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """The detections that raise alerts, each with its `alert_id`."""
     raised = detections.filter(raises_alert(F.col("label"), F.col("risk_score"), min_risk))
-    found = sessions(raised, KEY, window_minutes * 60, order, levels=levels)
+    found = sessions(raised, KEY, window_minutes * 60, order, levels=levels, block_bits=block_bits)
     return found.withColumn("alert_id", F.col(f"opener.{order[-1]}")).drop("opener")
 
 

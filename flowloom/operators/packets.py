@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.flows import lookup
 from flowloom.operators.correlate import micros
-from flowloom.operators.scan import Measure, id_block, running
+from flowloom.operators.scan import BLOCK_BITS, Measure, Opener, id_block, running, running_sessions
 from flowloom.registry import FLAG_CODES, IP_PROTOCOLS, PORT_SERVICES, PROTOCOL_CODES, SERVICE_CODES
 
 SECOND = 1_000_000
@@ -148,34 +148,50 @@ def with_conversation(packets: DataFrame) -> DataFrame:
     )
 
 
+#: A gap longer than this (seconds) parts two active periods of a flow.
+ACTIVITY_SECONDS = 5.0
+FLAG_BITS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32}
+
+
 def build_flows(
-    packets: DataFrame, idle_seconds: float, active_seconds: float, seq: str = "event_id", ts: str = "ts"
+    packets: DataFrame,
+    idle_seconds: float,
+    active_seconds: float,
+    seq: str = "event_id",
+    ts: str = "ts",
+    activity_seconds: float = ACTIVITY_SECONDS,
+    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Bidirectional flows of packets that arrive in time order.
+    """Bidirectional flows of packets that arrive in time order, with every measured feature.
 
     A flow ends after `idle_seconds` without a packet and is reported in parts of `active_seconds`,
-    so a flood shows while it runs. The sender of a flow's first packet is its forward side. Gaps
-    between packets come from running maxima, so even one endless conversation is cut into blocks.
+    so a flood shows while it runs. The sender of a flow's first packet is its forward side. A gap
+    inside a flow counts for the part of the packet that ends it; if it is longer than
+    `activity_seconds` it is an idle one, and the active period before it counts there too, if it is
+    longer than an instant. First windows are those of the part (`tcp_window`, -1 for none).
+
+    Gaps and openers come from one blocked scan, so even one endless conversation is cut into blocks.
     """
-    idle, active = int(idle_seconds * SECOND), int(active_seconds * SECOND)
+    idle, active, pause = (int(x * SECOND) for x in (idle_seconds, active_seconds, activity_seconds))
     rows = with_conversation(packets).withColumn("_us", micros(ts))
-    rows = rows.withColumn("_block", id_block(F.col(seq)))
+    rows = rows.withColumn("_block", id_block(F.col(seq), block_bits))
     us, a = F.col("_us"), F.col("_a_sends")
     last = lambda value: Measure("max", value, inclusive=False)
-    rows = running(
+    opener = F.struct(F.col(seq).alias("id"), us.alias("us"), a.alias("a_sends"))
+    rows = running_sessions(
         rows,
         TUPLE,
         "_block",
         [seq],
+        us,
+        {"_flow": Opener(idle, opener), "_since": Opener(min(idle, pause), us, inclusive=False)},
         {"_last": last(us), "_last_a": last(F.when(a, us)), "_last_b": last(F.when(~a, us))},
     )
-    opens = F.col("_last").isNull() | (us > F.col("_last") + idle)
-    opener = F.struct(F.col(seq).alias("id"), us.alias("us"), a.alias("a_sends"))
-    rows = rows.withColumn("_open", F.when(opens, opener))
-    rows = running(rows, TUPLE, "_block", [seq], {"_flow": Measure("max", F.col("_open"))})
     forward = F.col("_a_sends") == F.col("_flow.a_sends")
     same = F.when(F.col("_a_sends"), F.col("_last_a")).otherwise(F.col("_last_b"))
     inside = lambda previous: F.when(previous >= F.col("_flow.us"), (us - previous) / SECOND)
+    paused = (F.col("_last") >= F.col("_flow.us")) & (us - F.col("_last") > pause)
+    busy = (F.col("_last") - F.greatest("_since", "_flow.us")) / SECOND
     rows = rows.select(
         "*",
         F.col("_flow.id").alias("flow_id"),
@@ -183,11 +199,16 @@ def build_flows(
         forward.alias("_fwd"),
         inside(F.col("_last")).alias("_gap"),
         inside(same).alias("_side_gap"),
+        F.when(paused, (us - F.col("_last")) / SECOND).alias("_idle"),
+        F.when(paused & (busy > 0), busy).alias("_active"),
     )
     fwd, bwd = F.col("_fwd"), ~F.col("_fwd")
     size, count = F.col("length"), F.lit(1)
-    flag = lambda mask: F.count_if(F.col("tcp_flags").bitwiseAND(F.lit(mask)) != 0)
+    flag = lambda mask, rule=F.lit(True): F.count_if(rule & (F.col("tcp_flags").bitwiseAND(F.lit(mask)) != 0))  # noqa: E731, B008
     side = lambda fn, rule, value: fn(F.when(rule, value))
+    or_zero = lambda value: F.coalesce(value, F.lit(0.0))
+    window = F.col("tcp_window") if "tcp_window" in packets.columns else F.lit(-1)
+    first = lambda rule: F.coalesce(F.min_by(window, F.when(rule & window.isNotNull(), F.col(seq))), F.lit(-1)).cast("long")
     return rows.groupBy("flow_id", "part", *TUPLE).agg(
         ((F.max("_us") - F.min("_us")) / SECOND).alias("flow_duration_s"),
         side(F.count, fwd, count).alias("fwd_packets"),
@@ -195,22 +216,26 @@ def build_flows(
         F.coalesce(side(F.sum, fwd, size), F.lit(0)).alias("fwd_bytes"),
         F.coalesce(side(F.sum, bwd, size), F.lit(0)).alias("bwd_bytes"),
         *[
-            F.coalesce(side(fn, rule, size).cast("double"), F.lit(0.0)).alias(f"{way}_pkt_len_{name}")
+            or_zero(side(fn, rule, size).cast("double")).alias(f"{way}_pkt_len_{name}")
             for way, rule in (("fwd", fwd), ("bwd", bwd))
             for name, fn in (("max", F.max), ("min", F.min), ("mean", F.avg), ("std", F.stddev_samp))
         ],
         *[
-            F.coalesce(fn("_gap"), F.lit(0.0)).alias(f"flow_iat_{name}")
+            or_zero(fn("_gap")).alias(f"flow_iat_{name}")
             for name, fn in (("mean", F.avg), ("std", F.stddev_samp), ("max", F.max), ("min", F.min))
         ],
         *[
-            F.coalesce(side(fn, rule, F.col("_side_gap")), F.lit(0.0)).alias(f"{way}_iat_{name}")
+            or_zero(side(fn, rule, F.col("_side_gap"))).alias(f"{way}_iat_{name}")
             for way, rule in (("fwd", fwd), ("bwd", bwd))
             for name, fn in (("total", F.sum), ("mean", F.avg))
         ],
-        *[
-            flag(mask).alias(f"{name}_flag_count")
-            for name, mask in (("fin", 1), ("syn", 2), ("rst", 4), ("psh", 8), ("ack", 16), ("urg", 32))
-        ],
+        flag(FLAG_BITS["psh"], fwd).alias("fwd_psh_flags"),
+        *[flag(mask).alias(f"{name}_flag_count") for name, mask in FLAG_BITS.items()],
+        first(fwd).alias("init_win_bytes_fwd"),
+        first(bwd).alias("init_win_bytes_bwd"),
         F.avg("length").alias("pkt_len_mean"),
+        or_zero(F.stddev_samp("length")).alias("pkt_len_std"),
+        or_zero(F.try_divide(side(F.count, bwd, count), side(F.count, fwd, count))).alias("down_up_ratio"),
+        or_zero(F.avg("_active")).alias("active_mean"),
+        or_zero(F.avg("_idle")).alias("idle_mean"),
     )

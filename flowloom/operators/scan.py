@@ -87,6 +87,98 @@ def running(
     return joined.select(*out)
 
 
+class Opener(NamedTuple):
+    """A session boundary: a row opens one if its time is later than all before it plus `gap`."""
+
+    gap: int
+    mark: Column  # what later rows of the session carry
+    inclusive: bool = True  # False leaves the current row out
+
+
+def _last(column: Column, window) -> Column:
+    return F.last(column, ignorenulls=True).over(window)
+
+
+def _session_carry(blocks: DataFrame, keys: list[str], block: str, openers: dict, kinds: dict, levels: int) -> DataFrame:
+    """What each block finds before it: the latest time, the opener in force, and the folded measures.
+
+    A block knows its latest time and its last own opener (one that opens if nothing came before). That
+    opener stands if it is later than the latest time before the block plus the gap; if it does not, no
+    earlier one of the block does. So two windows over the block table decide everything. With more
+    levels the block table is cut into blocks itself, which fold in the same way.
+    """
+
+    def inside(frame, group, column):
+        w = _before(group, [column], False)
+        frame = frame.withColumn("_c_us", F.max("_us").over(w))
+        stands = {n: F.when(F.col("_c_us").isNull() | (F.col(f"{n}.us") > F.col("_c_us") + o.gap), F.col(n)) for n, o in openers.items()}
+        frame = frame.withColumns({f"_s_{n}": c for n, c in stands.items()})
+        carried = {f"_c_{n}": _last(F.col(f"_s_{n}"), w) for n in openers}
+        return frame.withColumns(carried | {f"_c_{n}": _FOLD[kind](n).over(w) for n, kind in kinds.items()})
+
+    names = ["_c_us", *[f"_c_{n}" for n in (*openers, *kinds)]]
+    if levels == 1:
+        return inside(blocks, keys, block).select(*keys, block, *names)
+    wider = f"{block}_"
+    blocks = inside(blocks.withColumn(wider, F.shiftright(block, BLOCK_BITS)), [*keys, wider], block)
+    tops = blocks.groupBy(*keys, wider).agg(
+        F.max("_us").alias("_us"),
+        *[F.max_by(f"_s_{n}", F.when(F.col(f"_s_{n}").isNotNull(), F.col(block))).alias(n) for n in openers],
+        *[_FOLD[kind](n).alias(n) for n, kind in kinds.items()],
+    )
+    above = _session_carry(tops, keys, wider, openers, kinds, levels - 1)
+    above = above.select(*keys, wider, *[F.col(c).alias(f"_t{c}") for c in names])
+    joined = blocks.join(above, [*keys, wider], "left")
+    before = _before([*keys, wider], [block], False)
+    out = [_merge("max", F.col("_t_c_us"), F.col("_c_us")).alias("_c_us")]
+    for n, o in openers.items():
+        still = F.when(F.col("_t_c_us").isNull() | (F.col(f"_s_{n}.us") > F.col("_t_c_us") + o.gap), F.col(f"_s_{n}"))
+        out.append(F.coalesce(_last(still, before), F.col(f"_t_c_{n}")).alias(f"_c_{n}"))
+    out += [_merge(kind, F.col(f"_t_c_{n}"), F.col(f"_c_{n}")).alias(f"_c_{n}") for n, kind in kinds.items()]
+    return joined.select(*keys, block, *out)
+
+
+def running_sessions(
+    df: DataFrame,
+    keys: list[str],
+    block: str,
+    order: list,
+    us: Column,
+    openers: dict[str, Opener],
+    measures: dict[str, Measure] | None = None,
+    levels: int = 1,
+) -> DataFrame:
+    """`df` with the opener's mark in force per name in `openers`, and one column per measure.
+
+    Rows are ordered by block, then `order`, inside `keys`; `us` is their time, which need not rise. The
+    input is read twice, whatever is asked: once for a row per (key, block), once to assign. Boundaries
+    and measures of a block need one window each, over one sort.
+    """
+    measures = measures or {}
+    group = [*keys, block]
+    before, upto = _before(group, order, False), _before(group, order, True)
+    rows = df.withColumn("_us_", us)
+    rows = rows.withColumn("_seen_", F.max("_us_").over(before))
+    own = {n: F.when(F.col("_seen_").isNull() | (F.col("_us_") > F.col("_seen_") + o.gap), F.struct(F.col("_us_").alias("us"), o.mark.alias("mark"))) for n, o in openers.items()}
+    rows = rows.withColumns({f"_o_{n}": c for n, c in own.items()})
+    kinds = {n: m.kind for n, m in measures.items()}
+    blocks = rows.groupBy(*group).agg(
+        F.max("_us_").alias("_us"),
+        *[F.max(f"_o_{n}").alias(n) for n in openers],  # a block's own openers rise in time
+        *[_FOLD[m.kind](m.value).alias(n) for n, m in measures.items()],
+    )
+    joined = rows.join(_session_carry(blocks, keys, block, openers, kinds, levels), group, "left")
+    stands = {f"_o_{n}": F.when(F.col("_c_us").isNull() | (F.col(f"_o_{n}.us") > F.col("_c_us") + o.gap), F.col(f"_o_{n}")) for n, o in openers.items()}
+    joined = joined.withColumns(stands)
+    out = [F.col(c) for c in df.columns]
+    for n, o in openers.items():
+        out.append(F.coalesce(_last(F.col(f"_o_{n}"), upto if o.inclusive else before), F.col(f"_c_{n}"))["mark"].alias(n))
+    for n, m in measures.items():
+        local = _FOLD[m.kind](m.value).over(upto if m.inclusive else before)
+        out.append(_merge(m.kind, F.col(f"_c_{n}"), local).alias(n))
+    return joined.select(*out)
+
+
 def beside(*rows: DataFrame) -> DataFrame:
     """One-row tables with different columns as a single row, without a join."""
     stacked = rows[0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowloom.operators import correlate, packets
+from flowloom.operators import correlate, packets, scan
 from flowloom.operators.scan import Measure, id_block, running, smallest_by_hash
 
 
@@ -60,12 +60,13 @@ def fold(rows, gap):
     return out
 
 
-def test_sessions_with_late_rows_equal_a_literal_fold(spark, monkeypatch):
+@pytest.mark.parametrize("levels,bits", [(1, 4), (2, 4), (1, 12), (3, 1)])
+def test_sessions_with_late_rows_equal_a_literal_fold(spark, monkeypatch, levels, bits):
     random.seed(3)
     rows = [(random.choice("xxy"), i * 3, i * 40 + random.randint(-900, 300)) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, id long, s long").withColumn("ts", F.timestamp_seconds("s"))
-    monkeypatch.setattr(correlate, "id_block", lambda seq: id_block(seq, 4))
-    got = correlate.sessions(df, ["k"], 200, ["id"], levels=2).select("id", "opener.id").collect()
+    monkeypatch.setattr(scan, "BLOCK_BITS", 3)
+    got = correlate.sessions(df, ["k"], 200, ["id"], levels=levels, block_bits=bits).select("id", "opener.id").collect()
     assert {r[0]: r[1] for r in got} == fold(rows, 200)
 
 
