@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.flows import lookup
 from flowloom.operators.correlate import assign_alerts, rollup
 from flowloom.registry import FEATURES, STATUSES
-from flowloom.session import configure
+from flowloom.session import configure, scratch_path
 from flowloom.sources import detections as contract
 
 CLASS_OF = {"click": "benign", "view": "portscan", "signup": "bruteforce", "purchase": "botnet", "error": "ddos"}
@@ -87,6 +87,19 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def events_in_files(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
+    """The events table as a stream of several files, one after the other, a micro-batch each."""
+    rows = table(spark, sf_dir, "events")
+    at = [i / files for i in range(1, files)]
+    cuts = rows.agg(F.percentile_approx("event_id", at, 10000)).first()[0] or []
+    path = scratch_path(spark, "event-files")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows.where(F.col("event_id") > low) if low is not None else rows
+        part = part.where(F.col("event_id") <= high) if high is not None else part
+        part.coalesce(1).write.mode("append").parquet(path)
+    return _with_k(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
 def network_events(spark, sf_dir) -> DataFrame:
     return detections(spark, sf_dir).select(
         "event_id", "stream_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from flowloom.catalog import fixtures as fx
 from flowloom.catalog import tables_sql as q
 from flowloom.catalog.book import register
+from flowloom.functions.flows import from_records
 from flowloom.operators import logins, packets, records, risk
-from flowloom.registry import PORT_SERVICES, SERVICE_CODES
+from flowloom.registry import FEATURE_NAMES, PORT_SERVICES, SERVICE_CODES
 
 TRAILING = """counted as (
   select p.*, count(*) over (partition by src order by ts range between interval 2 second preceding and current row)
@@ -102,8 +103,8 @@ def traffic_totals(spark, d):
     return found.withColumn("attack_percent", F.round("attack_percent", 6))
 
 
-CONN = """conn as (select src_ip, src_port, dst_ip, dst_port, protocol, event_id, ts, tcp_flags, length from (
-  select event_id, ts, cast(k % 32 as integer) as tcp_flags, 40 + cast(floor(value * 10) as bigint) as length,
+CONN = """conn as (select src_ip, src_port, dst_ip, dst_port, protocol, event_id, ts, tcp_flags, tcp_window, length from (
+  select event_id, ts, case when k % 5 > 0 then event_id * 131 % 65536 end as tcp_window, cast(k % 32 as integer) as tcp_flags, 40 + cast(floor(value * 10) as bigint) as length,
     case when event_id % 3 = 0 then b else a end as src_ip, case when event_id % 3 = 0 then 443 else 40000 + user_id % 3 end as src_port,
     case when event_id % 3 = 0 then a else b end as dst_ip, case when event_id % 3 = 0 then 40000 + user_id % 3 else 443 end as dst_port,
     6 as protocol
@@ -127,11 +128,11 @@ CONN = """conn as (select src_ip, src_port, dst_ip, dst_port, protocol, event_id
 )"""
 
 
-def conversations(spark, d):
+def conversations(spark, d, events=None):
     a = F.concat(F.lit("198.51.100."), (F.col("user_id") % 254 + 1).cast("string"))
     b = F.concat(F.lit("203.0.113."), (F.col("user_id") % 8 + 1).cast("string"))
     back, port = F.col("event_id") % 3 == 0, (40000 + F.col("user_id") % 3).cast("int")
-    return fx.events(spark, d).select(
+    return (fx.events(spark, d) if events is None else events).select(
         "event_id",
         "ts",
         F.when(back, b).otherwise(a).alias("src_ip"),
@@ -141,6 +142,7 @@ def conversations(spark, d):
         F.lit(6).alias("protocol"),
         (F.col("k") % 32).cast("int").alias("tcp_flags"),
         (F.lit(40) + F.floor(F.col("value") * 10)).cast("long").alias("length"),
+        F.when(F.col("k") % 5 > 0, F.col("event_id") * 131 % 65536).alias("tcp_window"),
     )
 
 
@@ -174,6 +176,62 @@ def built_flows(spark, d):
     return found.select("flow_id", "part", *COUNTED, *[F.round(c, 9).alias(c) for c in STATS])
 
 
+#: Seconds without a packet that part the active periods of the test flows.
+PAUSE = 7200
+FLOW_FEATURES = f"""resumed as (
+  select *, max(case when last_us is null or us > last_us + {PAUSE * 1000000} then us end)
+    over (partition by e1, e2 order by event_id rows between unbounded preceding and 1 preceding) as since_us from measured
+), paused as (
+  select *, case when gap > {PAUSE} then gap end as idle,
+    case when gap > {PAUSE} and last_us > greatest(since_us, first_us) then (last_us - greatest(since_us, first_us)) / 1000000.0::double end as active
+  from resumed
+), part_features as (
+  select flow_id, part, (max(us) - min(us)) / 1000000.0::double as flow_duration_s,
+    count(case when fwd then 1 end) as fwd_packets, count(case when not fwd then 1 end) as bwd_packets,
+    cast(coalesce(sum(case when fwd then length end), 0) as bigint) as fwd_bytes,
+    cast(coalesce(sum(case when not fwd then length end), 0) as bigint) as bwd_bytes,
+    {", ".join(f"coalesce({fn}(case when {rule} then length end), 0)::double as {way}_pkt_len_{name}"
+               for way, rule in (("fwd", "fwd"), ("bwd", "not fwd"))
+               for name, fn in (("max", "max"), ("min", "min"), ("mean", "avg"), ("std", "stddev_samp")))},
+    coalesce(avg(gap), 0) as flow_iat_mean, coalesce(stddev_samp(gap), 0) as flow_iat_std,
+    coalesce(max(gap), 0) as flow_iat_max, coalesce(min(gap), 0) as flow_iat_min,
+    coalesce(sum(case when fwd then side_gap end), 0) as fwd_iat_total, coalesce(avg(case when fwd then side_gap end), 0) as fwd_iat_mean,
+    coalesce(sum(case when not fwd then side_gap end), 0) as bwd_iat_total, coalesce(avg(case when not fwd then side_gap end), 0) as bwd_iat_mean,
+    count(case when fwd and tcp_flags & 8 <> 0 then 1 end) as fwd_psh_flags,
+    {", ".join(f"count(case when tcp_flags & {bit} <> 0 then 1 end) as {name}_flag_count" for name, bit in packets.FLAG_BITS.items())},
+    coalesce(arg_min(tcp_window, event_id) filter (fwd and tcp_window is not null), -1) as init_win_bytes_fwd,
+    coalesce(arg_min(tcp_window, event_id) filter (not fwd and tcp_window is not null), -1) as init_win_bytes_bwd,
+    avg(length) as pkt_len_mean, coalesce(stddev_samp(length), 0) as pkt_len_std,
+    coalesce(count(case when not fwd then 1 end) / nullif(count(case when fwd then 1 end), 0)::double, 0) as down_up_ratio,
+    coalesce(avg(active), 0) as active_mean, coalesce(avg(idle), 0) as idle_mean
+  from paused group by flow_id, part
+), rated as (
+  select *, case when flow_duration_s > 0 then (fwd_bytes + bwd_bytes) / flow_duration_s else 0 end as flow_bytes_per_s,
+    case when flow_duration_s > 0 then (fwd_packets + bwd_packets) / flow_duration_s else 0 end as flow_packets_per_s from part_features
+)"""
+
+
+def digits(feature: str) -> int:
+    """Deviations depend on the order of their sums in the last places."""
+    return 6 if feature.endswith("_std") else 9
+
+
+FLOW_FEATURES_SQL = q.query(
+    [CONN, FLOW_FEATURES], "select flow_id, part, " + ", ".join(f"round({f}::double, {digits(f)}) as {f}" for f in FEATURE_NAMES) + " from rated"
+)
+
+
+def model_flows(flows):
+    rows = from_records(flows, [F.col("flow_id"), F.col("part")])
+    return rows.select("flow_id", "part", *[F.round(c, digits(c)).alias(c) for c in FEATURE_NAMES])
+
+
+@register(FLOW_FEATURES_SQL)
+def built_flow_features(spark, d):
+    """The model's features of flows built from packets."""
+    return model_flows(packets.build_flows(conversations(spark, d), 21600, 86400, activity_seconds=PAUSE))
+
+
 def connections(spark, d):
     """Connection records with all columns; many rows repeat."""
     k = F.col("k")
