@@ -10,6 +10,7 @@ from flowloom.catalog.book import register
 from flowloom.functions.alerts import advice, description, severity
 from flowloom.operators import correlate, workflow
 from flowloom.registry import ADVICE, CRITICAL_PREFIX, OTHER_ADVICE, TITLES
+from flowloom.sources.settings import in_force
 
 
 @register(q.query([q.DET, q.ASSIGNED], "select event_id, alert_id from assigned"))
@@ -43,6 +44,43 @@ def alert_sessions_late(spark, d):
     return correlate.links(correlate.assign_alerts(late, fx.ALERT_WINDOW, order=["seq2", "event_id"]))
 
 
+VERSIONS = """versions as (
+  select epoch(hour)::bigint as version, valid_from, n % 60 as min_risk, k % 1500 as window_minutes
+  from (select time_bucket(interval 1 hour, ts, timestamp '2000-01-01') as hour, min(ts) as valid_from, count(*) as n, max(k) as k from ev group by 1)
+  where hour >= (select min(ts) + interval 1 day from ev) and k % 1500 between 1 and 1440
+), held as (
+  select d.*, coalesce(version, 0) as settings_version, coalesce(min_risk, 31) as min_risk, coalesce(window_minutes, 15) as window_minutes
+  from det d asof left join versions v on d.ts >= v.valid_from
+)"""
+
+
+@register(q.query([q.DET, VERSIONS], "select event_id, settings_version, min_risk, window_minutes from held"))
+def detections_with_settings(spark, d):
+    """Every detection beside the settings in force when it came; versions that break the contract are passed over."""
+    held = in_force(fx.detections(spark, d), fx.settings_versions(spark, d))
+    return held.select("event_id", "settings_version", *[F.col(f"_config.{c}").cast("long").alias(c) for c in ("min_risk", "window_minutes")])
+
+
+@register(
+    q.query(
+        [
+            q.DET,
+            VERSIONS,
+            """held_raised as (select * from held where label <> 'benign' and risk_score >= min_risk
+), held_seen as (
+  select *, max(ts) over (partition by label, dst_ip order by event_id rows between unbounded preceding and 1 preceding) as seen from held_raised
+)""",
+        ],
+        """select event_id, settings_version, max(case when seen is null or ts > seen + to_minutes(window_minutes) then event_id end)
+  over (partition by label, dst_ip order by event_id) as alert_id from held_seen""",
+    )
+)
+def alerts_under_settings(spark, d):
+    """Alerts of a replay in which threshold and window change every hour."""
+    found = correlate.assign_under_settings(fx.detections(spark, d), fx.settings_versions(spark, d))
+    return found.select("event_id", "settings_version", "alert_id")
+
+
 ROLL = [
     "alert_id", "attack_type", "source_ip", "destination_ip", "protocol", "first_seen_at", "last_seen_at",
     "detection_count", "risk_score", "severity", "model_version",

@@ -87,17 +87,21 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def events_in_files(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
-    """The events table as a stream of several files, one after the other, a micro-batch each."""
-    rows = table(spark, sf_dir, "events")
+def in_files(rows: DataFrame, order: str, files: int = 4) -> DataFrame:
+    """`rows` as a stream of several files in the order of a number, a micro-batch each."""
+    spark = rows.sparkSession
     at = [i / files for i in range(1, files)]
-    cuts = rows.agg(F.percentile_approx("event_id", at, 10000)).first()[0] or []
-    path = scratch_path(spark, "event-files")
+    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(x) for x in at]), 10000)).first()[0] or []
+    path = scratch_path(spark, "files")
     for low, high in zip([None, *cuts], [*cuts, None]):
-        part = rows.where(F.col("event_id") > low) if low is not None else rows
-        part = part.where(F.col("event_id") <= high) if high is not None else part
+        part = rows.where(F.col(order) > low) if low is not None else rows
+        part = part.where(F.col(order) <= high) if high is not None else part
         part.coalesce(1).write.mode("append").parquet(path)
-    return _with_k(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def events_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_k(in_files(table(spark, sf_dir, "events"), "event_id"))
 
 
 def network_events(spark, sf_dir) -> DataFrame:
@@ -227,6 +231,17 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def settings_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings document stored by the first event of every hour, from the second day on."""
+    hour = F.date_trunc("hour", "ts")
+    e = events(spark, sf_dir).groupBy(hour.alias("hour")).agg(F.min("ts").alias("updated_at"), F.count("*").alias("n"), F.max("k").alias("k"))
+    start = table(spark, sf_dir, "events").agg((F.min("ts") + F.expr("interval 1 day")).alias("start")).first().start
+    value = F.to_json(F.struct((F.col("n") % 60).alias("alert_min_risk"), (F.col("k") % 1500).alias("aggregation_window_minutes")))
+    return e.where(F.col("hour") >= F.lit(start)).select(
+        F.unix_seconds(F.col("hour").cast("timestamp")).alias("version"), value.alias("value"), F.lit(None).cast("long").alias("updated_by"), "updated_at"
+    )
+
+
 ALERT_WINDOW = 360  # minutes; most alerts then hold several detections
 
 

@@ -341,19 +341,37 @@ def best_features(spark, d):
     return records.best_features(information(spark, d), 3).select("feature")
 
 
+def greedy(rows: str, keys: str, name: str = "starts") -> str:
+    """Openers of windows, one after the other: `rows` has the keys, ts and period."""
+    same = " and ".join(f"r.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
+    of = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+    return f"""{name}({keys}, start_ts) as (
+  select {keys}, min(ts) from {rows} group by {keys}
+  union all
+  select {of}, min(r.ts) from {name} s join {rows} r on {same} and r.ts >= s.start_ts + r.period group by {of}, s.start_ts
+)"""
+
+
 @register(
     q.query(
         [
             q.AUDIT,
             """failed as (select ts, actor, ip from audit where action = 'auth.login_failed'
-), scoped as (select ts, 'user' as scope, actor as key from failed union all select ts, 'ip', ip from failed)""",
+), scoped as (
+  select ts, 'user' as scope, actor as key, interval 1 day as period from failed union all select ts, 'ip', ip, interval 1 day from failed
+)""",
+            greedy("scoped", "scope, key"),
+            """placed as (
+  select r.*, (select max(start_ts) from starts s where s.scope = r.scope and s.key = r.key and s.start_ts <= r.ts) as window_start from scoped r
+)""",
         ],
-        """select time_bucket(interval 1 day, ts, timestamp '2000-01-01') as window_start, scope, key, count(*) as failures,
-  count(*) >= case scope when 'user' then 3 else 4 end as reached from scoped group by 1, 2, 3""",
-    )
+        """select window_start, scope, key, count(*) as failures,
+  count(*) >= case scope when 'user' then 3 else 4 end as reached from placed group by 1, 2, 3""",
+    ).replace("with ", "with recursive ", 1)
 )
 def failed_login_windows(spark, d):
-    return logins.failed_logins(fx.audit(spark, d), 1440, {"user": 3, "ip": 4})
+    found = logins.failed_logins(fx.audit(spark, d), 1440, {"user": 3, "ip": 4})
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @register(
@@ -379,31 +397,35 @@ def source_features(spark, d):
     return risk.source_features(fx.network_events(spark, d))
 
 
-def _sql_anomaly(c: str) -> str:
-    mean = f"list_sum(list_transform(h_{c}, lambda x, i: x * pow(0.7, len(h_{c}) - i))) / list_sum(list_transform(h_{c}, lambda x, i: pow(0.7, len(h_{c}) - i)))"
-    return mean
+def _sql_signal(c: str) -> str:
+    mean = f"sum({c}_h * pow(0.7, age)) / sum(pow(0.7, age))"
+    z = f"greatest((any_value({c}) - {mean}) / greatest(1.4826 * any_value(mad_{c}), 0.05 * {mean}, 1.0), 0)"
+    return f"100 * {z} / ({z} + 3)"
 
 
+#: Every hour from a destination's first is a row, silent ones with zeros; each is set against the 24 before.
 ANOMALY = f"""buckets as (
   select dst_ip, time_bucket(interval 1 hour, ts, timestamp '2000-01-01') as bucket, count(*)::double as flows,
     sum(packet_count)::double as packets, sum(byte_count)::double as bytes from det group by 1, 2
-), past as (
-  select *, {", ".join(f"list({c}) over w as h_{c}" for c in risk.RATES)} from buckets
-  window w as (partition by dst_ip order by bucket rows between 24 preceding and 1 preceding)
-), mids as (
-  select *, {", ".join(f"list_median(h_{c}) as mid_{c}, {_sql_anomaly(c)} as mean_{c}" for c in risk.RATES)} from past
-), zs as (
-  select *, {", ".join(f"greatest(({c} - mean_{c}) / greatest(1.4826 * list_median(list_transform(h_{c}, lambda x: abs(x - mid_{c}))), 0.05 * mean_{c}, 1.0), 0) as z_{c}" for c in risk.RATES)} from mids
+), hours as (
+  select dst_ip, unnest(generate_series(min(bucket), max(bucket), interval 1 hour)) as hour from buckets group by 1
+), dense as (
+  select h.dst_ip, hour, {", ".join(f"coalesce({c}, 0) as {c}_h" for c in risk.RATES)}
+  from hours h left join buckets b on b.dst_ip = h.dst_ip and b.bucket = h.hour
+), history as (
+  select b.*, {", ".join(f"{c}_h" for c in risk.RATES)}, date_diff('hour', hour, bucket) - 1 as age
+  from buckets b join dense d on d.dst_ip = b.dst_ip and hour < bucket and hour >= bucket - interval 24 hour
+), medians as (
+  select dst_ip, bucket, {", ".join(f"median({c}_h) as mid_{c}" for c in risk.RATES)} from history group by 1, 2
+), deviations as (
+  select dst_ip, bucket, {", ".join(f"median(abs({c}_h - mid_{c})) as mad_{c}" for c in risk.RATES)}
+  from history join medians using (dst_ip, bucket) group by 1, 2
+), signals as (
+  select dst_ip, bucket, greatest({", ".join(_sql_signal(c) for c in risk.RATES)}) as signal
+  from history join deviations using (dst_ip, bucket) group by 1, 2
 ), anomaly as (
-  select dst_ip, bucket, flows, packets, bytes, greatest({", ".join(f"case when len(h_{c}) > 0 then 100 * z_{c} / (z_{c} + 3) else 0 end" for c in risk.RATES)}) as traffic_anomaly from zs
+  select dst_ip, bucket, coalesce(signal, 0) as traffic_anomaly from buckets left join signals using (dst_ip, bucket)
 )"""
-ANOMALY = ANOMALY.replace("list_median", "list_aggregate_median")
-for _c in risk.RATES:
-    ANOMALY = ANOMALY.replace(f"list_aggregate_median(h_{_c})", f"list_aggregate(h_{_c}, 'median')")
-    ANOMALY = ANOMALY.replace(
-        f"list_aggregate_median(list_transform(h_{_c}, lambda x: abs(x - mid_{_c})))",
-        f"list_aggregate(list_transform(h_{_c}, lambda x: abs(x - mid_{_c})), 'median')",
-    )
 
 
 @register(
@@ -411,7 +433,7 @@ for _c in risk.RATES:
 )
 def traffic_anomaly(spark, d):
     found = risk.traffic_anomaly(fx.network_events(spark, d))
-    return found.select("dst_ip", "bucket", F.round("traffic_anomaly", 4).alias("traffic_anomaly"))
+    return found.select("dst_ip", F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round("traffic_anomaly", 4).alias("traffic_anomaly"))
 
 
 REPUTATION = """prior as (
@@ -435,12 +457,13 @@ def source_reputation(spark, d):
     q.query(
         [*q.ALERTS, REPUTATION, ANOMALY],
         """select event_id, case when label = 'benign' then 0 else cast(round_even(
-    0 + 0.4::double * (confidence * 100) + 0.25::double * traffic_anomaly
+    0 + 0.4::double * (confidence * 100) + 0.25::double * coalesce(traffic_anomaly, 0)
     + 0.25::double * (case label when 'ddos' then 90.0::double when 'botnet' then 80.0 when 'bruteforce' then 65.0 when 'portscan' then 50.0 else 0 end
       * (0.5::double + 0.5::double * least(log10(packet_count + 1) / 5, 1.0)))
     + 0.1::double * least(100.0::double, 20.0::double * prior_source + 0.1::double * prior_subnet), 0) as integer) end as risk
 from det join prior using (event_id)
-join anomaly a on a.dst_ip = det.dst_ip and a.bucket = time_bucket(interval 1 hour, ts, timestamp '2000-01-01')""",
+left join anomaly a on a.dst_ip = det.dst_ip
+  and a.bucket = time_bucket(interval 1 hour, ts, timestamp '2000-01-01') - interval 1 hour""",
     )
 )
 def risk_score(spark, d):
@@ -450,22 +473,32 @@ def risk_score(spark, d):
 RULES = {"email": ("HIGH", 86400), "chat": ("MEDIUM", 21600)}
 
 
-@register(
-    q.query(
-        [
-            q.DET,
-            q.ASSIGNED,
-            """fits as (
-  select 'email' as channel, alert_id, time_bucket(interval 1 day, ts, timestamp '2000-01-01') as period, event_id, risk_score
-  from assigned where risk_score > 60
+#: The columns of a message sent are to be filled in.
+NOTIFIED = q.query(
+    [
+        q.DET,
+        q.ASSIGNED,
+        """fits as (
+  select 'email' as channel, alert_id, event_id, ts, risk_score, interval 1 day as period from assigned where risk_score > 60
   union all
-  select 'chat', alert_id, time_bucket(interval 6 hour, ts, timestamp '2000-01-01'), event_id, risk_score
-  from assigned where risk_score > 30
+  select 'chat', alert_id, event_id, ts, risk_score, interval 6 hour from assigned where risk_score > 30
 )""",
-        ],
-        """select channel, alert_id, period, min(event_id) as event_id, arg_min(risk_score, event_id) as risk_score,
-  count(*) - 1 as held_back from fits group by 1, 2, 3""",
+        greedy("fits", "channel, alert_id"),
+        """placed as (
+  select f.*, (select max(start_ts) from starts s where s.channel = f.channel and s.alert_id = f.alert_id and s.start_ts <= f.ts) as sent_at
+  from fits f
+)""",
+    ],
+    "select {} from placed group by channel, alert_id, sent_at",
+).replace("with ", "with recursive ", 1)
+
+
+@register(
+    NOTIFIED.format(
+        """channel, alert_id, sent_at, min(event_id) filter (ts = sent_at) as event_id,
+  arg_min(risk_score, event_id) filter (ts = sent_at) as risk_score, count(*) - 1 as held_back"""
     )
 )
 def notifications(spark, d):
-    return risk.notifications(fx.assigned(spark, d), RULES)
+    sent = risk.notifications(fx.assigned(spark, d), RULES)
+    return sent.withColumn("sent_at", F.col("sent_at").cast("timestamp_ntz"))

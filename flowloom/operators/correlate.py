@@ -8,7 +8,7 @@ detection that opened it: unique, ordered, and known without a global counter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.alerts import (
@@ -21,6 +21,7 @@ from flowloom.functions.alerts import (
 )
 from flowloom.operators.scan import BLOCK_BITS, Opener, id_block, running_sessions
 from flowloom.registry import MIN_RISK, SEVERITIES, WINDOW_MINUTES
+from flowloom.sources.settings import in_force
 
 KEY = ["label", "dst_ip"]
 
@@ -32,7 +33,7 @@ def micros(column):
 def sessions(
     df: DataFrame,
     keys: list[str],
-    gap_seconds: float,
+    gap_seconds: float | Column,
     order: list[str],
     ts: str = "ts",
     levels: int = 1,
@@ -41,10 +42,15 @@ def sessions(
     """Adds `opener`, the order columns (and time) of the row that opened the row's session.
 
     `order` starts with an integer arrival number and must be unique in full. `block_bits` says how far
-    apart the numbers of 2**20 rows lie at most: 20 where numbers are dense.
+    apart the numbers of 2**20 rows lie at most: 20 where numbers are dense. The gap may differ from row
+    to row.
     """
     rows = df.withColumn("_block", id_block(F.col(order[0]), block_bits))
-    opener = Opener(int(gap_seconds * 1_000_000), F.struct(*order, F.col(ts).alias("opened_at")))
+    if isinstance(gap_seconds, Column):
+        gap = (gap_seconds.cast("double") * 1_000_000).cast("long")
+    else:
+        gap = int(gap_seconds * 1_000_000)
+    opener = Opener(gap, F.struct(*order, F.col(ts).alias("opened_at")))
     found = running_sessions(rows, keys, "_block", order, micros(ts), {"opener": opener}, levels=levels)
     return found.select(*df.columns, "opener")
 
@@ -63,6 +69,20 @@ def assign_alerts(
     return found.withColumn("alert_id", F.col(f"opener.{order[-1]}")).drop("opener")
 
 
+def assign_under_settings(
+    detections: DataFrame, versions: DataFrame, order: list[str] = ["event_id"], levels: int = 1, block_bits: int = BLOCK_BITS
+) -> DataFrame:
+    """A replay: like `assign_alerts`, with the threshold and window in force when each detection came.
+
+    `versions` are stored settings (`sources.settings`); before the first one the defaults hold. Adds
+    `settings_version` (0 for the defaults) and `alert_id`.
+    """
+    held = in_force(detections, versions)
+    raised = held.filter(raises_alert(F.col("label"), F.col("risk_score"), F.col("_config.min_risk")))
+    found = sessions(raised, KEY, F.col("_config.window_minutes") * 60, order, levels=levels, block_bits=block_bits)
+    return found.withColumn("alert_id", F.col(f"opener.{order[-1]}")).drop("opener", "_config")
+
+
 def rollup(assigned: DataFrame, order: list[str] = ["event_id"], carried: list[str] | None = None) -> DataFrame:
     """One row per alert.
 

@@ -88,9 +88,9 @@ def running(
 
 
 class Opener(NamedTuple):
-    """A session boundary: a row opens one if its time is later than all before it plus `gap`."""
+    """A session boundary: a row opens one if its time is later than all before it plus its `gap`."""
 
-    gap: int
+    gap: int | Column  # not negative
     mark: Column  # what later rows of the session carry
     inclusive: bool = True  # False leaves the current row out
 
@@ -102,17 +102,18 @@ def _last(column: Column, window) -> Column:
 def _session_carry(blocks: DataFrame, keys: list[str], block: str, openers: dict, kinds: dict, levels: int) -> DataFrame:
     """What each block finds before it: the latest time, the opener in force, and the folded measures.
 
-    A block knows its latest time and its last own opener (one that opens if nothing came before). That
-    opener stands if it is later than the latest time before the block plus the gap; if it does not, no
-    earlier one of the block does. So two windows over the block table decide everything. With more
-    levels the block table is cut into blocks itself, which fold in the same way.
+    A block knows its latest time and its last own opener (one that opens if nothing came before), with
+    the time it must be later than, its own minus its gap. That opener stands if the latest time before
+    the block is below; if it does not, no earlier one of the block does, as theirs are lower. So two
+    windows over the block table decide everything. With more levels the block table is cut into blocks
+    itself, which fold in the same way.
     """
 
     def inside(frame, group, column):
         w = _before(group, [column], False)
         frame = frame.withColumn("_c_us", F.max("_us").over(w))
-        stands = {n: F.when(F.col("_c_us").isNull() | (F.col(f"{n}.us") > F.col("_c_us") + o.gap), F.col(n)) for n, o in openers.items()}
-        frame = frame.withColumns({f"_s_{n}": c for n, c in stands.items()})
+        stands = {f"_s_{n}": F.when(F.col("_c_us").isNull() | (F.col(f"{n}.over") > F.col("_c_us")), F.col(n)) for n in openers}
+        frame = frame.withColumns(stands)
         carried = {f"_c_{n}": _last(F.col(f"_s_{n}"), w) for n in openers}
         return frame.withColumns(carried | {f"_c_{n}": _FOLD[kind](n).over(w) for n, kind in kinds.items()})
 
@@ -131,8 +132,8 @@ def _session_carry(blocks: DataFrame, keys: list[str], block: str, openers: dict
     joined = blocks.join(above, [*keys, wider], "left")
     before = _before([*keys, wider], [block], False)
     out = [_merge("max", F.col("_t_c_us"), F.col("_c_us")).alias("_c_us")]
-    for n, o in openers.items():
-        still = F.when(F.col("_t_c_us").isNull() | (F.col(f"_s_{n}.us") > F.col("_t_c_us") + o.gap), F.col(f"_s_{n}"))
+    for n in openers:
+        still = F.when(F.col("_t_c_us").isNull() | (F.col(f"_s_{n}.over") > F.col("_t_c_us")), F.col(f"_s_{n}"))
         out.append(F.coalesce(_last(still, before), F.col(f"_t_c_{n}")).alias(f"_c_{n}"))
     out += [_merge(kind, F.col(f"_t_c_{n}"), F.col(f"_c_{n}")).alias(f"_c_{n}") for n, kind in kinds.items()]
     return joined.select(*keys, block, *out)
@@ -159,16 +160,18 @@ def running_sessions(
     before, upto = _before(group, order, False), _before(group, order, True)
     rows = df.withColumn("_us_", us)
     rows = rows.withColumn("_seen_", F.max("_us_").over(before))
-    own = {n: F.when(F.col("_seen_").isNull() | (F.col("_us_") > F.col("_seen_") + o.gap), F.struct(F.col("_us_").alias("us"), o.mark.alias("mark"))) for n, o in openers.items()}
-    rows = rows.withColumns({f"_o_{n}": c for n, c in own.items()})
+    for n, o in openers.items():
+        over = F.col("_us_") - o.gap
+        own = F.struct(over.alias("over"), o.mark.alias("mark"))
+        rows = rows.withColumn(f"_o_{n}", F.when(F.col("_seen_").isNull() | (over > F.col("_seen_")), own))
     kinds = {n: m.kind for n, m in measures.items()}
     blocks = rows.groupBy(*group).agg(
         F.max("_us_").alias("_us"),
-        *[F.max(f"_o_{n}").alias(n) for n in openers],  # a block's own openers rise in time
+        *[F.max(f"_o_{n}").alias(n) for n in openers],  # those of a block rise
         *[_FOLD[m.kind](m.value).alias(n) for n, m in measures.items()],
     )
     joined = rows.join(_session_carry(blocks, keys, block, openers, kinds, levels), group, "left")
-    stands = {f"_o_{n}": F.when(F.col("_c_us").isNull() | (F.col(f"_o_{n}.us") > F.col("_c_us") + o.gap), F.col(f"_o_{n}")) for n, o in openers.items()}
+    stands = {f"_o_{n}": F.when(F.col("_c_us").isNull() | (F.col(f"_o_{n}.over") > F.col("_c_us")), F.col(f"_o_{n}")) for n in openers}
     joined = joined.withColumns(stands)
     out = [F.col(c) for c in df.columns]
     for n, o in openers.items():
