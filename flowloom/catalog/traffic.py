@@ -291,6 +291,7 @@ def connection_codes(spark, d):
     return coded.select("service", "flag", "attack", "service_code", "flag_code", "attack_code").distinct()
 
 
+MI_NUMBERS = ["src_bytes", "protocol_type", "service", "flag", "count"]
 MI = ["src_bytes", "duration", "protocol_type", "service", "flag", "count"]
 
 
@@ -341,6 +342,47 @@ def best_features(spark, d):
     return records.best_features(information(spark, d), 3).select("feature")
 
 
+def _psi(n: str) -> str:
+    """The digamma function of whole numbers: harmonic sums up to 40, a series beyond."""
+    return f"""case when {n} <= 40 then coalesce(list_sum(list_transform(range(1, {n}::bigint), lambda i: 1.0::double / i)), 0) - 0.5772156649015329::double
+    else ln({n}) - 1 / (2.0::double * {n}) - 1 / (12.0::double * {n} * {n}) + 1 / (120.0::double * pow({n}, 4)) end"""
+
+
+NEIGHBOURS = f"""labelled as (
+  select event_id, src_bytes, protocol_type, service, flag, count, event_type = 'error' as attack from
+    (select event_id, length as src_bytes, protocol_type, service, flag, count from coded) join ev using (event_id)
+), long as (
+  {" union all ".join(f"select '{f}' as feature, {f}::double as value, attack from labelled" for f in MI_NUMBERS)}
+), cells as (
+  select feature, attack, value, count(*) as n, sum(count(*)) over (partition by feature, attack) as of_label from long group by 1, 2, 3
+), far as (
+  select a.feature, a.attack, a.value, abs(b.value - a.value) as d,
+    sum(sum(b.n - case when b.value = a.value then 1 else 0 end)) over (partition by a.feature, a.attack, a.value order by abs(b.value - a.value)) as upto
+  from cells a join cells b on a.feature = b.feature and a.attack = b.attack group by 1, 2, 3, 4
+), kth as (
+  select feature, attack, value, min(d) filter (upto >= 3) as d from far group by 1, 2, 3
+), spread as (
+  select k.feature, k.attack, k.value, k.d, any_value(c.n) as n, any_value(c.of_label) as of_label,
+    sum(o.n) - case when k.d = 0 then 1 else 0 end as m
+  from kth k join cells c using (feature, attack, value)
+  join cells o on o.feature = k.feature and (abs(o.value - k.value) < k.d or o.value = k.value) group by 1, 2, 3, 4
+), neighbour_information as (
+  select feature, greatest({{psi_all}} + sum(n * ({{psi_k}} - {{psi_label}} - {{psi_m}})) / sum(n), 0) as score from spread group by 1
+)"""
+NEIGHBOURS = NEIGHBOURS.format(psi_all=_psi("sum(n)"), psi_k="case when d = 0 then " + _psi("(n - 1)") + " else 1.5::double - 0.5772156649015329::double end", psi_label=_psi("of_label"), psi_m=_psi("m"))
+
+
+@register(
+    q.query([q.PACKETS, TRAILING, CODED, NEIGHBOURS], "select feature, round(score, 6) as score from neighbour_information")
+)
+def mutual_information_neighbours(spark, d):
+    """Mutual information by nearest neighbours, ties counted."""
+    features = packets.packet_features(fx.packets(spark, d))
+    kinds = fx.events(spark, d).select("event_id", (F.col("event_type") == "error").alias("attack"))
+    found = records.neighbour_information(features.join(kinds, "event_id"), MI_NUMBERS, "attack")
+    return found.withColumn("score", F.round("score", 6))
+
+
 def greedy(rows: str, keys: str, name: str = "starts") -> str:
     """Openers of windows, one after the other: `rows` has the keys, ts and period."""
     same = " and ".join(f"r.{k.strip()} = s.{k.strip()}" for k in keys.split(","))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.scan import Measure, beside, running, value_blocks
-from flowloom.session import cut_lineage
+from flowloom.operators.scan import Measure, beside, running
+from flowloom.session import discard, stored
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -76,13 +76,21 @@ def score_counts(scored: DataFrame) -> DataFrame:
     )
 
 
-def ranked_scores(counts: DataFrame, blocks: int = 256) -> DataFrame:
+#: Distinct scores in a block of the ranking.
+BLOCK_SCORES = 1 << 18
+
+
+def ranked_scores(counts: DataFrame, blocks: int | None = None) -> DataFrame:
     """Adds, per row, positives and negatives with a lower score, and the class totals.
 
-    The counts are read four times, so they are written once; they are far smaller than the flows.
+    Scores are dealt out by ranges of (class, score) into as many blocks as their number asks for, so a
+    class spans the blocks its own scores need. The counts are written with their block, which no rerun
+    can change then, and read by the three steps that follow. Totals are a row per class.
     """
-    counts = cut_lineage(counts)
-    cut = value_blocks(counts, "score", "_block", blocks)
+    counts = stored(counts, "score-counts")
+    blocks = blocks or -(-counts.count() // BLOCK_SCORES) or 1
+    dealt = counts.repartitionByRange(blocks, "class_id", "score").withColumn("_block", F.spark_partition_id())
+    cut = stored(dealt, "score-blocks")
     placed = running(
         cut,
         ["class_id"],
@@ -93,11 +101,12 @@ def ranked_scores(counts: DataFrame, blocks: int = 256) -> DataFrame:
             "neg_below": Measure("sum", F.col("neg"), inclusive=False),
         },
     )
-    totals = counts.groupBy("class_id").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return placed.drop("_block").join(totals, "class_id")
+    totals = cut.groupBy("class_id").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    discard(counts)
+    return placed.drop("_block").join(F.broadcast(totals), "class_id")
 
 
-def ranking_metrics(scored: DataFrame, blocks: int = 256) -> DataFrame:
+def ranking_metrics(scored: DataFrame, blocks: int | None = None) -> DataFrame:
     """ROC-AUC (ties count half) and average precision (step sum) per class.
 
     AUC is null for a class that is absent or the only one, average precision for an absent one, so
@@ -116,7 +125,7 @@ def ranking_metrics(scored: DataFrame, blocks: int = 256) -> DataFrame:
     )
 
 
-def roc_points(scored: DataFrame, class_id: int, blocks: int = 256) -> DataFrame:
+def roc_points(scored: DataFrame, class_id: int, blocks: int | None = None) -> DataFrame:
     """True and false positive rate at each distinct score of one class taken as threshold."""
     one = score_counts(scored).filter(F.col("class_id") == class_id)
     r = ranked_scores(one, blocks)
@@ -137,7 +146,7 @@ def as_binary(scored: DataFrame, benign: int = 0) -> DataFrame:
     )
 
 
-def binary_report(binary: DataFrame, blocks: int = 256) -> DataFrame:
+def binary_report(binary: DataFrame, blocks: int | None = None) -> DataFrame:
     """Accuracy, precision, recall, F1, AUC and false positive rate of class 1."""
     confused = confusion(binary, 2)
     attack = per_class(confused).filter("class_id = 1").select("precision", "recall", "f1")

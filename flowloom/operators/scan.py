@@ -190,23 +190,6 @@ def beside(*rows: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def value_blocks(df: DataFrame, column: str, out: str, blocks: int = 256) -> DataFrame:
-    """Cut a double column into blocks at its quantiles.
-
-    The driver receives at most `blocks` numbers. Any cut gives the same result downstream; good
-    quantiles only even out the blocks.
-    """
-    from pyspark.ml.feature import Bucketizer
-
-    at = [i / blocks for i in range(1, blocks)]
-    row = df.agg(F.percentile_approx(column, F.array(*[F.lit(p) for p in at]), 10000)).first()
-    inner = sorted({float(v) for v in row[0] or []})
-    splits = [float("-inf"), *inner, float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df)
-
-
 def smallest_by_hash(
     df: DataFrame, group: list[str], key: Column, seed: int, cap: Column
 ) -> DataFrame:

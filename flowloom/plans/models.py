@@ -117,7 +117,7 @@ def cross_validate(name: str, train: DataFrame, seed: int = 42, **params) -> Dat
     return evaluate.fold_scores(reduce(DataFrame.unionByName, parts), len(CLASSES))
 
 
-def test_metrics(model: PipelineModel, test: DataFrame, blocks: int = 256) -> DataFrame:
+def test_metrics(model: PipelineModel, test: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row of metrics on labelled flows: the test split, or another mapped dataset."""
     rows = score(model, test.withColumn("y", class_index(F.col("label")))).select("y", "pred", "proba").persist()
     ranked = evaluate.ranking_metrics(rows, blocks).agg(
