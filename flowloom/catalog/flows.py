@@ -70,8 +70,7 @@ where label_text not in ({q.listing([k for k in q.LABELS if k not in ("portscan"
 def labels_outside_subset(spark, d):
     """The unknown-label check, run against a mapping without two labels and without the rare ones."""
     known = [t for t in q.LABELS if t not in ("portscan", "ddos")]
-    seen = fx.raw_flows(spark, d).select(label_text(F.col("raw_label")).alias("label_text")).distinct()
-    return seen.subtract(spark.createDataFrame([(t,) for t in known], "label_text string"))
+    return cleaning.unknown_labels(fx.raw_flows(spark, d), known, ())
 
 
 @register(q.query([q.FLOWS, q.CLEANED, q.SPLIT], "select * from split"))

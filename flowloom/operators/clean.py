@@ -16,14 +16,13 @@ from flowloom.functions.flows import (
     label_class,
     label_text,
 )
-from flowloom.operators.scan import beside
 from flowloom.registry import CLASSES, FEATURE_NAMES, LABELS, RARE_LABELS
 
 
-def unknown_labels(raw: DataFrame) -> DataFrame:
+def unknown_labels(raw: DataFrame, mapped=tuple(LABELS), left_out=RARE_LABELS) -> DataFrame:
     """Labels that are neither mapped nor left out."""
     spark = raw.sparkSession
-    known = spark.createDataFrame([(t,) for t in [*LABELS, *RARE_LABELS]], "label_text string")
+    known = spark.createDataFrame([(t,) for t in [*mapped, *left_out]], "label_text string")
     seen = raw.select(label_text(F.col("raw_label")).alias("label_text")).distinct()
     return seen.join(known, "label_text", "left_anti").orderBy("label_text")
 
@@ -81,17 +80,27 @@ def clean(raw: DataFrame, order: list[str] = ["capture_order"]) -> DataFrame:
 
 
 def cleaning_report(raw: DataFrame, order: list[str] = ["capture_order"]) -> DataFrame:
-    """One row of counts: what was loaded, dropped for which reason, and kept."""
+    """One row of counts: what was loaded, dropped for which reason, and kept.
+
+    Rows that are dropped for their label or duration have no vector, so each reason is one group beside
+    the vectors and the input is read once.
+    """
     rows = labelled_features(raw, order)
-    loaded = rows.agg(
-        F.count("*").alias("rows_loaded"),
-        F.count_if("rare").alias("dropped_rare_classes"),
-        F.count_if("negative").alias("dropped_negative_duration"),
+    reason = F.when(F.col("rare"), 1).when(F.col("negative"), 2).otherwise(0)
+    rows = rows.withColumn("reason", reason)
+    vector = {n: F.when(F.col("reason") == 0, F.col(n)) for n in FEATURE_NAMES}
+    rows = rows.withColumns(vector).withColumn("fingerprint", F.xxhash64(*FEATURE_NAMES))
+    grouped = rows.groupBy("reason", "fingerprint", *FEATURE_NAMES).agg(
+        F.count("*").alias("copies"), F.bit_or(F.expr("shiftleft(1, class_id)")).alias("class_bits")
     )
-    classes = F.bit_count("class_bits").cast("long")
-    grouped = vectors(rows, order).agg(
-        F.coalesce(F.sum(F.col("copies") - classes), F.lit(0)).alias("dropped_exact_duplicates"),
-        F.coalesce(F.sum(F.when(classes > 1, classes)), F.lit(0)).alias("dropped_conflicting_labels"),
+    classes = F.when(F.col("reason") == 0, F.bit_count("class_bits")).cast("long")
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0))
+    of = lambda n: F.when(F.col("reason") == n, F.col("copies"))
+    return grouped.agg(
+        total("copies").alias("rows_loaded"),
+        total(of(1)).alias("dropped_rare_classes"),
+        total(of(2)).alias("dropped_negative_duration"),
+        total(of(0) - classes).alias("dropped_exact_duplicates"),
+        total(F.when(classes > 1, classes)).alias("dropped_conflicting_labels"),
         F.count_if(classes == 1).alias("rows_kept"),
     )
-    return beside(loaded, grouped)
