@@ -29,9 +29,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Encoded words, and pairs and ends of pieces, that a worker keeps from batch to batch. It keeps them
 #: after its tasks too, beside what runs next, so they are few: some tens of megabytes together.
-REMEMBERED, REMEMBERED_PAIRS = 100_000, 250_000
+REMEMBERED, REMEMBERED_PAIRS = 200_000, 250_000
 #: Characters whose words are sorted and walked together.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 22
 #: Characters of the longest words that are kept from batch to batch.
 LONG = 1000
 #: Characters before a place that tell which pieces end there.
@@ -316,17 +316,26 @@ class Encoder:
 
 
 class Decoder:
+    """Ids to texts: the pieces' bytes stand in one buffer, and a text's are picked out at once."""
+
     def __init__(self, model: Model):
         self.model = model
-        self.bytes = [
+        shown = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode()
             for p, t in zip(model.pieces, model.types)
         ]
+        self.buffer = np.frombuffer(b"".join(shown), np.uint8)
+        self.lengths = np.array([len(x) for x in shown], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def decode(self, ids) -> str | None:
         if ids is None:
             return None
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ids) else 0)
+        text = self.buffer[at].tobytes().decode("utf-8", "replace")
         return text[1:] if self.model.add_mark and text.startswith(" ") else text
 
 
@@ -362,6 +371,26 @@ def encode(docs: DataFrame, model: Model, column: str = "text", into: str = "ids
     return docs.withColumn(into, ids(F.col(column)))
 
 
+def encode_checked(docs: DataFrame, model: Model, column: str = "text", into: str = "ids", check: str = "round_trip") -> DataFrame:
+    """Like `encode`, with a column `check`: whether decoding the ids gives the text back. The ids are
+    decoded where they are made, so neither they nor the texts travel twice."""
+    long_rows(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("ids array<int>, same boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = shared.value.encoder(), Decoder(shared.value)
+        for texts in batches:
+            texts = [t if isinstance(t, str) else None for t in texts]
+            ids = encoder.encode(texts)
+            same = [decoder.decode(x) == t for x, t in zip(ids, texts)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": pd.Series(same, dtype=bool)})
+
+    names = [c for c in docs.columns if c not in (into, check)]
+    done = docs.withColumn("__both", both(F.col(column)))
+    return done.select(*names, F.col("__both.ids").alias(into), F.col("__both.same").alias(check))
+
+
 def decode(docs: DataFrame, model: Model, column: str = "ids", into: str = "decoded") -> DataFrame:
     """The reverse of `encode`: spaces for marks, without the one that encoding puts first. A text
     that itself has the mark character comes back with a space there."""
@@ -371,6 +400,6 @@ def decode(docs: DataFrame, model: Model, column: str = "ids", into: str = "deco
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = Decoder(shared.value)
         for ids in batches:
-            yield pd.Series([decoder.decode(None if x is None else x.tolist()) for x in ids], dtype=object)
+            yield pd.Series([decoder.decode(x) for x in ids], dtype=object)
 
     return docs.withColumn(into, text(F.col(column)))

@@ -5,6 +5,8 @@ import tracemalloc
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from flowloom.llm import pieces
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -103,3 +105,18 @@ def test_columns(spark, odd_docs, no_docs):
     for r in out.collect():
         assert r.decoded == r.text and (r.ids is None) == (r.text is None)
     assert pieces.encode(no_docs, model).count() == 0
+
+
+@needs_model
+def test_checked_encoding(spark, odd_docs, no_docs):
+    model = pieces.read_model(spark, PATH)
+    clash = odd_docs.withColumns({"ids": F.lit("x"), "round_trip": F.lit("x")})
+    out = pieces.encode_checked(clash, model)
+    assert sorted(out.columns) == sorted(clash.columns)
+    want = sorted((str(r.doc_id), str(r.text), str(r.ids)) for r in pieces.encode(odd_docs, model).collect())
+    assert sorted((str(r.doc_id), str(r.text), str(r.ids)) for r in out.collect()) == want
+    assert out.where("not round_trip").isEmpty()
+    # a text that holds the mark itself does not come back
+    marked = spark.createDataFrame([(1, f"a {pieces.MARK}b", "en", "s", 0)], odd_docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert not pieces.encode_checked(marked, model).first().round_trip
+    assert pieces.encode_checked(no_docs, model).count() == 0
