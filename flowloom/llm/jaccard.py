@@ -10,10 +10,13 @@ holders to one of them.
 Heavy: of a large set only its rarest shingles, as many as it may lack in a partner and one more, go
 into inverted lists: similar sets meet in at least one. Lists are scanned in chunks of CHUNK sets.
 Sizes, places in the lists and folded parity bitmaps bound the overlap; pairs that remain are compared
-set by set. A list that fits one chunk is compared whole. Of a longer one, CENTERS sets are first
-compared with all; sets that end up outside the list's largest component are then compared with the
-sets of other components. So a group of thousands of copies costs some comparisons for each copy, not
-one for each pair, and components are exact all the same.
+set by set. Before any list is scanned, sets meet a centre: those with the same least shared shingle,
+by each of KEYS orders, are a bucket, and all of it are compared with one of its sets; what is then
+outside the bucket's largest component, with another. Lists whose sets are all connected by then are
+left out. Of the others, one that fits a chunk is compared whole, but for sets that are connected; of a
+longer one, sets outside its largest component are compared with the sets of other components. So a
+group of copies costs some comparisons for each copy, not one for each pair, and components are exact
+all the same.
 
 The boundary between small and large is where listing subsets would cost more rows than scanning.
 """
@@ -37,8 +40,8 @@ from flowloom.llm.components import components
 WIDTH = 3
 #: Similarity in percent.
 PERCENT = 90
-#: Sets in a chunk of an inverted list, and the sets of a long list that all others meet first.
-CHUNK, CENTERS = 64, 16
+#: Sets in a chunk of an inverted list, orders of shingles by which sets meet centres, rounds of these.
+CHUNK, KEYS, ROUNDS = 64, 4, 2
 #: The sizes for which listing subsets is considered.
 MAX_SMALL = 60
 #: Counters of the sketch of document frequencies. They decide which shingles count as rare, so they
@@ -296,13 +299,40 @@ def light_links(sets: DataFrame, small: int, percent: int) -> DataFrame:
     return held.join(center.where("n > 1 and a is not null"), key).where("a <> class").select("a", F.col("class").alias("b"))
 
 
-def chunks(prefixes: DataFrame, lists: DataFrame, small: int) -> DataFrame:
-    """token, n, chunk, sets: the inverted lists of large sets that have at least two, by chunks."""
+def postings(prefixes: DataFrame, lists: DataFrame, small: int) -> DataFrame:
+    """token, n, class, size, place: the inverted lists of large sets that have at least two."""
     posted = prefixes.where(F.col("size") > small).select("class", "size", F.posexplode("prefix").alias("place", "token"))
-    shared = posted.join(lists.where("n > 1"), "token")
-    held = shared.join(prefixes.select("class", F.col("small").alias("bitmap")), "class")
-    chunk = F.pmod(F.xxhash64("token", "class"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
-    return held.select("token", "n", chunk, "class", "size", "place", "bitmap")
+    return posted.join(lists.where("n > 1"), "token").select("token", "n", "class", "size", "place")
+
+
+def bucket_keys(held: DataFrame) -> DataFrame:
+    """class, keys: the least shared shingle of each set by KEYS orders."""
+    least = [F.min(F.xxhash64("token", F.lit(i))) for i in range(KEYS)]
+    return held.groupBy("class").agg(F.array(*least).alias("keys"))
+
+
+def centre_pairs(keys: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): in each bucket a centre of its largest component, and every set outside that."""
+    each = keys.join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.posexplode("keys").alias("order", "key"))
+    centre = F.max("class") if turn % 2 else F.min("class")
+    parts = each.groupBy("order", "key", "root").agg(F.count("*").alias("n"), centre.alias("centre"))
+    top = parts.groupBy("order", "key").agg(F.max(F.struct("n", "root", "centre")).alias("top"), F.sum("n").alias("all"))
+    met = each.join(top.where(F.col("top.n") < F.col("all")), ["order", "key"]).where(F.col("root") != F.col("top.root"))
+    return met.select(F.least("class", "top.centre").alias("a"), F.greatest("class", "top.centre").alias("b")).distinct()
+
+
+def unsettled(held: DataFrame, prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Postings with root, bitmap and chunk of the lists that hold sets of several roots.
+
+    A set's chunk depends on itself and on the power of two that a list's chunks are, so that the sets
+    of a group meet in the same chunks of all their lists.
+    """
+    root = F.coalesce("root", "class").alias("root")
+    open_lists = held.select("token", "class").join(roots, "class", "left").groupBy("token").agg(F.min(root).alias("low"), F.max(root).alias("high"))
+    rows = held.join(open_lists.where("low <> high").select("token"), "token")
+    about = prefixes.select("class", F.col("small").alias("bitmap")).join(roots, "class", "left").select("class", "bitmap", root)
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.col("n") / CHUNK).cast("double")))).cast("long")
+    return rows.join(about, "class").withColumn("chunk", F.pmod(F.xxhash64("class"), power))
 
 
 def gather(held: DataFrame, *keys: Column | str) -> DataFrame:
@@ -381,52 +411,60 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     lists = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     lists = stored(lists.where("n > 1"), "lists")
     small = boundary(prefixes, lists, percent)
-    held = stored(chunks(prefixes, lists, small), "postings")
-    no_root = held.withColumn("root", F.lit(None).cast("binary"))
-
-    # every list: whole if it is one chunk, else its centers with all
-    whole = stored(gather(no_root, "token", "n", "chunk"), "chunks")
-    single = whole.where(F.col("n") <= CHUNK).select(F.col("sets").alias("left"), F.col("sets").alias("right"))
-    first = whole.where((F.col("n") > CHUNK) & (F.col("chunk") == 0)).select("token", F.slice("sets", 1, CENTERS).alias("left"))
-    long = whole.where(F.col("n") > CHUNK).select("token", F.col("sets").alias("right"))
-    tried = stored(compare(single.unionByName(first.join(long, "token").select("left", "right")), percent), "tried")
-    pairs = stored(promising(tried, prefixes, percent), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-    asked = asked.unionByName(prefixes.where(F.col("size") <= 100 * small // percent).select("class"))
-    asked = stored(asked.distinct(), "asked")
-    sets = stored(asked_sets(docs, rows, width, asked), "elements")
-    links = verified(pairs, sets, percent).select("a", "b")
-    if small:
-        links = links.unionByName(light_links(sets.where(F.col("size") <= 100 * small // percent), small, percent))
-    links = stored(links, "links")
-    discard(lists, whole, pairs, asked, sets)
-
-    # long lists: what is outside the largest component, with all others
-    rest = held.where(F.col("n") > CHUNK)
-    if not rest.isEmpty():
+    held = stored(postings(prefixes, lists, small), "postings")
+    discard(lists)
+
+    def settle(pairs: DataFrame, beside: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Links among candidate pairs, and the sets that were made for them and for `beside` (class)."""
+        pairs = stored(promising(pairs, prefixes, percent), "pairs")
+        asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+        asked = stored((asked if beside is None else asked.unionByName(beside)).distinct(), "asked")
+        sets = stored(asked_sets(docs, rows, width, asked), "elements")
+        found = stored(verified(pairs, sets, percent).select("a", "b"), "links")
+        discard(pairs, asked)
+        return found, sets
+
+    # all sets with the centres of their buckets
+    keys = stored(bucket_keys(held), "keys")
+    links, roots = None, stored(rows.select("class", F.col("class").alias("root")).limit(0), "roots")
+    tried = rows.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    for turn in range(ROUNDS):
+        pairs = stored(centre_pairs(keys, roots, turn).join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = tried.unionByName(pairs)
+        if pairs.isEmpty():
+            break
+        found, sets = settle(pairs)
+        discard(sets)
+        links = found if links is None else links.unionByName(found)
+        discard(roots)
         found_roots = components(links)
-        roots = found_roots.select(F.col("node").alias("class"), "root")
-        rest = rest.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        rest = stored(rest, "rooted")
+        roots = stored(found_roots.select(F.col("node").alias("class"), "root"), "roots")
         discard(found_roots)
-        parts = rest.groupBy("token", "root").agg(F.count("*").alias("members"))
-        largest = parts.groupBy("token").agg(F.max(F.struct("members", "root")).alias("x"), F.sum("members").alias("all"))
-        largest = largest.where(F.col("x.members") < F.col("all")).select("token", F.col("x.root").alias("largest"), F.col("all"), F.col("x.members").alias("in_largest"))
-        open_lists = stored(rest.join(largest, "token"), "open")
-        outside = F.ceil((F.col("all") - F.col("in_largest")) / CHUNK)
-        block = F.pmod(F.xxhash64("class", "token"), outside).alias("block")
-        left = gather(open_lists.where(F.col("root") != F.col("largest")), "token", block).select("token", F.col("sets").alias("left"))
-        right = gather(open_lists, "token", "chunk").select("token", F.col("sets").alias("right"))
-        more = compare(left.join(right, "token"), percent).join(tried, ["a", "b"], "left_anti")
-        more = stored(promising(more, prefixes, percent), "pairs")
-        asked = stored(more.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "asked")
-        if not asked.isEmpty():
-            sets = stored(asked_sets(docs, rows, width, asked), "elements")
-            found = stored(verified(more, sets, percent).select("a", "b"), "links")
-            links = links.unionByName(found)
-            discard(sets)
-        discard(rest, open_lists, more, asked)
-    discard(prefixes, held, tried)
+    discard(keys)
+
+    # lists whose sets are not all connected: whole if they are one chunk, else what is outside the
+    # largest component with all others
+    rest = stored(unsettled(held, prefixes, roots), "unsettled")
+    discard(held, roots)
+    single = gather(rest.where(F.col("n") <= CHUNK), "token").select(F.col("sets").alias("left"), F.col("sets").alias("right"))
+    long = rest.where(F.col("n") > CHUNK)
+    parts = long.groupBy("token", "root").agg(F.count("*").alias("members"))
+    largest = parts.groupBy("token").agg(F.max(F.struct("members", "root")).alias("x"), F.sum("members").alias("all"))
+    largest = largest.select("token", F.col("x.root").alias("largest"), (F.col("all") - F.col("x.members")).alias("outside"))
+    outside = long.join(largest, "token").where(F.col("root") != F.col("largest"))
+    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("outside") / CHUNK)).alias("block")
+    left = gather(outside, "token", block).select("token", F.col("sets").alias("left"))
+    right = gather(long, "token", "chunk").select("token", F.col("sets").alias("right"))
+    more = compare(single.unionByName(left.join(right, "token").select("left", "right")), percent)
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "tried")
+    discard(rest)
+    small_sets = prefixes.where(F.col("size") <= 100 * small // percent).select("class")
+    found, sets = settle(more, small_sets)
+    links = found if links is None else links.unionByName(found)
+    if small:
+        light = light_links(sets.where(F.col("size") <= 100 * small // percent), small, percent)
+        links = links.unionByName(stored(light, "links"))
+    discard(prefixes, more, sets)
     return rows, links
 
 

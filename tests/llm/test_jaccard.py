@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowloom.llm import jaccard
 from flowloom.llm.components import components
@@ -63,12 +64,13 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("chunk, centers, large", [(64, 16, 60), (8, 2, 60), (8, 1, 0)])
-def test_equal_to_brute_force(spark, monkeypatch, chunk, centers, large):
+@pytest.mark.parametrize("chunk, keys, rounds, large", [(64, 4, 2, 60), (8, 2, 1, 60), (8, 1, 2, 0), (8, 1, 0, 0)])
+def test_equal_to_brute_force(spark, monkeypatch, chunk, keys, rounds, large):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
-    monkeypatch.setattr(jaccard, "CENTERS", centers)
+    monkeypatch.setattr(jaccard, "KEYS", keys)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "MAX_SMALL", large)
-    rows = corpus(chunk + centers)
+    rows = corpus(chunk + keys)
     rows += [rows[3], (5000, rows[9][1]), (None, rows[10][1]), (None, "words of no one else at all")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.groups(docs.selectExpr("*", "1 as class", "2 as size")).collect()]
@@ -77,6 +79,24 @@ def test_equal_to_brute_force(spark, monkeypatch, chunk, centers, large):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_a_group_of_near_copies_costs_some_pairs_for_each(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 160)
+    docs = spark.createDataFrame([(i, edited(rng, base, rng.choice([1, 1, 2])), "en", "s", 0) for i in range(1200)], DOCS)
+    counts = {"compare": 0, "promising": 0}
+    for name in counts:
+
+        def counted(*args, fn=getattr(jaccard, name), name=name):
+            out = jaccard.stored(fn(*args), "counted")
+            counts[name] += out.count()
+            return out
+
+        monkeypatch.setattr(jaccard, name, counted)
+    found = jaccard.groups(docs, width=5, percent=80).groupBy("component_id").count().orderBy(F.desc("count")).first()
+    assert found["count"] > 1100, found
+    assert counts["compare"] <= 8 * 1200 and counts["promising"] <= 8 * 1200, counts
+
+
 def test_without_broadcasts_of_asked_classes(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     rows = corpus(77)
