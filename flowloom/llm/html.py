@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|</([a-zA-Z][^\s/>]*+)[^>]*+>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
@@ -58,16 +58,17 @@ AROUND = frozenset(
 LAYOUT = frozenset("layout wrapper wrap container page site has with no without open enabled row grid left right".split())
 CONTENT = frozenset("content article post entry story main".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: A list or block of at least this share of link text, with several links, is a menu.
+#: A list or block of at least this share of link text, with several links, is a menu unless the page
+#: names the article that it stands in.
 MENU_SHARE = 0.8
 
 
 class Node:
-    __slots__ = ("tag", "parent", "content", "drop", "article", "text", "wrapper", "chars", "tags", "link_chars", "links", "density", "sum")
+    __slots__ = ("tag", "parent", "content", "drop", "article", "text", "wrapper", "named", "chars", "tags", "link_chars", "links", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.content = tag, parent, []
-        self.drop = self.article = self.text = self.wrapper = False
+        self.drop = self.article = self.text = self.wrapper = self.named = False
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
 
@@ -105,11 +106,56 @@ def _named(attributes: str) -> set[str]:
     return set().union(*map(_parts, names))
 
 
+class Open:
+    """The elements that are open, with the depths of each kind, so that an end tag is one look-up
+    however many elements a page leaves open."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths = [root], {}
+        self.blocks, self.scopes = [0], [0]
+
+    @property
+    def here(self) -> Node:
+        return self.path[-1]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.path)
+        self.path.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCK:
+            self.blocks.append(depth)
+        if node.tag in SCOPE:
+            self.scopes.append(depth)
+
+    def _cut(self, depth: int) -> None:
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def imply(self, tags: set[str]) -> None:
+        """Ends the nearest of `tags`, if it is open inside the nearest scope."""
+        depth = max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+        if depth > self.scopes[-1]:
+            self._cut(depth)
+
+    def close(self, tag: str) -> None:
+        if tag in ("html", "body") or not self.depths.get(tag):
+            return
+        depth = self.depths[tag][-1]
+        if tag in BLOCK or depth > self.blocks[-1]:  # an inline end does not close the block it stands in
+            self._cut(depth)
+
+
 def parse(page: str) -> list[Node]:
     """The elements of a page in their order, the root first. Missing end tags are supplied where the
     standard has them implied; unknown ends are skipped; a page that breaks off is taken as it is."""
     root = Node("html", None)
-    nodes, here, at = [root], root, 0
+    nodes, at = [root], 0
+    opened = Open(root)
     maybe: list[Node] = []
     size = len(page)
     while at < size:
@@ -117,26 +163,27 @@ def parse(page: str) -> list[Node]:
         if mark < 0:
             mark = size
         if mark > at:
-            here.content.append(page[at:mark])
+            opened.here.content.append(page[at:mark])
         if mark == size:
             break
         match = TOKEN.match(page, mark)
         if not match:
-            here.content.append("<")
+            opened.here.content.append("<")
             at = mark + 1
             continue
         at = match.end()
         end, start, attributes = match[1], match[2] or match[4], match[3] or match[5] or ""
         if end:
-            here = _close(here, end.lower())
+            opened.close(end.lower())
         elif start:
             tag = start.lower()
-            if tag in ("html", "body") and here is not root and any(n.tag == tag for n in nodes[:3]):
+            if tag in ("html", "body") and opened.here is not root and any(n.tag == tag for n in nodes[:3]):
                 continue
             if tag in CLOSES_P:
-                here = _imply(here, {"p"}, SCOPE)
+                opened.imply({"p"})
             if tag in ENDS:
-                here = _imply(here, ENDS[tag], SCOPE - {"tr"})
+                opened.imply(ENDS[tag])
+            here = opened.here
             node = Node(tag, here)
             here.content.append(node)
             nodes.append(node)
@@ -144,6 +191,7 @@ def parse(page: str) -> list[Node]:
             node.drop = junk == 2
             names = _named(attributes) if attributes else set()
             node.wrapper = bool(names & LAYOUT)
+            node.named = tag in ("article", "main") or bool(names & CONTENT) and not node.wrapper
             if junk == 1:
                 maybe.append(node)
             elif not junk:
@@ -157,7 +205,7 @@ def parse(page: str) -> list[Node]:
                 stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
                 at = page.find(">", stop.end()) + 1 or size if stop else size
                 continue
-            here = node
+            opened.push(node)
     for node in maybe:
         node.drop = node.drop or not (node.article or node.wrapper and node.text)
     return nodes
@@ -169,26 +217,6 @@ def _hold(node: Node | None, what: str) -> None:
         node = node.parent
 
 
-def _imply(here: Node, tags: set[str], scope: frozenset[str]) -> Node:
-    up = here
-    while up.parent is not None and up.tag not in scope:
-        if up.tag in tags:
-            return up.parent
-        up = up.parent
-    return here
-
-
-def _close(here: Node, tag: str) -> Node:
-    up = here
-    while up.parent is not None:
-        if up.tag == tag:
-            return here if tag in ("html", "body") else up.parent
-        if up.tag in BLOCK and tag not in BLOCK:
-            return here  # an inline end does not close the block it stands in
-        up = up.parent
-    return here
-
-
 def measure(nodes: list[Node]) -> Node:
     """Counts and densities of all nodes; what is cut off counts nothing. Returns the body."""
     for node in nodes:
@@ -250,7 +278,8 @@ def _is_menu(node: Node) -> bool:
 
 
 def blocks(root: Node) -> list[str]:
-    """Texts of a node's blocks in order; white space is one space, empty blocks are left out."""
+    """Texts of a node's blocks in order; white space is one space, empty blocks are left out. What a page
+    names its article is taken whole, lists of links and all; elsewhere such a list is a menu."""
     out: list[list[str]] = [[]]
     todo: list = [root]
     while todo:
@@ -262,7 +291,7 @@ def blocks(root: Node) -> list[str]:
         elif item.tag in ("br", "td", "th"):
             out[-1].append(" ")
             todo.extend(reversed(item.content))
-        elif not item.drop and (item is root or not _is_menu(item)):
+        elif not item.drop and (root.named or item is root or not _is_menu(item)):
             apart = item.tag in BLOCK
             todo += [None] * apart
             todo.extend(reversed(item.content))

@@ -1,3 +1,7 @@
+import math
+import random
+import time
+
 from flowloom.llm import html
 
 ARTICLE = "<h1>A &amp; B</h1><p>First  paragraph,\n with <b>bold</b> &lt;text&gt; and enough characters to be dense.<p>Be.</p>"
@@ -40,6 +44,95 @@ def test_density_finds_text_without_names():
     assert got == "\n".join([("Plain words of the article that are long. " * 5).strip(), ("More of them here. " * 9).strip()])
 
 
+def test_links_inside_the_named_article_stay():
+    text = "<p>" + "A paragraph of the article with words. " * 8 + "</p>"
+    links = "<h2>References</h2><ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>"
+    want = "\n".join([("A paragraph of the article with words. " * 8).strip(), "References", "First source", "Second source", "Last."])
+    for start, end in (("<article>", "</article>"), ("<div class=content>", "</div>")):
+        assert html.main_text(f"<body>{start}{text}{links}<p>Last.</p>{end}") == want
+    nav = "<ul><li><a href=/1>Home page of it</a></li><li><a href=/2>Contact us here</a></li></ul>"
+    assert html.main_text(f"<body><div>{nav}{text}{text}</div>") == "\n".join([want.split("\n")[0]] * 2)
+
+
+def test_density_decides_between_named_elements():
+    teaser = "<article><h2>Teaser</h2><p>Short <a href=/x>read on</a></p></article>"
+    long = "<article><h2>Story</h2><p>" + "Sentences that the story is made of. " * 20 + "</p><p>" + "And more of them. " * 20 + "</p></article>"
+    for page in (teaser * 3 + long, long + teaser * 3, teaser + long + teaser):
+        got = html.main_text(f"<body>{page}")
+        assert got.startswith("Story\nSentences") and "Teaser" not in got
+
+
+def brute_densest(tree: tuple) -> tuple:
+    """(sum of its children's densities, place) of the first densest element below a body, from the definition.
+    An element is (tag, text before its children, children)."""
+
+    def count(node):
+        tag, text, children = node
+        below = [count(c) for c in children]
+        chars = len(text) + sum(b[0] for b in below)
+        tags = sum(b[1] + 1 for b in below)
+        links, link_chars = (1 + sum(b[2] for b in below), chars) if tag == "a" else (sum(b[2] for b in below), sum(b[3] for b in below))
+        return chars, tags, links, link_chars
+
+    all_chars, _, _, all_links = count(tree)
+
+    def density(node):
+        chars, tags, links, link_chars = count(node)
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(chars - link_chars, 1) * link_chars + all_links / max(all_chars, 1) * chars + math.e)
+        adjusted = chars / max(link_chars, 1) * max(tags, 1) / max(links, 1)
+        return chars / max(tags, 1) * math.log(max(adjusted, 1e-9)) / math.log(max(base, 1.1))
+
+    sums = []
+
+    def visit(node):
+        if count(node)[0]:
+            sums.append(sum(density(c) for c in node[2]))
+        for c in node[2]:
+            visit(c)
+
+    visit(tree)
+    return sums
+
+
+def test_densities_equal_brute_force():
+    rng = random.Random(5)
+
+    def grow(depth):
+        tag = rng.choice(["div", "section", "div", "a", "b"]) if depth else "body"
+        text = "x" * rng.choice([0, 0, 3, 20, 90]) if depth else ""
+        return tag, text, [grow(depth + 1) for _ in range(rng.randint(0, 4))] if depth < 4 and tag != "a" else []
+
+    def write(node):
+        tag, text, children = node
+        return f"<{tag}>{text}{''.join(map(write, children))}</{tag}>"
+
+    def legal(node, inline=False):  # no block inside an inline element
+        return not (inline and node[0] in ("div", "section")) and all(legal(c, node[0] == "b") for c in node[2])
+
+    tried = 0
+    while tried < 200:
+        tree = grow(0)
+        if not legal(tree):
+            continue
+        nodes = html.parse(write(tree))
+        html.measure(nodes)
+        got = [n.sum for n in nodes[1:] if n.chars]
+        want = brute_densest(tree)
+        assert len(got) == len(want) and all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(got, want))
+        tried += 1
+
+
+def test_unclosed_elements_take_seconds():
+    k, start = 100_000, time.monotonic()
+    assert html.main_text("<b>" * k + "x" + "</i>" * k) == "x"
+    assert html.main_text("<p>y" + "</a" * k) == "y"
+    assert html.main_text("<p>y" + "<!" * k) == "y"
+    assert html.main_text("<p>" + "<b>" * k + "z" + "<li>" * k) == "z"
+    assert time.monotonic() - start < 60
+
+
 def test_odd_markup():
     assert html.main_text(None) == html.main_text("") == html.main_text("<div></div>") == html.main_text("<script>x") == ""
     assert html.main_text("a < b & c &nbsp; d<br>e") == "a < b & c d e"
