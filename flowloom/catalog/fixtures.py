@@ -197,20 +197,16 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analyst actions on a hundred alerts: every seventh acknowledges, the rest ask for a status."""
+    """Analyst actions on a hundred alerts, one per event: every seventh acknowledges, the rest ask for a status."""
     seq = F.col("event_id")
     status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (seq % 5 + 1).cast("int"))
-    return (
-        events(spark, sf_dir)
-        .filter(F.col("event_type") == "purchase")
-        .select(
-            seq.alias("seq"),
-            F.col("k").alias("alert_id"),
-            F.when(seq % 7 == 0, "acknowledge").otherwise("status").alias("action"),
-            F.when(seq % 7 == 0, "INVESTIGATING").otherwise(status).alias("status"),
-            "user_id",
-            "ts",
-        )
+    return events(spark, sf_dir).select(
+        seq.alias("seq"),
+        F.col("k").alias("alert_id"),
+        F.when(seq % 7 == 0, "acknowledge").otherwise("status").alias("action"),
+        F.when(seq % 7 == 0, "INVESTIGATING").otherwise(status).alias("status"),
+        "user_id",
+        "ts",
     )
 
 

@@ -178,7 +178,7 @@ SCORED = f"""scored0 as (
 ACTIONS = f"""actions as (
   select event_id as seq, k as alert_id, case when event_id % 7 = 0 then 'acknowledge' else 'status' end as action,
     case when event_id % 7 = 0 then 'INVESTIGATING' else {STATUS.format(n="event_id")} end as status, user_id, ts
-  from ev where event_type = 'purchase'
+  from ev
 )"""
 
 PACKETS = """packets as (

@@ -3,20 +3,21 @@
 Each action asks for a status; it succeeds when the move is allowed from the status the alert has
 then. An action is a map from the five statuses to the five statuses, and maps compose, so an alert
 with very many actions is cut into blocks: every block reduces to one map, the maps give the status
-at the start of each block, and the blocks are then replayed on their own.
+at the start of each block, and the blocks are then replayed on their own. A map is one integer with
+three bits for each status, so that all of it is native expressions over arrays of bounded length.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.scan import id_block
 from flowloom.registry import CLOSED_STATUSES, MOVES, ROLES, STATUSES
 
-BLOCK_BITS = 16
-CODE = {s: i for i, s in enumerate(STATUSES)}
+#: Rows or blocks that are folded at once, as a power of two, and how often blocks are grouped again.
+BLOCK_BITS, LEVELS = 12, 3
+MAP_BITS, MASK = 3, 7
 
 
 def next_status(current: int, wanted: int, acknowledge: bool) -> int:
@@ -26,57 +27,80 @@ def next_status(current: int, wanted: int, acknowledge: bool) -> int:
     return wanted if STATUSES[wanted] in MOVES[STATUSES[current]] else current
 
 
-STEP = {
-    (wanted, ack): [next_status(s, wanted, ack) for s in range(len(STATUSES))]
-    for wanted in range(len(STATUSES))
-    for ack in (False, True)
-}
+def packed(ends: list[int]) -> int:
+    """A map of statuses as one integer."""
+    return sum(end << MAP_BITS * start for start, end in enumerate(ends))
 
 
-def _block_map(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
-    ends = list(range(len(STATUSES)))
-    for wanted, ack in zip(pdf["wanted"], pdf["ack"]):
-        step = STEP[wanted, ack]
-        ends = [step[s] for s in ends]
-    return pd.DataFrame({"alert_id": [pdf["alert_id"].iloc[0]], "block": [pdf["block"].iloc[0]], "ends": [ends]})
+UNCHANGED = packed(list(range(len(STATUSES))))
 
 
-def _block_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("block")
-    status, starts = CODE["NEW"], []
-    for ends in pdf["ends"]:
-        starts.append(status)
-        status = int(ends[status])
-    return pd.DataFrame({"alert_id": pdf["alert_id"], "block": pdf["block"], "start": starts})
+def step_of(status: Column, action: Column) -> Column:
+    """The map of an action; one that asks for no known status changes nothing."""
+    maps = [packed([next_status(s, wanted, ack) for s in range(len(STATUSES))]) for wanted in range(len(STATUSES)) for ack in (False, True)]
+    wanted = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status).cast("int") - 1
+    place = 2 * wanted + F.coalesce(action == "acknowledge", F.lit(False)).cast("int")
+    return F.coalesce(F.get(F.array(*[F.lit(m) for m in maps]), place), F.lit(UNCHANGED))
 
 
-def _replay_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
-    status, before, after = int(pdf["start"].iloc[0]), [], []
-    for wanted, ack in zip(pdf["wanted"], pdf["ack"]):
-        before.append(STATUSES[status])
-        status = STEP[wanted, ack][status]
-        after.append(STATUSES[status])
-    return pd.DataFrame({"seq": pdf["seq"], "before": before, "after": after})
+def after_step(step: Column, status: Column) -> Column:
+    return F.call_function("shiftright", step, status * MAP_BITS).bitwiseAND(F.lit(MASK))
 
 
-def replay(actions: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """Every action with the status before and after it and whether it was applied."""
-    code = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status")).cast("int") - 1
-    steps = actions.select(
-        "alert_id",
-        id_block(F.col("seq"), bits).alias("block"),
-        "seq",
-        code.alias("wanted"),
-        (F.col("action") == "acknowledge").alias("ack"),
-    )
-    key = ["alert_id", "block"]
-    maps = steps.groupBy(*key).applyInPandas(_block_map, "alert_id long, block long, ends array<int>")
-    starts = maps.groupBy("alert_id").applyInPandas(_block_starts, "alert_id long, block long, start int")
-    placed = steps.join(starts, key)
-    done = placed.groupBy(*key).applyInPandas(_replay_block, "seq long, before string, after string")
-    return actions.join(done, "seq").withColumn("applied", F.col("before") != F.col("after"))
+def _then(first: Column, second: Column) -> Column:
+    """The map of one after the other."""
+    out = F.lit(0)
+    for start in range(len(STATUSES)):
+        end = after_step(second, F.shiftright(first, MAP_BITS * start).bitwiseAND(F.lit(MASK)))
+        out = out.bitwiseOR(F.shiftleft(end, MAP_BITS * start))
+    return out
+
+
+def _statuses(steps: Column, start: Column) -> Column:
+    """The status before the first of `steps`, and after each."""
+    return F.aggregate(steps, F.array(start), lambda found, x: F.concat(found, F.array(after_step(x["step"], F.element_at(found, -1)))))
+
+
+def _starts(maps: DataFrame, bits: int, levels: int) -> DataFrame:
+    """alert_id, block, start: the status at the start of each block, from a map (`step`) per block."""
+    ordered = F.array_sort(F.collect_list(F.struct("block", "step"))).alias("steps")
+    if levels == 1:
+        grouped = maps.groupBy("alert_id").agg(ordered).withColumn("start", F.lit(STATUSES.index("NEW")))
+    else:
+        wider = F.shiftright("block", bits).alias("wider")
+        grouped = maps.groupBy("alert_id", wider).agg(ordered)
+        above = _starts(grouped.select("alert_id", F.col("wider").alias("block"), _fold("steps").alias("step")), bits, levels - 1)
+        above = above.select("alert_id", F.col("block").alias("wider"), "start")
+        grouped = grouped.join(above, ["alert_id", "wider"])
+    walked = grouped.withColumn("walked", _statuses(F.col("steps"), F.col("start")))
+    each = F.transform("steps", lambda x, i: F.struct(x["block"].alias("block"), F.get("walked", i).alias("start")))
+    return walked.select("alert_id", F.inline(each))
+
+
+def _fold(steps: str) -> Column:
+    return F.aggregate(steps, F.lit(UNCHANGED), lambda done, x: _then(done, x["step"]))
+
+
+def replay(actions: DataFrame, bits: int = BLOCK_BITS, levels: int = LEVELS) -> DataFrame:
+    """Every action (alert_id, seq, action, status, ...) with the status before and after it and whether
+    it was applied. A null or unknown status changes nothing; alert_id and seq must not be null, and the
+    columns must be of types that can be ordered.
+
+    At most 2**bits seqs are in a block, and as many blocks in one of the next level; beyond
+    2**(bits * levels) seqs the blocks of the top level are more.
+    """
+    key = ["alert_id", id_block(F.col("seq"), bits).alias("block")]
+    step = step_of(F.col("status"), F.col("action")).alias("step")
+    in_order = lambda *columns: F.array_sort(F.collect_list(F.struct("seq", *columns))).alias("steps")
+    maps = actions.groupBy(*key).agg(in_order(step))
+    starts = _starts(maps.select("alert_id", "block", _fold("steps").alias("step")), bits, levels)
+    row = F.struct(*[F.col(c) for c in actions.columns]).alias("row")
+    rows = actions.groupBy(*key).agg(in_order(step, row)).join(starts, ["alert_id", "block"])
+    walked = rows.withColumn("walked", _statuses(F.col("steps"), F.col("start")))
+    each = F.transform("steps", lambda x, i: F.struct(x["row"].alias("row"), F.get("walked", i).alias("from"), F.get("walked", i + 1).alias("to")))
+    name = lambda c: F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.col(c) + 1)
+    done = walked.select(F.inline(each)).select("row.*", name("from").alias("before"), name("to").alias("after"))
+    return done.withColumn("applied", F.col("before") != F.col("after"))
 
 
 def current_state(replayed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Alert correlation, batch and streaming, on hand-made detections."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import alerts as texts
 from flowloom.operators import correlate, workflow
+from flowloom.registry import MOVES, STATUSES
 from flowloom.sources import detections as contract
 from flowloom.sources import settings
 from flowloom.streaming import alerts, ingest
@@ -273,8 +275,8 @@ def acts(spark, rows):
     )
 
 
-@pytest.mark.parametrize("bits", [1, 16])
-def test_workflow(spark, bits):
+@pytest.mark.parametrize("bits, levels", [(1, 1), (1, 3), (2, 2), (12, 3)])
+def test_workflow(spark, bits, levels):
     steps = [
         (1, "acknowledge", "INVESTIGATING"),
         (1, "status", "CONTAINED"),
@@ -286,7 +288,7 @@ def test_workflow(spark, bits):
         (3, "status", "FALSE_POSITIVE"),
         (1, "status", "INVESTIGATING"),
     ]
-    done = workflow.replay(acts(spark, steps), bits)
+    done = workflow.replay(acts(spark, steps), bits, levels)
     assert [r.applied for r in done.orderBy("seq").collect()] == [True, True, True, False, False, True, False, True, True]
     state = {r.alert_id: r for r in workflow.current_state(done).collect()}
     assert (state[1].status, state[1].resolved_at, state[1].applied) == ("INVESTIGATING", None, 4)
@@ -295,6 +297,22 @@ def test_workflow(spark, bits):
     assert workflow.audit_rows(done).count() == 6 and workflow.refused(done).count() == 3
 
 
+def test_replay_equals_a_walk(spark):
+    rng = random.Random(3)
+    kinds = [("acknowledge", "INVESTIGATING")] + [("status", s) for s in (*STATUSES, "NOWHERE", None)]
+    steps = [(rng.choice([1, 1, 1, 2, 3]), *rng.choice(kinds)) for _ in range(600)]
+    want, now = [], {}
+    for alert, kind, status in steps:
+        before = now.get(alert, "NEW")
+        allowed = status in MOVES[before] and not (kind == "acknowledge" and before != "NEW")
+        now[alert] = status if allowed else before
+        want.append((before, now[alert], allowed))
+    for bits, levels in ((2, 4), (4, 2), (12, 3)):
+        done = workflow.replay(acts(spark, steps), bits, levels).orderBy("seq").collect()
+        assert [(r.before, r.after, r.applied) for r in done] == want
+    assert workflow.replay(acts(spark, steps).limit(0)).count() == 0
+
+
 def test_assignee(spark):
     users = spark.createDataFrame(
         [(1, "ann", "analyst", True), (2, "vic", "viewer", True), (3, "old", "admin", False)],

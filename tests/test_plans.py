@@ -41,6 +41,11 @@ def test_pages_do_not_sort_everything(spark):
         assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, FOLDER))
 
 
+def test_replay_has_no_python(spark):
+    text = plan(QUERIES["workflow_replay"](spark, FOLDER))
+    assert "Pandas" not in text and "Python" not in text and "Arrow" not in text
+
+
 def test_no_cross_joins(spark):
     for name in ("stats_summary", "cleaning_report", "overall_metrics", "class_weights", "risk_score", "alert_detail"):
         text = plan(QUERIES[name](spark, FOLDER))
