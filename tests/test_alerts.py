@@ -12,7 +12,7 @@ from flowloom.operators import correlate, workflow
 from flowloom.registry import MOVES, STATUSES
 from flowloom.sources import detections as contract
 from flowloom.sources import settings
-from flowloom.streaming import alerts, ingest
+from flowloom.streaming import alerts, ingest, snapshot
 
 START = datetime(2026, 1, 5, 12, 0)
 BASE = {
@@ -193,21 +193,21 @@ def test_bounded_dedupe(spark, tmp_path):
     assert sorted(r.stream_id for r in found.collect()) == ["a", "b"] and found.columns == ["seq", "stream_id", "data"]
 
 
-def stream(spark, out, groups, actions=None):
-    """Feed groups of envelopes one after the other through both jobs; returns alerts and changes."""
+def stream(spark, out, groups, actions=None, checkpoint=lambda i: "c2"):
+    """Feed groups of envelopes one after the other through both jobs; returns alerts and changes. An
+    action of group i comes at second i, from user 100 + i."""
     done = 0
     for i, items in enumerate(groups):
         envelopes(spark, items, done).coalesce(1).write.mode("append").json(f"{out}/in")
         done += len(items)
         ingest.start_ingest(ingest.read_envelopes(spark, f"{out}/in"), out, f"{out}/c1").awaitTermination()
         for n, action in enumerate((actions or {}).get(i, [])):
-            schema = "label string, dst_ip string, alert_id long, status string, batch_id long, seq long"
-            row = ("ddos", "203.0.113.10", *action, i, 1_000_000 + n)
-            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(f"{out}/acts")
+            row = ("ddos", "203.0.113.10", *action, i, 1_000_000 + n, i * 1_000_000, 100 + i)
+            spark.createDataFrame([row], alerts.ACTIONS).coalesce(1).write.mode("append").json(f"{out}/acts")
         acts = None
         if actions:
             acts = spark.readStream.schema(alerts.ACTIONS).json(f"{out}/acts")
-        alerts.start_alerts(spark, out, f"{out}/c2", acts).awaitTermination()
+        alerts.start_alerts(spark, out, f"{out}/{checkpoint(i)}", acts).awaitTermination()
     changes = spark.read.parquet(f"{out}/changes")
     return alerts.latest_alerts(changes), changes
 
@@ -242,6 +242,57 @@ def test_closed_alerts_do_not_absorb_and_reopened_ones_do(spark, tmp_path):
     assert got == {0: (3, "INVESTIGATING"), 2: (1, "FALSE_POSITIVE")}
 
 
+def test_stamps_and_audit_documents(spark, tmp_path):
+    out = str(tmp_path / "s")
+    groups = [[detection(0)], [detection(5)], [detection(6)], [detection(7)]]
+    actions = {0: [(0, "INVESTIGATING")], 1: [(0, "CONTAINED")], 2: [(0, "RESOLVED")]}
+    found, _ = stream(spark, out, groups[:3], actions)
+    second = lambda n: datetime(1970, 1, 1, 0, 0, n)
+    alert = found.filter("alert_id = 0").first()
+    assert (alert.acknowledged_at, alert.acknowledged_by_id, alert.resolved_at) == (second(0), 100, second(2))
+    rows = spark.read.parquet(f"{out}/audit").orderBy("ts", "action").collect()
+    moved = [(r.actor_id, r.entity_type, r.entity_id, json.loads(r.before), json.loads(r.after)) for r in rows if r.action == "alert.status"]
+    names = ["NEW", "INVESTIGATING", "CONTAINED", "RESOLVED"]
+    assert moved == [(100 + i, "alert", "0", {"status": names[i]}, {"status": names[i + 1]}) for i in range(3)]
+    created = [r for r in rows if r.action == "alert.created"]
+    assert created and all(r.before is None and r.actor == "system" and json.loads(r.after)["status"] == "NEW" for r in created)
+
+
+def test_a_new_checkpoint_goes_on_from_stored_alerts(spark, tmp_path):
+    items = [*FLOOD, *SEPARATE, detection(600, risk_score=50), detection(1400), detection(1500, label="portscan"), detection(2500)]
+    groups = [items[:3], items[3:7], items[7:9], items[9:]]
+    actions = {0: [(0, "INVESTIGATING")], 1: [(0, "RESOLVED")], 3: [(0, "INVESTIGATING")]}
+    whole, whole_changes = stream(spark, str(tmp_path / "a"), groups, actions)
+    broken, broken_changes = stream(spark, str(tmp_path / "b"), groups, actions, lambda i: f"c2-{i // 2}")
+    assert sorted(whole.collect(), key=str) == sorted(broken.collect(), key=str) and whole.count() > 3
+    facts = ["alert_id", "run_id", "batch_id", "seq", "version", "type", "status", "detections"]
+    assert sorted(whole_changes.select(facts).collect(), key=str) == sorted(broken_changes.select(facts).collect(), key=str)
+    snapshot = alerts.read_snapshot(spark, str(tmp_path / "b"))
+    assert sorted(snapshot.collect(), key=str) == sorted(broken.collect(), key=str)
+
+
+def test_snapshot_rewrites_only_what_changed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda ids, version: spark.createDataFrame([(i, version, f"{i}.{version}") for i in ids], "id long, version long, text string")
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "rows").rglob("*.parquet")}
+    read = lambda: {r.id: r.text for r in snapshot.read(spark, path).collect()}
+    snapshot.update(rows(range(200), 1), path, 0, "id", "version")
+    before = files()
+    snapshot.update(rows([7], 2), path, 1, "id", "version")
+    assert read() == {i: f"{i}.1" for i in range(200)} | {7: "7.2"}
+    assert len(files()) == len(before) + 1 and all(files()[f] == t for f, t in before.items())
+    snapshot.update(rows([7], 2), path, 1, "id", "version")  # a retry
+    snapshot.update(rows([7], 1), path, 2, "id", "version")  # an older row that comes late
+    snapshot.update(rows([], 9), path, 3, "id", "version")
+    snapshot.update(rows([7, 500], 3), path, 4, "id", "version")
+    assert read() == {i: f"{i}.1" for i in range(200)} | {7: "7.3", 500: "500.3"}
+    # a batch that broke off before its index is not seen, and its retry replaces it
+    rows([1], 8).write.parquet(f"{path}/rows/number=5/bucket=3")
+    assert read()[1] == "1.1"
+    with pytest.raises(FileNotFoundError):
+        snapshot.read(spark, str(tmp_path / "none"))
+
+
 def test_runs_that_show_up_late_are_not_lost(spark, tmp_path):
     """Two runs of one key in one batch of the first job, the earlier one's file seen second, and then
     the whole batch once more, as a retry writes it."""
