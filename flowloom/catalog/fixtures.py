@@ -211,10 +211,15 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets_of(events(spark, sf_dir))
+
+
+def packets_of(events_table: DataFrame) -> DataFrame:
+    """Packets of events (with k), also of a stream of them."""
     ports = [20, 21, 22, 23, 25, 53, 80, 110, 143, 443, 8080, 8443, 9999]
     numbers = [6, 17, 1, 47]
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
-    return events(spark, sf_dir).select(
+    return events_table.select(
         "event_id",
         "ts",
         F.col("user_id").alias("src"),

@@ -14,6 +14,7 @@ from flowloom.catalog import fixtures as fx
 from flowloom.catalog import tables_sql as q
 from flowloom.catalog.book import register
 from flowloom.catalog.flows import divided
+from flowloom.catalog.traffic import RECORDS, connections
 from flowloom.operators import evaluate, records
 from flowloom.operators.split import stratified_sample
 from flowloom.plans import bundle, explain, models, run, scoring
@@ -131,8 +132,6 @@ def feature_importance(spark, d):
 @register()
 def connection_models(spark, d):
     """Boosted and logistic models on connection records: a binary report each."""
-    from flowloom.catalog.traffic import connections
-
     coded, _ = records.encode_records(records.clean_records(connections(spark, d)))
     rows = coded.withColumn("y", 1 - F.col("attack").cast("int")).persist()  # attack sorts before normal
     train, test = models.split_records(rows)
@@ -146,6 +145,33 @@ def connection_models(spark, d):
     return reduce(DataFrame.unionByName, reports)
 
 
+@register(
+    q.query(
+        [RECORDS],
+        """select case when attack = 'normal' then 'normal' else 'attack' end as attack, count(*) as records, 0 as absent_off,
+  0 as label_off from (select distinct * from records) group by 1""",
+    )
+)
+def record_scores(spark, d):
+    """All connection records scored by a model of them: how many, how many of them score otherwise when
+    features are absent than when they are 0, and whose label does not fit the confidence (none)."""
+    cleaned = records.clean_records(connections(spark, d)).withColumn("kind", F.col("attack"))
+    coded, _ = records.encode_records(cleaned)
+    coded = stored(coded.withColumn("_id", F.xxhash64(*cleaned.columns)), "coded-records")
+    model = models.record_pipeline("logistic").fit(coded.withColumn("y", 1 - F.col("attack").cast("int")))
+    live = coded.drop("src_bytes", "count")
+    zero = coded.withColumns({"src_bytes": F.lit(0.0), "count": F.lit(None).cast("double")})
+    scored = [models.score_records(model, x).select("_id", "kind", "confidence", "label") for x in (live, zero)]
+    told = (F.col("confidence") >= 0.5) != (F.col("label") == "ATTACK")
+    both = scored[0].unionByName(scored[1]).groupBy("_id", "kind").agg(
+        (F.count("*") / 2).alias("n"), (F.max("confidence") - F.min("confidence")).alias("apart"), F.max(told.cast("int")).alias("told")
+    )
+    off = F.sum(F.when(F.col("apart") > 1e-9, 1).otherwise(0))
+    return both.groupBy(F.col("kind").alias("attack")).agg(
+        F.sum("n").cast("long").alias("records"), off.cast("int").alias("absent_off"), F.sum("told").cast("int").alias("label_off")
+    )
+
+
 @register(
     q.query(
         [q.SCORED],

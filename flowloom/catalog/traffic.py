@@ -68,13 +68,14 @@ def scored_packets(spark, d):
     return fx.packets(spark, d).withColumn("score", F.least(F.col("value") / 200, F.lit(1.0)))
 
 
-@register(
-    q.query(
-        [q.PACKETS],
-        f"""select event_id, ts, src as source, case ip_protocol when 6 then 'tcp' when 17 then 'udp' when 1 then 'icmp'
+PACKET_ALERTS = q.query(
+    [q.PACKETS],
+    f"""select event_id, ts, src as source, case ip_protocol when 6 then 'tcp' when 17 then 'udp' when 1 then 'icmp'
   else 'unknown' end as protocol, round({SCORE}, 6) as confidence, 'ATTACK' as label from packets where {SCORE} >= 0.5""",
-    )
 )
+
+
+@register(PACKET_ALERTS)
 def packet_alerts(spark, d):
     return packets.packet_alerts(scored_packets(spark, d)).withColumn("confidence", F.round("confidence", 6))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.functions import alerts as texts
 from flowloom.operators import correlate, workflow
 from flowloom.registry import MOVES, STATUSES
+from flowloom.sources import audit
 from flowloom.sources import detections as contract
 from flowloom.sources import settings
 from flowloom.streaming import alerts, ingest, snapshot
@@ -375,6 +376,20 @@ def test_assignee(spark):
     assert {r.alert_id: r.assigned_to_id for r in workflow.current_assignee(done).collect()} == {9: 1, 8: None}
 
 
+def test_audit_rows_are_appended_by_day(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    rows = spark.createDataFrame(
+        [(START, 1, "a" * 70, "2001:DB8::0:1"), (START + timedelta(days=1), None, None, "no address")],
+        "ts timestamp, actor_id long, actor string, ip string",
+    )
+    rows = rows.withColumns({"action": F.lit("x"), "after": audit.document(status=F.lit("NEW"), note=F.lit(True))})
+    audit.append_audit(rows, path)
+    audit.append_audit(rows.limit(1), path)
+    found = spark.read.parquet(path).orderBy("ts").collect()
+    assert [(r.day.day, len(r.actor), r.ip, r.entity_id) for r in found] == [(5, 64, "2001:db8::1", None)] * 2 + [(6, 6, None, None)]
+    assert found[2].actor == "system" and json.loads(found[0].after) == {"status": "NEW", "note": True}
+
+
 def test_notes(spark):
     rows = spark.createDataFrame([(1, 5, 2, " hi "), (2, 5, 2, "   "), (3, 5, 2, "x" * 5001)], "id long, alert_id long, author_id long, body string")
     assert [r.body for r in workflow.add_notes(rows).collect()] == ["hi"]
