@@ -92,29 +92,82 @@ def is_luhn(digits: str) -> bool:
     return luhn_digit(digits[:-1]) == digits[-1]
 
 
+#: Card numbers by issuer: first and last prefix, lengths. Fixed values of the issuers.
+ISSUERS = [
+    ("4", "4", (13, 16, 19)),
+    ("51", "55", (16,)),
+    ("2221", "2720", (16,)),
+    ("34", "34", (15,)),
+    ("37", "37", (15,)),
+    ("300", "305", (14,)),
+    ("36", "36", (14,)),
+    ("38", "39", (14,)),
+    ("3528", "3589", (16, 17, 18, 19)),
+    ("6011", "6011", (16, 17, 18, 19)),
+    ("644", "649", (16, 17, 18, 19)),
+    ("65", "65", (16, 17, 18, 19)),
+    ("62", "62", (16, 17, 18, 19)),
+    ("5018", "5018", (13, 14, 15, 16, 17, 18, 19)),
+    ("5020", "5020", (13, 14, 15, 16, 17, 18, 19)),
+    ("5038", "5038", (13, 14, 15, 16, 17, 18, 19)),
+    ("5893", "5893", (13, 14, 15, 16, 17, 18, 19)),
+    ("6304", "6304", (13, 14, 15, 16, 17, 18, 19)),
+    ("6759", "6763", (13, 14, 15, 16, 17, 18, 19)),
+]
+#: Sizes of the groups that a card is printed in; the last is as long as it needs to be.
+PRINTED = [(4, 4, 4), (4, 4, 4, 4), (4, 6)]
+#: Four-digit groups in a row that may hold a card beside a number that is none.
+CHAIN = 5
+
+
+def issuer_digits(digits: str) -> int:
+    """How many digits of a valid card number name its issuer; 0 for other numbers."""
+    for first, last, lengths in ISSUERS:
+        if len(digits) in lengths and first <= digits[: len(first)] <= last:
+            return len(first) if is_luhn(digits) else 0
+    return 0
+
+
+def _card_end(groups: list[str], marks: list[str], at: int) -> int:
+    """Where the longest card that starts with group `at` ends; `at` if none does."""
+    found = at + 1 if issuer_digits(groups[at]) else at
+    for sizes in PRINTED:
+        end = at + len(sizes) + 1
+        here = groups[at:end]
+        printed = len(here) == len(sizes) + 1 and tuple(map(len, here[:-1])) == sizes
+        if printed and len(set(marks[at : end - 1])) == 1 and issuer_digits("".join(here)):
+            found = max(found, end)
+    return found
+
+
 def _cards(run: str, key: bytes) -> str | None:
-    """Card numbers in a run of digits: neighbouring groups of together 13 to 19 digits that pass
-    the Luhn check, the leftmost first, then the longest."""
-    parts, found, at = re.findall(r"\d+|[^\d]", run), False, 0
-    out: list[str] = []
-    while at < len(parts):
-        end = None
-        if parts[at].isdigit():
-            digits = ""
-            for stop in range(at, min(at + 37, len(parts))):
-                digits += parts[stop] if parts[stop].isdigit() else ""
-                if len(digits) > 19:
-                    break
-                if parts[stop].isdigit() and len(digits) >= 13 and is_luhn(digits):
-                    end, best = stop + 1, digits
-        if end is None:
-            out.append(parts[at])
-            at += 1
-            continue
-        payload = permute_digits(best[:-1], "card", key)
-        out.append(refill("".join(parts[at:end]), payload + luhn_digit(payload)))
-        found, at = True, end
-    return "".join(out) if found else None
+    """Card numbers in a run of digits: an issuer's prefix and length, the Luhn check, and no groups or
+    those that cards are printed in; the leftmost first, then the longest. In a row of more than CHAIN
+    four-digit groups, as tables have them, groups are cards only if all of them are."""
+    groups, marks = re.findall(r"\d+", run), re.findall(r"\D", run)
+    ends, at, table = {}, 0, 0
+    while at < len(groups):
+        if at >= table and len(groups[at]) == 4:
+            stop = at + 1
+            while stop < len(groups) and len(groups[stop]) == 4 and marks[stop - 1] == marks[at]:
+                stop += 1
+            table = stop
+            if stop - at > CHAIN and any(_card_end(groups, marks, i) != i + 4 for i in range(at, stop, 4)):
+                at = stop
+                continue
+        end = _card_end(groups, marks, at)
+        if end > at:
+            ends[at] = end
+        at = max(end, at + 1)
+    if not ends:
+        return None
+    for at, end in ends.items():
+        digits = "".join(groups[at:end])
+        kept = digits[: issuer_digits(digits)]
+        payload = kept + permute_digits(digits[len(kept) : -1], f"card{kept}-", key)
+        rest = iter(payload + luhn_digit(payload))
+        groups[at:end] = ["".join(next(rest) for _ in group) for group in groups[at:end]]
+    return "".join(x for pair in zip(groups, [*marks, ""]) for x in pair)
 
 
 def _address(shown: str, key: bytes) -> str | None:
