@@ -30,8 +30,11 @@ ORDER = 5
 PAD = "\n"
 #: Distinct n-grams that are broadcast: 16 bytes each as arrays, about three times that with an index.
 MAX_GRAMS = 4_000_000
-#: Characters that are counted or scored at once, and n-grams that a task holds back to add them up.
-CHUNK, HELD = 1 << 20, 1 << 18
+#: Characters that are counted or scored at once, and n-grams that a task holds back to add them up: some
+#: 40 bytes each, twice as many before they are added up, a few times that while they are.
+CHUNK, HELD = 1 << 19, 3 << 17
+#: Rows of n-grams that become Python strings together.
+OUT_ROWS = 1 << 16
 #: The share of trusted documents that each limit keeps, and what is added to the upper one, in nats per
 #: character. From 100 documents on, no single one sets a limit.
 QUANTILE, MARGIN = 0.99, 0.1
@@ -51,13 +54,23 @@ def fold_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) & 1
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
 def window_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each window of ORDER characters."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    return code_hashes(code_points(text))
+
+
+def code_hashes(codes: np.ndarray) -> np.ndarray:
+    """`window_hashes` of code points."""
+    codes = codes.astype(np.uint64)
     n = len(codes) - ORDER + 1
     out = np.zeros(max(n, 0), np.uint64)
     for i in range(ORDER):
-        out = (out + codes[i : i + len(out)]) * MULTIPLIER
+        out += codes[i : i + len(out)]
+        out *= MULTIPLIER
         out ^= out >> np.uint64(31)
     return out
 
@@ -110,23 +123,65 @@ def gram_counts(text: str) -> tuple[list[str], np.ndarray]:
     return [text[i : i + ORDER] for i in where.tolist()], np.bincount(codes, minlength=len(distinct))
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows lang, gram, c0, c1: in how many places each n-gram stands in trusted texts of either fold;
-    n-grams of other texts only, which will need a probability, have zeros."""
-    held: dict[tuple[str, str], list[int]] = {}
+class Counts:
+    """N-grams of a task as arrays: a hash of language and n-gram, the language's number, code points, and
+    in how many places the n-gram stands in trusted texts of either fold."""
 
-    def out() -> pd.DataFrame:
-        rows = [(lang, gram, *n) for (lang, gram), n in held.items()]
-        held.clear()
-        return pd.DataFrame(rows, columns=["lang", "gram", "c0", "c1"])
+    def __init__(self):
+        self.langs: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
 
-    def add(kind: tuple[str, int], grams: list[str], counts: np.ndarray) -> None:
+    def add(self, kind: tuple[str, int], texts: list[str]) -> None:
+        """Padded texts or pieces of one kind: language, and fold or 2."""
         lang, role = kind
-        for gram, n in zip(grams, counts.tolist()):
-            entry = held.setdefault((lang, gram), [0, 0])
-            if role < 2:
-                entry[role] += n
+        hashes, codes, counts = _joint_counts(texts)
+        both = np.zeros((len(hashes), 2), np.int64)
+        if role < 2:
+            both[:, role] = counts
+        number = np.full(len(hashes), self.langs.setdefault(lang, len(self.langs)), np.int32)
+        self.parts.append((hashes ^ np.uint64(lang_hash(lang)), number, codes, both))
+        self.rows += len(hashes)
+
+    def full(self) -> bool:
+        """Whether HELD n-grams are there; they are added up whenever there are twice as many rows."""
+        if self.rows < 2 * HELD:
+            return False
+        self.merge()
+        return self.rows >= HELD
+
+    def merge(self) -> None:
+        """Add up the rows of each n-gram."""
+        if len(self.parts) > 1:
+            columns = [list(x) for x in zip(*self.parts)]
+            self.parts = []
+            keys = np.concatenate(columns.pop(0))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            own, keys = order[first], keys[first]
+            both = np.add.reduceat(np.concatenate(columns.pop())[order], first)
+            codes = np.concatenate(columns.pop())[own]
+            self.parts = [(keys, np.concatenate(columns.pop())[own], codes, both)]
+            self.rows = len(first)
+
+    def out(self) -> Iterator[pd.DataFrame]:
+        """All rows, which are forgotten."""
+        self.merge()
+        parts, self.parts, self.rows = self.parts, [], 0
+        names = np.array(list(self.langs), object)
+        for _, numbers, codes, both in parts:
+            for low in range(0, len(numbers), OUT_ROWS):
+                part = slice(low, low + OUT_ROWS)
+                text = codes[part].tobytes().decode("utf-32-le")
+                grams = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+                yield pd.DataFrame({"lang": names[numbers[part]], "gram": grams, "c0": both[part, 0], "c1": both[part, 1]})
 
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows lang, gram, c0, c1: in how many places each n-gram stands in trusted texts of either fold;
+    n-grams of other texts only, which will need a probability, have zeros."""
+    held, pad = Counts(), PAD * (ORDER - 1)
     for batch in batches:
         waiting: dict[tuple[str, int], list[str]] = {}
         size: dict[tuple[str, int], int] = {}
@@ -136,38 +191,36 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kind = lang, fold_of(text) if trusted else 2
             if len(text) > CHUNK // 4:
                 for piece in segments(text):
-                    add(kind, *gram_counts(piece))
+                    held.add(kind, [piece])
+                    if held.full():
+                        yield from held.out()
             else:
-                waiting.setdefault(kind, []).append(text)
+                waiting.setdefault(kind, []).append(pad + text)
                 size[kind] = size.get(kind, 0) + len(text)
                 if size[kind] >= CHUNK:
-                    add(kind, *_joint_counts(waiting.pop(kind)))
+                    held.add(kind, waiting.pop(kind))
                     size[kind] = 0
-            if len(held) >= HELD:
-                yield out()
         for kind, texts in waiting.items():
-            add(kind, *_joint_counts(texts))
-            if len(held) >= HELD:
-                yield out()
-    if held:
-        yield out()
-
-
-def _joint_counts(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """`gram_counts` of several texts together."""
-    pad = PAD * (ORDER - 1)
-    joined = "".join(pad + t for t in texts)
-    hashes = window_hashes(joined)
+            held.add(kind, texts)
+        if held.full():
+            yield from held.out()
+    yield from held.out()
+
+
+def _joint_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and code points of the distinct windows of padded texts, and how often each stands there."""
+    codes = code_points("".join(texts))
+    hashes = code_hashes(codes)
     inside = np.ones(len(hashes), bool)
     at = 0
     for text in texts:  # the windows that end in the next text's padding
-        at += len(pad) + len(text)
-        inside[at - len(pad) : at] = False
+        at += len(text)
+        inside[at - ORDER + 1 : at] = False
     starts = np.flatnonzero(inside)
-    codes, distinct = pd.factorize(hashes[starts])
+    found, distinct = pd.factorize(hashes[starts])
     where = np.zeros(len(distinct), np.int64)
-    where[codes] = starts
-    return [joined[i : i + ORDER] for i in where.tolist()], np.bincount(codes, minlength=len(distinct))
+    where[found] = starts
+    return distinct, codes[where[:, None] + np.arange(ORDER)], np.bincount(found, minlength=len(distinct))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ UNIGRAM, MERGES = 1, 2
 #: after its tasks too, beside what runs next, so they are few: some tens of megabytes together.
 REMEMBERED, REMEMBERED_PAIRS = 200_000, 250_000
 #: Characters whose words are sorted and walked together.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 21
 #: Characters of the longest words that are kept from batch to batch.
 LONG = 1000
 #: Characters before a place that tell which pieces end there.

@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 
 from flowloom.llm import perplexity as p
@@ -131,3 +133,29 @@ def test_odd_rows(spark, odd_docs, no_docs, labels):
     assert None not in texts and "" not in texts
     assert p.judge(no_docs, labels).count() == 0
     assert p.judge(odd_docs, labels.limit(0)).where("kept").count() == odd_docs.where("length(text) > 0").count()
+
+
+def test_counting_holds_back_few_bytes():
+    """As Python strings, tuples and lists the n-grams of the long text took some hundred megabytes."""
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(5000)]
+    texts = ["".join(rng.choices(letters, k=900_000)), "ab " * 500, "a\0b\0\0", "\U0001f600 \u00e9t\u00e9"]
+    rows = pd.DataFrame({"text": [*texts, *texts[1:], None, ""], "lang": "en", p.TRUSTED: True})
+    rows.loc[len(texts) :, "lang"] = "fr"
+    tracemalloc.start()
+    try:
+        counted = p._count(iter([rows]))
+        first = next(counted)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150 << 20
+    found = pd.concat([first, *counted]).groupby(["lang", "gram"]).sum()
+    for lang, own in (("en", texts), ("fr", texts[1:])):
+        expected = [Counter(), Counter()]
+        for text in own:
+            padded = p.PAD * (p.ORDER - 1) + text
+            expected[p.fold_of(text)].update(padded[i : i + p.ORDER] for i in range(len(text)))
+        for fold in (0, 1):
+            counts = found.loc[lang][f"c{fold}"]
+            assert counts[counts > 0].to_dict() == expected[fold]
