@@ -39,45 +39,56 @@ KEY_TYPES = "ip_a string, port_a int, ip_b string, port_b int, protocol int"
 OUT = f"flow_id long, part long, {KEY_TYPES}, " + ", ".join(f"{f.name} {'long' if f.name in COUNTS else 'double'}" for f in MEASURED) + ", closed boolean"
 
 
-def absorb(part: dict, rows: dict[str, np.ndarray]) -> None:
-    """Add packets, given as columns in order, to a part."""
-    us, length, fwd = rows["us"], rows["length"], rows["fwd"]
-    part["start"] = int(us.min()) if part["start"] == NONE else min(part["start"], int(us.min()))
-    part["end"] = max(part["end"], int(us.max()))
+def parts_of(rows: dict[str, np.ndarray], low: np.ndarray) -> list[dict]:
+    """What each part adds up, for packets given as columns in order and the first row of each part. All
+    parts are added up together: most have few packets."""
+    add, least, most = (lambda v, f=f: f.reduceat(v, low) for f in (np.add, np.minimum, np.maximum))
+    us, length, fwd, window, gap = (rows[c] for c in ("us", "length", "fwd", "window", "gap"))
+    large, at = np.iinfo(np.int64).max, np.arange(len(us))
+    out = {"part": rows["part"][low], "start": least(us), "end": most(us)}
     for way, mine in (("fwd", fwd), ("bwd", ~fwd)):
-        sizes = length[mine]
-        if not len(sizes):
-            continue
-        if part[f"win_{way}"] == NONE:
-            known = rows["window"][mine & (rows["window"] != NONE)]
-            part[f"win_{way}"] = int(known[0]) if len(known) else NONE
-        low, high = int(sizes.min()), int(sizes.max())
-        part[f"{way}_min"] = low if not part[f"{way}_n"] else min(part[f"{way}_min"], low)
-        part[f"{way}_max"] = max(part[f"{way}_max"], high)
-        part[f"{way}_n"] += len(sizes)
-        part[f"{way}_bytes"] += int(sizes.sum())
-        part[f"{way}_square"] += int((sizes * sizes).sum())
-        side = rows["side_gap"][mine & (rows["side_gap"] >= 0)]
-        part[f"{way}_side_n"] += len(side)
-        part[f"{way}_side_total"] += int(side.sum())
-    gaps = rows["gap"][rows["gap"] >= 0]
-    if len(gaps):
-        low, high, n, old = int(gaps.min()), int(gaps.max()), len(gaps), part["gap_n"]
-        part["gap_min"] = low if not old else min(part["gap_min"], low)
-        part["gap_max"] = max(part["gap_max"], high)
-        mean, m2 = float(gaps.mean()), float(((gaps - gaps.mean()) ** 2).sum())
-        away = mean - part["gap_mean"]
-        part["gap_m2"] += m2 + away * away * old * n / (old + n)
-        part["gap_mean"] += away * n / (old + n)
-        part["gap_n"] += n
-        part["gap_total"] += int(gaps.sum())
+        sizes, sided = np.where(mine, length, 0), mine & (rows["side_gap"] >= 0)
+        known = least(np.where(mine & (window != NONE), at, len(us)))
+        n = add(mine.astype(np.int64))
+        out |= {
+            f"{way}_n": n,
+            f"{way}_bytes": add(sizes),
+            f"{way}_square": add(sizes * sizes),
+            f"{way}_max": most(sizes),
+            f"{way}_min": np.where(n > 0, least(np.where(mine, length, large)), 0),
+            f"{way}_side_n": add(sided.astype(np.int64)),
+            f"{way}_side_total": add(np.where(sided, rows["side_gap"], 0)),
+            f"win_{way}": np.where(known < len(us), window[np.minimum(known, len(us) - 1)], NONE),
+        }
+    seen = gap >= 0
+    n, total = add(seen.astype(np.int64)), add(np.where(seen, gap, 0))
+    mean = total / np.maximum(n, 1)
+    away = np.where(seen, gap - np.repeat(mean, np.diff(low, append=len(us))), 0.0)
+    out |= {"gap_n": n, "gap_total": total, "gap_mean": mean, "gap_m2": add(away * away)}
+    out |= {"gap_max": most(np.where(seen, gap, 0)), "gap_min": np.where(n > 0, least(np.where(seen, gap, large)), 0)}
     for name in ("idle", "active"):
-        found = rows[name][rows[name] > 0]
-        part[f"{name}_n"] += len(found)
-        part[f"{name}_total"] += int(found.sum())
-    part["psh_fwd"] += int((fwd & (rows["flags"] & FLAG_BITS["psh"] != 0)).sum())
+        out |= {f"{name}_n": add((rows[name] > 0).astype(np.int64)), f"{name}_total": add(np.maximum(rows[name], 0))}
     for name, bit in FLAG_BITS.items():
-        part[name] += int((rows["flags"] & bit != 0).sum())
+        out[name] = add((rows["flags"] & bit != 0).astype(np.int64))
+    out["psh_fwd"] = add((fwd & (rows["flags"] & FLAG_BITS["psh"] != 0)).astype(np.int64))
+    columns = [out[c].tolist() for c in PART]
+    return [dict(zip(PART, values)) for values in zip(*columns)]
+
+
+def merged(old: dict, new: dict) -> dict:
+    """What a part had added up and what it gets, together."""
+    out = {c: old[c] + new[c] for c in PART}
+    out |= {"part": new["part"], "start": min(old["start"], new["start"]), "end": max(old["end"], new["end"])}
+    for name in (*WAYS, "gap"):
+        held = [x for x in (old, new) if x[f"{name}_n"]]
+        out[f"{name}_min"] = min((x[f"{name}_min"] for x in held), default=0)
+        out[f"{name}_max"] = max(old[f"{name}_max"], new[f"{name}_max"])
+    for way in WAYS:
+        out[f"win_{way}"] = new[f"win_{way}"] if old[f"win_{way}"] == NONE else old[f"win_{way}"]
+    n, away = max(out["gap_n"], 1), new["gap_mean"] - old["gap_mean"]
+    out["gap_m2"] = old["gap_m2"] + new["gap_m2"] + away * away * old["gap_n"] * new["gap_n"] / n
+    out["gap_mean"] = old["gap_mean"] + away * new["gap_n"] / n
+    return out
 
 
 def _deviation(n: int, total: int, square: int) -> float:
@@ -168,16 +179,17 @@ class FlowState(StatefulProcessor):
         flow = self._read()
         packets = self._columns(pd.concat(list(rows)).sort_values("seq"), flow)
         same = (packets["flow_id"][1:] == packets["flow_id"][:-1]) & (packets["part"][1:] == packets["part"][:-1])
-        cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(packets["us"])]
+        low = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        parts = parts_of(packets, low)
+        begun = [packets[c][low].tolist() for c in ("flow_id", "first", "a_sends")]
         out = []
-        for low, high in zip(cuts, cuts[1:]):
-            now = {c: v[low:high] for c, v in packets.items()}
-            flow_id, part = int(now["flow_id"][0]), int(now["part"][0])
-            if (flow_id, part) != (flow["flow_id"], flow["part"]):
-                if flow["part"] != NONE:
-                    out.append(self._row(key, flow, True))
-                flow |= PART | {"part": part, "flow_id": flow_id, "first": int(now["first"][0]), "a_sends": int(now["a_sends"][0])}
-            absorb(flow, now)
+        for part, flow_id, first, a_sends in zip(parts, *begun):
+            if (flow_id, part["part"]) == (flow["flow_id"], flow["part"]):
+                flow |= merged(flow, part)
+                continue
+            if flow["part"] != NONE:
+                out.append(self._row(key, flow, True))
+            flow |= part | {"flow_id": flow_id, "first": first, "a_sends": a_sends}
         latest = lambda rule: int(packets["us"][rule].max(initial=NONE))
         flow["last"] = max(flow["last"], latest(slice(None)))
         flow["last_a"], flow["last_b"] = max(flow["last_a"], latest(packets["a"])), max(flow["last_b"], latest(~packets["a"]))
