@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import lean
+
 SIZE = 13
 #: Windows in a block of the benchmark: some 30 MB as a table of byte strings.
 WINDOWS = 200_000
@@ -53,6 +55,7 @@ def _frequencies(docs: DataFrame, shingles: set[bytes]) -> dict[bytes, int]:
     """In how many documents each of a block's shingles stands, over all documents."""
     wanted = docs.sparkSession.sparkContext.broadcast((shingles, any(b" " not in s for s in shingles)))
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, with_words = wanted.value
         found: dict[bytes, int] = defaultdict(int)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import BROADCAST_ROWS, discard, long_rows, small_side, stored
+from flowloom.llm.common import BROADCAST_ROWS, discard, lean, long_rows, small_side, stored
 from flowloom.llm.components import components
 
 WIDTH = 3
@@ -153,6 +153,7 @@ def _counter(elements: np.ndarray) -> np.ndarray:
 def frequencies(docs: DataFrame, width: int) -> np.ndarray:
     """Counts of documents per counter, over all documents."""
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, total = Shingler(width), np.zeros(COUNTERS, np.int64)
         for batch in batches:
@@ -186,6 +187,7 @@ def describe(docs: DataFrame, width: int, percent: int, frequency: np.ndarray) -
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
     schema = "doc_id long, text_hash long, size int, class binary, prefix array<long>, bitmap binary, small binary"
 
+    @lean
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, given, frequency = Shingler(width), set(), shared.value
         for batch in batches:
@@ -244,6 +246,7 @@ def asked_sets(docs: DataFrame, rows: DataFrame, width: int, asked: DataFrame) -
     if holders.count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(holders), ["doc_id", "text_hash"], "left_semi")
 
+    @lean
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, given = Shingler(width), set()
         for batch in batches:
@@ -266,6 +269,7 @@ def asked_sets(docs: DataFrame, rows: DataFrame, width: int, asked: DataFrame) -
 def light_links(sets: DataFrame, small: int, percent: int) -> DataFrame:
     """Links (a, b) of similar sets the smaller of which has at most `small` elements."""
 
+    @lean
     def list_subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, size, raw in zip(batch["class"], batch["size"], batch["elements"]):
@@ -314,6 +318,7 @@ def compare(pairs_of_chunks: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes from `left` and `right` (arrays of sets of one list) that sizes, places
     and bitmaps do not rule out. Sets that have the same root are known to be connected."""
 
+    @lean
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given: set[tuple[bytes, bytes]] = set()
         for batch in batches:

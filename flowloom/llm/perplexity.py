@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import discard, long_rows, small_side, stored
+from flowloom.llm.common import discard, lean, long_rows, small_side, stored
 
 ORDER = 5
 #: What stands before a text, ORDER - 1 times.
@@ -178,6 +178,7 @@ class Counts:
                 yield pd.DataFrame({"lang": names[numbers[part]], "gram": grams, "c0": both[part, 0], "c1": both[part, 1]})
 
 
+@lean
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows lang, gram, c0, c1: in how many places each n-gram stands in trusted texts of either fold;
     n-grams of other texts only, which will need a probability, have zeros."""
@@ -312,6 +313,7 @@ def _as_arrays(told: DataFrame) -> list[np.ndarray] | None:
     if told.count() > MAX_GRAMS:
         return None
 
+    @lean
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = gram_hashes(batch["gram"].tolist(), batch["lang"].tolist())
@@ -349,6 +351,7 @@ def _by_broadcast(docs: DataFrame, arrays: list[np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
     @F.pandas_udf("nats double, novel double")
+    @lean
     def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         scorer = None
         for texts, langs in batches:
@@ -364,6 +367,7 @@ def _by_join(docs: DataFrame, told: DataFrame) -> DataFrame:
     """The same scores where the table is too large to send: n-grams of each distinct text are joined
     with it. Copies of a text add to sums and counts alike, so their mean is the text's own."""
 
+    @lean
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, lang, digest in zip(batch["text"], batch["lang"], batch[DIGEST]):
@@ -397,7 +401,8 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN
     largest novelty that as many reach at least. A language has some thousand different steps at most,
     however many documents."""
     trusted = scored.where(F.col(TRUSTED)).select(_lang().alias("lang"), CHARS, NATS, NOVEL)
-    trusted = stored(trusted.where(F.col(NATS).isNotNull()), "trusted")
+    # rows are left out of what is stored: a filter before it goes below the join, where all documents are scored for it
+    trusted = stored(trusted, "trusted").where(F.col(NATS).isNotNull())
     usual = trusted.groupBy("lang").agg((F.sum(F.col(NATS) * F.col(CHARS)) / F.sum(CHARS)).alias(USUAL))
     both = trusted.join(small_side(usual), "lang")
     steps = both.groupBy("lang", F.ceil(mixed() / STEP).alias("step")).agg(F.count("*").alias("n"), F.max(USUAL).alias(USUAL))

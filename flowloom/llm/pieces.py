@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import long_rows
+from flowloom.llm.common import lean, long_rows
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -363,6 +363,7 @@ def encode(docs: DataFrame, model: Model, column: str = "text", into: str = "ids
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")
+    @lean
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = shared.value.encoder()
         for texts in batches:
@@ -378,6 +379,7 @@ def encode_checked(docs: DataFrame, model: Model, column: str = "text", into: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("ids array<int>, same boolean")
+    @lean
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, decoder = shared.value.encoder(), Decoder(shared.value)
         for texts in batches:
@@ -397,6 +399,7 @@ def decode(docs: DataFrame, model: Model, column: str = "ids", into: str = "deco
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
+    @lean
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = Decoder(shared.value)
         for ids in batches:

@@ -159,3 +159,17 @@ def test_counting_holds_back_few_bytes():
         for fold in (0, 1):
             counts = found.loc[lang][f"c{fold}"]
             assert counts[counts > 0].to_dict() == expected[fold]
+
+
+def test_each_step_scores_once(spark, odd_docs, labels, monkeypatch):
+    """A second evaluation takes a second set of Python workers, which stay beside all later stages."""
+    plans, store = {}, p.stored
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        return store(df, name)
+
+    monkeypatch.setattr(p, "stored", watched)
+    kept = p.keep_good(odd_docs, labels)
+    assert plans["trusted"] == 1
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
