@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom import session
 from flowloom.functions import alerts as texts
 from flowloom.operators import correlate, workflow
 from flowloom.registry import MOVES, STATUSES
@@ -393,3 +394,24 @@ def test_audit_rows_are_appended_by_day(spark, tmp_path):
 def test_notes(spark):
     rows = spark.createDataFrame([(1, 5, 2, " hi "), (2, 5, 2, "   "), (3, 5, 2, "x" * 5001)], "id long, alert_id long, author_id long, body string")
     assert [r.body for r in workflow.add_notes(rows).collect()] == ["hi"]
+
+
+def test_state_lies_in_no_more_partitions_than_the_cores_can_use(spark, tmp_path, monkeypatch):
+    out, given, dealt = str(tmp_path), spark.conf.get(session.PARTITIONS), []
+    monkeypatch.setattr(session, "STATE_PARTITIONS", 1)
+    summarise = ingest.summarise
+
+    def noted(members, minutes):
+        dealt.append(members.sparkSession.conf.get(session.PARTITIONS))
+        return summarise(members, minutes)
+
+    monkeypatch.setattr(ingest, "summarise", noted)
+    items = [detection(i, dst_ip=f"203.0.113.{i}") for i in range(3)]
+    with session.shuffled(spark, 12):
+        stream(spark, out, [items, items])
+        assert spark.conf.get(session.PARTITIONS) == "12"
+    assert spark.conf.get(session.PARTITIONS) == given
+    assert dealt == ["12", "12"]  # the work on a micro-batch is dealt out as before
+    for checkpoint in ("c1", "c2"):
+        parts = [p.name for p in (tmp_path / checkpoint / "state" / "0").iterdir() if p.name.isdigit()]
+        assert len(parts) == spark.sparkContext.defaultParallelism
