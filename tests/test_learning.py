@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.catalog import learning
 from flowloom.functions.flows import class_index
 from flowloom.operators import clean, evaluate, split
-from flowloom.plans import bundle, explain, models, scoring
+from flowloom.plans import boosting, bundle, explain, models, scoring
 from flowloom.registry import CLASSES, FEATURE_NAMES
 from flowloom.session import cut_lineage
 from flowloom.sources import flows
@@ -198,3 +199,75 @@ def test_bundle(spark, prepared, fitted, tmp_path):
     prepared[1].limit(3).select(*FEATURE_NAMES).write.mode("append").parquet(f"{path}/background")
     with pytest.raises(bundle.BundleError):
         bundle.load_bundle(spark, path)
+
+
+def test_comparison_has_all_candidates_at_full_size(monkeypatch):
+    asked = []
+
+    def compare(flows, cap=150_000, cv_cap=20_000, seed=42, params=None):
+        asked.append(params)
+        return [None]
+
+    monkeypatch.setattr(learning, "prepared", lambda spark, d: (None, None))
+    monkeypatch.setattr(learning.models, "compare", compare)
+    learning.model_comparison(None, None)
+    assert asked == [None]
+
+
+def brute_tree(x, g, h, depth):
+    """Values of the rows under the tree that the best splits of all thresholds give."""
+    rows = np.arange(len(x))
+    value = np.full(len(x), -g.sum() / (h.sum() + 1))
+    if not depth:
+        return value
+    worth = lambda some: g[some].sum() ** 2 / (h[some].sum() + 1)
+    best = (1e-6, None, None)
+    for f in range(x.shape[1]):
+        for v in sorted(set(x[:, f]))[:-1]:
+            sides = rows[x[:, f] <= v], rows[x[:, f] > v]
+            if min(h[s].sum() for s in sides) >= 1:
+                best = max(best, (worth(sides[0]) + worth(sides[1]) - worth(rows), f, v), key=lambda b: b[0])
+    if best[1] is not None:
+        left = x[:, best[1]] <= best[2]
+        for side in (left, ~left):
+            value[side] = brute_tree(x[side], g[side], h[side], depth - 1)
+    return value
+
+
+def test_softmax_boosting_equals_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (150, 4)).astype("float32")
+    y, w = (x[:, 0] + x[:, 1] > 8).astype(int) + (x[:, 2] > 5), rng.uniform(0.5, 2, 150)
+    shuffled = rng.permutation(150)
+    options = dict(classes=3, rounds=4, depth=3, rate=0.3, share=1.0, feature_share=1.0, seed=1)
+    nodes = boosting.boost(*boosting.binned(x, y, w), **options)
+    again = boosting.boost(*boosting.binned(x[shuffled], y[shuffled], w[shuffled]), **options)
+    assert nodes.equals(again)
+    margins = np.zeros((150, 3))
+    for _ in range(4):
+        p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+        for c in range(3):
+            g, h = (p[:, c] - (y == c)) * w, 2 * p[:, c] * (1 - p[:, c]) * w
+            margins[:, c] += 0.3 * brute_tree(x, g, h, 3)
+    assert boosting.margins_of(boosting.packed(nodes, 3), x) == pytest.approx(margins)
+
+
+def test_cut_points_of_many_values():
+    values = np.random.default_rng(2).normal(size=5000).astype("float32")
+    cuts = boosting.cut_points(values)
+    sizes = np.bincount(np.searchsorted(cuts, values))
+    assert len(sizes) == boosting.BINS and sizes.max() < 2 * 5000 / boosting.BINS
+    assert list(boosting.cut_points(np.array([1, 1, 4, 2], dtype="float32"))) == [1.5, 3.0]
+
+
+def test_boosted_trees_fit_every_class_in_each_round(spark, prepared, fitted, tmp_path):
+    model = fitted["boosted"]
+    trees = model.stages[-1].nodes.drop_duplicates("tree")
+    assert trees["class_id"].tolist() == [*range(len(CLASSES))] * 2
+    model.write().save(f"{tmp_path}/model")
+    rows = prepared[0].limit(20)
+    kept = models.score(models.PipelineModel.load(f"{tmp_path}/model"), rows).select("proba", "pred").collect()
+    found = models.score(model, rows).select("proba", "pred", "rawPrediction").collect()
+    assert kept == [(r.proba, r.pred) for r in found]
+    for r in found:
+        assert r.proba == pytest.approx(boosting.softmax(r.rawPrediction.toArray()[None])[0])
