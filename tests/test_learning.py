@@ -271,3 +271,18 @@ def test_boosted_trees_fit_every_class_in_each_round(spark, prepared, fitted, tm
     assert kept == [(r.proba, r.pred) for r in found]
     for r in found:
         assert r.proba == pytest.approx(boosting.softmax(r.rawPrediction.toArray()[None])[0])
+
+
+def test_training_run_fits_all_candidates_at_full_size(monkeypatch):
+    asked = []
+
+    def training_run(flows, root, **options):
+        asked.append(options)
+        raise InterruptedError
+
+    for name in ("divided", "stored", "scratch_path"):
+        monkeypatch.setattr(learning, name, lambda *_: None)
+    monkeypatch.setattr(learning.run, "training_run", training_run)
+    with pytest.raises(InterruptedError):
+        learning.training_run(None, None)
+    assert asked == [{}]
